@@ -41,6 +41,10 @@ def parse_lines(df: DataFrame, line: str, pattern: str, fields: Mapping[str, str
     return out.select(*kept, *typed_or_null, F.coalesce(complete, F.lit(False)).alias("parsed"))
 
 
+def _occurrences(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+
+
 def bm25(
     df: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, pattern: str = WORD
 ) -> DataFrame:
@@ -49,14 +53,11 @@ def bm25(
     Term counts are taken within each row, so the texts are never exploded or shuffled. The
     totals of the collection are one row, read as scalar subqueries.
     """
-    found = tokens(F.col(text), pattern)
-    per_text = df.select(F.col(key), found.alias("words")).select(
-        key,
-        F.size("words").alias("words"),
-        *[
-            F.size(F.filter("words", lambda w, t=t: w == F.lit(t))).alias(f"tf_{i}")
-            for i, t in enumerate(terms)
-        ],
+    counts = [F.size("words").alias("words")]
+    counts += [_occurrences(F.col("words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    # counted in a generator, so that the filter below does not extract the words once more
+    per_text = df.select(key, tokens(F.col(text), pattern).alias("words")).select(
+        key, F.inline(F.array(F.struct(*counts)))
     )
     totals = per_text.agg(
         F.count(F.lit(1)).alias("texts"),

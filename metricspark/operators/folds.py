@@ -58,6 +58,16 @@ def gauge(metric: MetricDef, name: str, tag: str = "m") -> Fold:
     return Fold(metric, name, (agg.alias(f"{tag}_last"),), (Line("", F.col(f"{tag}_last")),))
 
 
+AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+
+
+def aggregate_gauge(metric: MetricDef, name: str, how: str, tag: str = "m") -> Fold:
+    """A gauge whose value is an aggregate of its rows; `last` is the plain gauge."""
+    if how == "last":
+        return gauge(metric, name, tag)
+    return Fold(metric, name, (AGGREGATES[how](VALUE).alias(f"{tag}_{how}"),), (Line("", F.col(f"{tag}_{how}")),))
+
+
 def counter(metric: MetricDef, name: str, tag: str = "m") -> Fold:
     """Rows per label set; the value column does not matter."""
     return Fold(
@@ -169,11 +179,15 @@ def emit(series: DataFrame, rows: Rows, folds: Sequence[Fold], global_labels: Ma
 def fold_rows(
     rows: Rows, metrics: Sequence[tuple[MetricDef, str]], global_labels: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Fold the rows of one query into every metric that uses it: one aggregation, one shuffle."""
-    folds = []
-    for i, (metric, name) in enumerate(metrics):
-        check_labels(metric, [*rows.labels, *(global_labels or {})])
-        folds.append(BUILDERS[metric.kind](metric, name, f"m{i}"))
+    """Fold the rows of one query into every metric that uses it."""
+    folds = [BUILDERS[metric.kind](metric, name, f"m{i}") for i, (metric, name) in enumerate(metrics)]
+    return apply_folds(rows, folds, global_labels)
+
+
+def apply_folds(rows: Rows, folds: Sequence[Fold], global_labels: Mapping[str, str] | None = None) -> DataFrame:
+    """One aggregation and one shuffle for all folds of the same rows."""
+    for fold in folds:
+        check_labels(fold.metric, [*rows.labels, *(global_labels or {})])
     aggs = [a for f in folds for a in f.aggregates]
     if rows.keys:
         series = rows.frame.groupBy(*rows.keys).agg(*aggs)

@@ -23,41 +23,40 @@ FILE_MAGIC = b"ARROW1"
 WHOLE_FILE = -1
 
 
-def _open(path: str):
-    where, inner = fs.FileSystem.from_uri(path)
-    return where.open_input_file(inner)
-
-
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Path to (path, batch number) rows."""
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            with _open(path) as f:
-                is_file = f.read(len(FILE_MAGIC)) == FILE_MAGIC
-                if is_file:
+def _tasks(schema: pa.Schema):
+    """The two steps that run in tasks. They hold all they need, so executors need no import."""
+
+    def open_path(path: str):
+        where, inner = fs.FileSystem.from_uri(path)
+        return where.open_input_file(inner)
+
+    def list_batches(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Path to (path, batch number) rows."""
+        for chunk in files:
+            for path in chunk.column("path").to_pylist():
+                with open_path(path) as f:
+                    is_file = f.read(len(FILE_MAGIC)) == FILE_MAGIC
                     f.seek(0)
-                numbers = list(range(pa.ipc.open_file(f).num_record_batches)) if is_file else [WHOLE_FILE]
-            yield pa.RecordBatch.from_pydict(
-                {"path": pa.array([path] * len(numbers), pa.string()), "batch": pa.array(numbers, pa.int64())}
-            )
-
+                    numbers = list(range(pa.ipc.open_file(f).num_record_batches)) if is_file else [WHOLE_FILE]
+                yield pa.RecordBatch.from_pydict(
+                    {"path": pa.array([path] * len(numbers), pa.string()), "batch": pa.array(numbers, pa.int64())}
+                )
 
-def _reader(schema: pa.Schema):
     def as_declared(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(f.name).cast(f.type) for f in schema]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for split in batches:
-            for path, number in zip(split.column("path").to_pylist(), split.column("batch").to_pylist()):
-                with _open(path) as f:
+    def read_batches(splits: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in splits:
+            for path, number in zip(chunk.column("path").to_pylist(), chunk.column("batch").to_pylist()):
+                with open_path(path) as f:
                     if number == WHOLE_FILE:
                         for batch in pa.ipc.open_stream(f):
                             yield as_declared(batch)
                     else:
                         yield as_declared(pa.ipc.open_file(f).get_batch(number))
 
-    return read
+    return list_batches, read_batches
 
 
 def read_arrow(spark: SparkSession, path: str, schema: str | StructType | None) -> DataFrame:
@@ -65,8 +64,9 @@ def read_arrow(spark: SparkSession, path: str, schema: str | StructType | None)
     if schema is None:
         raise ValueError("an arrow source needs a schema")
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    list_batches, read_batches = _tasks(to_arrow_schema(declared))
     files = spark.read.format("binaryFile").load(path).select("path")
-    splits = files.mapInArrow(_splits, "path string, batch long")
+    splits = files.mapInArrow(list_batches, "path string, batch long")
     # neighbouring batches of a large file go to different tasks
     spread = splits.repartition(F.col("path"), F.col("batch"))
-    return spread.mapInArrow(_reader(to_arrow_schema(declared)), declared)
+    return spread.mapInArrow(read_batches, declared)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricspark.defs import MetricDef
-from metricspark.operators.folds import fold_rows
+from metricspark.operators.folds import aggregate_gauge, apply_folds, fold_rows
 from metricspark.operators.samples import to_rows
 
 
@@ -21,10 +21,28 @@ def stream_fold(
     stream: DataFrame, metrics: Sequence[tuple[MetricDef, str]], global_labels: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Samples of a streaming query, for complete or update mode."""
-    order_by = {m.order_by for m, _ in metrics}
+    rows = to_rows(stream, _order_column([m for m, _ in metrics]), global_labels)
+    return fold_rows(rows, metrics, global_labels)
+
+
+def stream_gauge(
+    stream: DataFrame, gauges: Sequence[tuple[MetricDef, str, str]], global_labels: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Gauges of an aggregate as (metric, name, how), how being sum, avg, min, max or last.
+
+    A batch metric would aggregate in its SQL and fold the result; a stream does both at once, as
+    it can aggregate only one time in complete mode.
+    """
+    rows = to_rows(stream, _order_column([m for m, _, _ in gauges]), global_labels)
+    folds = [aggregate_gauge(m, name, how, f"m{i}") for i, (m, name, how) in enumerate(gauges)]
+    return apply_folds(rows, folds, global_labels)
+
+
+def _order_column(metrics: Sequence[MetricDef]) -> str | None:
+    order_by = {m.order_by for m in metrics}
     if len(order_by) != 1:
         raise ValueError("metrics folded together must name the same order column")
-    return fold_rows(to_rows(stream, order_by.pop(), global_labels), metrics, global_labels)
+    return order_by.pop()
 
 
 def per_window_counts(

@@ -15,7 +15,9 @@ class SnapshotSink:
     the same folder, and a reader of the previous snapshot is not disturbed.
     """
 
-    def __init__(self, path: str, view: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, view: str | None = None) -> None:
+        # batches arrive in a session of their own; the view belongs to the caller's
+        self.spark = spark
         self.path = path
         self.view = view
         self.last_batch: int | None = None
@@ -24,15 +26,15 @@ class SnapshotSink:
         batch.write.mode("overwrite").parquet(self._folder(batch_id))
         self.last_batch = batch_id
         if self.view is not None:
-            self.read(batch.sparkSession).createOrReplaceTempView(self.view)
+            self.read().createOrReplaceTempView(self.view)
 
     def _folder(self, batch_id: int) -> str:
         return f"{self.path}/{batch_id % 2}"
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self) -> DataFrame:
         if self.last_batch is None:
             raise ValueError("no snapshot has been written yet")
-        return spark.read.parquet(self._folder(self.last_batch))
+        return self.spark.read.parquet(self._folder(self.last_batch))
 
 
 def start_snapshots(
@@ -51,9 +53,9 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     path, checkpoint = new_work_path(spark, "stream-out"), new_work_path(spark, "stream-checkpoint")
     if mode == "complete":
-        sink = SnapshotSink(path)
+        sink = SnapshotSink(spark, path)
         start_snapshots(stream, sink, checkpoint, {"availableNow": True}).awaitTermination()
-        return spark.createDataFrame([], stream.schema) if sink.last_batch is None else sink.read(spark)
+        return spark.createDataFrame([], stream.schema) if sink.last_batch is None else sink.read()
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
