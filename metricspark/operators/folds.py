@@ -7,10 +7,10 @@ folds run on streaming frames.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricspark.defs import DEFAULT_BUCKETS, MetricDef
@@ -31,70 +31,75 @@ SKETCH_ACCURACY = 10000
 
 @dataclass(frozen=True)
 class Line:
-    """One sample a series emits: `x_bucket{le="1"}`, `x_sum`, or plain `x`."""
+    """One sample a series emits: `x_bucket{le="1"}`, `x_sum`, or plain `x`. `value` is SQL."""
 
     suffix: str
-    value: Column
+    value: str
     label: str | None = None
     label_value: str | None = None
 
 
 @dataclass(frozen=True)
 class Fold:
+    """Aggregates over the rows of a series, as SQL, and the lines made of them."""
+
     metric: MetricDef
     name: str
-    aggregates: tuple[Column, ...]
+    aggregates: tuple[str, ...]
     lines: tuple[Line, ...]
 
 
+def sql_text(s: str | None) -> str:
+    if s is None:
+        return "cast(null as string)"
+    escaped = s.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sql_double(x: float) -> str:
+    return f"double('{x!r}')"
+
+
 def gauge(metric: MetricDef, name: str, tag: str = "m") -> Fold:
     """The last row of each label set wins: last by `order_by`, else the greatest value."""
-    v = F.col(VALUE)
     if metric.order_by is None:
-        agg = F.max(v)
+        agg = f"max({VALUE})"
     else:
         # equal order values are settled by the greatest value, so reruns agree
-        agg = F.max(F.struct(F.col(ORDER), v))[VALUE]
-    return Fold(metric, name, (agg.alias(f"{tag}_last"),), (Line("", F.col(f"{tag}_last")),))
+        agg = f"max(struct({ORDER}, {VALUE})).{VALUE}"
+    return Fold(metric, name, (f"{agg} as {tag}_last",), (Line("", f"{tag}_last"),))
 
 
-AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+AGGREGATES = ("sum", "avg", "min", "max")
 
 
 def aggregate_gauge(metric: MetricDef, name: str, how: str, tag: str = "m") -> Fold:
     """A gauge whose value is an aggregate of its rows; `last` is the plain gauge."""
     if how == "last":
         return gauge(metric, name, tag)
-    return Fold(metric, name, (AGGREGATES[how](VALUE).alias(f"{tag}_{how}"),), (Line("", F.col(f"{tag}_{how}")),))
+    if how not in AGGREGATES:
+        raise ValueError(f"metric {metric.name}: {how!r} is none of last, {', '.join(AGGREGATES)}")
+    return Fold(metric, name, (f"{how}({VALUE}) as {tag}_{how}",), (Line("", f"{tag}_{how}"),))
 
 
 def counter(metric: MetricDef, name: str, tag: str = "m") -> Fold:
     """Rows per label set; the value column does not matter."""
-    return Fold(
-        metric,
-        name,
-        (F.count(F.lit(1)).alias(f"{tag}_rows"),),
-        (Line("", F.col(f"{tag}_rows").cast("double")),),
-    )
+    return Fold(metric, name, (f"count(1) as {tag}_rows",), (Line("", f"{tag}_rows"),))
 
 
-def _sum_and_count(tag: str) -> tuple[tuple[Column, ...], tuple[Line, ...]]:
-    aggs = (F.sum(VALUE).alias(f"{tag}_sum"), F.count(F.lit(1)).alias(f"{tag}_count"))
-    lines = (Line("_sum", F.col(f"{tag}_sum")), Line("_count", F.col(f"{tag}_count").cast("double")))
-    return aggs, lines
+def _sum_and_count(tag: str) -> tuple[tuple[str, ...], tuple[Line, ...]]:
+    aggs = (f"sum({VALUE}) as {tag}_sum", f"count(1) as {tag}_count")
+    return aggs, (Line("_sum", f"{tag}_sum"), Line("_count", f"{tag}_count"))
 
 
 def histogram(metric: MetricDef, name: str, tag: str = "m") -> Fold:
     """Cumulative counts of values up to each bound, then +Inf, sum and count, in one pass."""
     bounds = metric.buckets or DEFAULT_BUCKETS
     totals, total_lines = _sum_and_count(tag)
-    aggs = tuple(F.count_if(F.col(VALUE) <= b).alias(f"{tag}_le_{i}") for i, b in enumerate(bounds))
-    lines = tuple(
-        Line("_bucket", F.col(f"{tag}_le_{i}").cast("double"), "le", python_number_text(b))
-        for i, b in enumerate(bounds)
-    )
+    aggs = tuple(f"count_if({VALUE} <= {sql_double(b)}) as {tag}_le_{i}" for i, b in enumerate(bounds))
+    lines = tuple(Line("_bucket", f"{tag}_le_{i}", "le", python_number_text(b)) for i, b in enumerate(bounds))
     if bounds[-1] != float("inf"):
-        lines += (Line("_bucket", F.col(f"{tag}_count").cast("double"), "le", "+Inf"),)
+        lines += (Line("_bucket", f"{tag}_count", "le", "+Inf"),)
     return Fold(metric, name, aggs + totals, lines + total_lines)
 
 
@@ -102,10 +107,8 @@ def objectives(metric: MetricDef) -> list[float]:
     return sorted(set(metric.objectives))
 
 
-def quantile_lines(metric: MetricDef, columns: Sequence[Column]) -> tuple[Line, ...]:
-    return tuple(
-        Line("", c, "quantile", python_number_text(q)) for q, c in zip(objectives(metric), columns)
-    )
+def quantile_lines(metric: MetricDef, columns: Sequence[str]) -> tuple[Line, ...]:
+    return tuple(Line("", c, "quantile", python_number_text(q)) for q, c in zip(objectives(metric), columns))
 
 
 def summary_sketch(metric: MetricDef, name: str, tag: str = "m") -> Fold:
@@ -116,8 +119,9 @@ def summary_sketch(metric: MetricDef, name: str, tag: str = "m") -> Fold:
         return Fold(metric, name, totals, total_lines)
     distances = [d for q in qs for d in (q, 1 - q) if d > 0]
     accuracy = max(SKETCH_ACCURACY, int(10 / min(distances, default=1)))
-    sketch = F.percentile_approx(VALUE, qs, accuracy).alias(f"{tag}_quantiles")
-    columns = [F.col(f"{tag}_quantiles")[i] for i in range(len(qs))]
+    wanted = ", ".join(sql_double(q) for q in qs)
+    sketch = f"percentile_approx({VALUE}, array({wanted}), {accuracy}) as {tag}_quantiles"
+    columns = [f"{tag}_quantiles[{i}]" for i in range(len(qs))]
     return Fold(metric, name, (*totals, sketch), quantile_lines(metric, columns) + total_lines)
 
 
@@ -127,7 +131,7 @@ BUILDERS = {"gauge": gauge, "counter": counter, "histogram": histogram, "summary
 RESERVED_LABELS = {"histogram": "le", "summary": "quantile"}
 
 
-def check_labels(metric: MetricDef, labels: Sequence[str]) -> None:
+def check_labels(metric: MetricDef, labels: Iterable[str]) -> None:
     reserved = RESERVED_LABELS.get(metric.kind)
     if reserved in labels:
         raise ValueError(f"metric {metric.name}: {reserved!r} cannot be a query label of a {metric.kind}")
@@ -139,39 +143,27 @@ def emit(series: DataFrame, rows: Rows, folds: Sequence[Fold], global_labels: Ma
         check_label_name(k)
     texts = dict(zip(rows.labels, rows.texts)) | {k: F.lit(v) for k, v in global_labels.items()}
     pairs = [x for k, c in texts.items() for x in (F.lit(k), c)]
-    label_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    lines = [
-        F.struct(
-            F.lit(fold.name).alias("name"),
-            F.lit(fold.metric.kind).alias("kind"),
-            F.lit(fold.metric.help).alias("help"),
-            F.lit(pos).alias("pos"),
-            F.lit(line.suffix).alias("suffix"),
-            F.lit(line.label).cast("string").alias("extra"),
-            F.lit(line.label_value).cast("string").alias("extra_value"),
-            line.value.alias("value"),
-        )
+    label_map = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
+    lines = ", ".join(
+        f"named_struct('name', {sql_text(fold.name)}, 'kind', '{fold.metric.kind}', "
+        f"'help', {sql_text(fold.metric.help)}, 'pos', {pos}, 'suffix', '{line.suffix}', "
+        f"'extra', {sql_text(line.label)}, 'extra_value', {sql_text(line.label_value)}, "
+        f"'value', cast({line.value} as double))"
         for fold in folds
         for pos, line in enumerate(fold.lines)
-    ]
+    )
     out = series.select(
-        canonical(texts).alias("base"), label_map.alias("base_labels"), F.inline(F.array(*lines))
+        canonical(texts).alias("base"), label_map.alias("base_labels"), F.expr(f"inline(array({lines}))")
     )
-    extra = F.concat(F.col("extra"), F.lit('="'), F.col("extra_value"), F.lit('"'))
-    return out.select(
+    return out.selectExpr(
         "name",
         "kind",
         "help",
         "base",
         "pos",
         "suffix",
-        F.when(F.col("extra").isNull(), F.col("base_labels"))
-        .otherwise(F.map_concat("base_labels", F.create_map("extra", "extra_value")))
-        .alias("labels"),
-        F.when(F.col("extra").isNull(), F.col("base"))
-        .when(F.col("base") == "", extra)
-        .otherwise(F.concat("base", F.lit(","), extra))
-        .alias("series"),
+        "if(extra is null, base_labels, map_concat(base_labels, map(extra, extra_value))) as labels",
+        "concat(base, if(extra is null, '', concat(if(base = '', '', ','), extra, '=\"', extra_value, '\"'))) as series",
         "value",
     )
 
@@ -188,13 +180,12 @@ def apply_folds(rows: Rows, folds: Sequence[Fold], global_labels: Mapping[str, s
     """One aggregation and one shuffle for all folds of the same rows."""
     for fold in folds:
         check_labels(fold.metric, [*rows.labels, *(global_labels or {})])
-    aggs = [a for f in folds for a in f.aggregates]
+    aggs = [F.expr(a) for f in folds for a in f.aggregates]
     if rows.keys:
         series = rows.frame.groupBy(*rows.keys).agg(*aggs)
     else:
         # without labels an empty result still aggregates to one row, which is no series
-        seen = F.count(F.lit(1)).alias("rows_seen")
-        series = rows.frame.agg(seen, *aggs).where(F.col("rows_seen") > 0)
+        series = rows.frame.agg(F.expr("count(1) as rows_seen"), *aggs).where("rows_seen > 0")
     return emit(series, rows, folds, global_labels or {})
 
 
@@ -210,12 +201,9 @@ def summary_exact(
     frame = settle(rows.frame) if metric.stage else rows.frame
     qs = objectives(metric)
     series = exact_quantiles(frame, rows.keys, VALUE, qs, rank_rows)
-    lines = (
-        *quantile_lines(metric, [F.col(f"q_{i}") for i in range(len(qs))]),
-        Line("_sum", F.col("total")),
-        Line("_count", F.col("n").cast("double")),
-    )
-    return emit(series, rows, [Fold(metric, name, (), lines)], global_labels or {})
+    lines = quantile_lines(metric, [f"q_{i}" for i in range(len(qs))])
+    fold = Fold(metric, name, (), (*lines, Line("_sum", "total"), Line("_count", "n")))
+    return emit(series, rows, [fold], global_labels or {})
 
 
 def flat(samples: DataFrame) -> DataFrame:

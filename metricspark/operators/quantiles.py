@@ -36,10 +36,9 @@ def _match(left: DataFrame, right: DataFrame, names: Sequence[str], *conds: Colu
     return left.join(right, cond).drop(*[f"other_{k}" for k in names])
 
 
-def _rank(q: float, n: Column) -> Column:
-    """ceil(q * n) in decimal arithmetic: 0.07 of 100 rows is the 7th row."""
-    exact = F.lit(f"{q:.12f}").cast("decimal(13,12)")
-    return F.greatest(F.lit(1), F.ceil(exact * n.cast("decimal(20,0)"))).cast("bigint")
+def _rank(q: float) -> str:
+    """SQL of ceil(q * n) in decimal arithmetic: 0.07 of 100 rows is the 7th row."""
+    return f"greatest(1L, cast(ceil(cast({q:.12f} as decimal(13,12)) * cast(n as decimal(20,0))) as bigint))"
 
 
 def _root(x: Column) -> Column:
@@ -87,12 +86,11 @@ def _rank_all(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float])
         F.count(F.lit(1)).alias("rows_in"), F.sum(value).alias("sum_in")
     )
     series = Window.partitionBy(*keys)
-    upto, n = F.col("rows_upto"), F.col("n")
     ranked = counted.withColumn("rows_upto", F.sum("rows_in").over(series.orderBy(value))).withColumn(
         "n", F.sum("rows_in").over(series)
     )
     answers = [
-        F.max(F.when((_rank(q, n) <= upto) & (_rank(q, n) > upto - F.col("rows_in")), F.col(value))).alias(f"q_{i}")
+        F.expr(f"max(if({_rank(q)} between rows_upto - rows_in + 1 and rows_upto, {value}, null)) as q_{i}")
         for i, q in enumerate(qs)
     ]
     grouped = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("sum_in").alias("total"), *answers)
@@ -156,8 +154,9 @@ def exact_quantiles(
     )
     if not qs:
         return stats.select(*keys, "n", "total")
-    wanted = F.array(*[F.struct(F.lit(i).alias("slot"), _rank(q, F.col("n")).alias("r")) for i, q in enumerate(qs)])
-    targets = _narrow(rows, stats.select(*keys, "n", "lo", "hi", F.inline(wanted)), keys, value, rank_rows)
+    wanted = ", ".join(f"named_struct('slot', {i}, 'r', {_rank(q)})" for i, q in enumerate(qs))
+    targets = stats.select(*keys, "n", "lo", "hi", F.expr(f"inline(array({wanted}))"))
+    targets = _narrow(rows, targets, keys, value, rank_rows)
 
     # every open range now holds at most rank_rows rows, so ranking within it is bounded
     several = F.col("lo") < F.col("hi")

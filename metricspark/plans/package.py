@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
 from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,7 @@ from metricspark.defs import Config, MetricDef, Package
 from metricspark.functions.macros import register_macros
 from metricspark.operators.folds import SAMPLES_SCHEMA, check_labels, flat, fold_rows, summary_exact
 from metricspark.operators.labels import full_name
-from metricspark.operators.samples import to_rows
+from metricspark.operators.samples import Rows, to_rows
 from metricspark.session import prepare_session
 from metricspark.sources.read import sql
 from metricspark.sources.register import register_sources
@@ -22,6 +23,9 @@ from metricspark.sources.register import register_sources
 # what a metric may fail with: a query that cannot be planned, labels that cannot be used, or data
 FAILURES = (PySparkException, Py4JError, ValueError)
 
+# Summaries whose passes run at the same time.
+PASSES_AT_ONCE = 8
+
 
 @dataclass
 class PackageRun:
@@ -34,8 +38,7 @@ class PackageRun:
     @property
     def samples(self) -> DataFrame:
         """All samples as one frame and one job; nothing runs before it is used."""
-        empty = self.spark.createDataFrame([], SAMPLES_SCHEMA)
-        return reduce(DataFrame.unionByName, self.parts.values()) if self.parts else empty
+        return _union(list(self.parts.values())) or self.spark.createDataFrame([], SAMPLES_SCHEMA)
 
     @property
     def table(self) -> DataFrame:
@@ -61,6 +64,14 @@ class PackageRun:
                 del self.parts[name]
 
 
+def _union(parts: Sequence[DataFrame]) -> DataFrame | None:
+    """Parts of the same schema as one frame, halved so that the plan stays shallow."""
+    if len(parts) < 2:
+        return parts[0] if parts else None
+    half = len(parts) // 2
+    return _union(parts[:half]).union(_union(parts[half:]))
+
+
 def named_metrics(package: Package) -> list[tuple[MetricDef, str]]:
     """Enabled metrics with their full names.
 
@@ -101,40 +112,44 @@ def run_package(
     queries: dict[tuple[str, str | None], list[tuple[MetricDef, str]]] = {}
     for m, name in named_metrics(package):
         queries.setdefault(_query_key(m), []).append((m, name))
+    ranked: list[tuple[Rows, MetricDef, str]] = []
     for (_, order_by), metrics in queries.items():
-        _run_query(run, package, metrics, order_by, global_labels or {})
-    return run
-
-
-def _run_query(
-    run: PackageRun,
-    package: Package,
-    metrics: Sequence[tuple[MetricDef, str]],
-    order_by: str | None,
-    global_labels: Mapping[str, str],
-) -> None:
-    spark = run.spark
-    ranked = [(m, n) for m, n in metrics if m.kind == "summary" and m.quantiles == "exact"]
-    folded = [mn for mn in metrics if mn not in ranked]
-    try:
-        rows = to_rows(sql(spark, metrics[0][0].sql, package.variables), order_by, global_labels)
-    except FAILURES as e:
-        run.errors.update({name: str(e) for _, name in metrics})
-        return
-    good = []
-    for m, name in folded:
         try:
-            check_labels(m, [*rows.labels, *global_labels])
-            good.append((m, name))
-        except ValueError as e:
-            run.errors[name] = str(e)
-    if good:
-        run.parts[" ".join(name for _, name in good)] = fold_rows(rows, good, global_labels)
-    for m, name in ranked:
+            rows = to_rows(sql(spark, metrics[0][0].sql, package.variables), order_by, global_labels)
+        except FAILURES as e:
+            run.errors.update({name: str(e) for _, name in metrics})
+            continue
+        folded = []
+        for m, name in metrics:
+            try:
+                check_labels(m, [*rows.labels, *(global_labels or {})])
+            except ValueError as e:
+                run.errors[name] = str(e)
+                continue
+            if m.kind == "summary" and m.quantiles == "exact":
+                ranked.append((rows, m, name))
+            else:
+                folded.append((m, name))
+        if folded:
+            run.parts[" ".join(name for _, name in folded)] = fold_rows(rows, folded, global_labels)
+
+    # exact quantiles run passes over their rows while they are built; side by side, the last
+    # tasks of one pass share the cluster with the next
+    def rank(item: tuple[Rows, MetricDef, str]) -> DataFrame | Exception:
+        rows, m, name = item
         try:
-            run.parts[name] = summary_exact(rows, m, name, global_labels)
+            return summary_exact(rows, m, name, global_labels)
         except FAILURES as e:
-            run.errors[name] = str(e)
+            return e
+
+    if ranked:
+        with ThreadPoolExecutor(min(len(ranked), PASSES_AT_ONCE)) as pool:
+            for (_, _, name), part in zip(ranked, pool.map(inheritable_thread_target(spark)(rank), ranked)):
+                if isinstance(part, Exception):
+                    run.errors[name] = str(part)
+                else:
+                    run.parts[name] = part
+    return run
 
 
 def run_packages(
