@@ -30,13 +30,23 @@ def text_to_double(c: Column) -> Column:
     )
 
 
-def number_text(c: Column) -> Column:
+def _shortest(c: Column) -> Column:
+    """A positive double as `d.ddd` or `d.dddE±x`, with the fewest digits that read back as itself.
+
+    Java versions before 19 print some doubles with more digits than needed, so fewer are tried.
+    """
+    fewer = [F.upper(F.format_string(f"%.{digits - 1}e", c)) for digits in (15, 16)]
+    tried = [F.when(text.try_cast("double") == c, text) for text in fewer]
+    return F.coalesce(*tried, c.cast("string"))
+
+
+def number_text(c: Column, single: bool = False) -> Column:
     """A double as shortest text: `6`, `0.25`, `1.5e+06`, `-2.5e-07`, `+Inf`, `NaN`.
 
-    Spark prints a double as `d.ddd` or `d.dddE±x`; its digits are kept and only the decimal
-    point is placed anew, so everything stays a built-in expression.
+    Spark's own text has the digits; only the decimal point is placed anew, so everything stays
+    a built-in expression. `single` is for columns of single precision.
     """
-    printed = F.abs(c).cast("string")
+    printed = F.abs(c).cast("string") if single else _shortest(F.abs(c))
     mantissa = F.substring_index(printed, "E", 1)
     exponent = F.when(printed.contains("E"), F.substring_index(printed, "E", -1).cast("int")).otherwise(0)
     whole = F.substring_index(mantissa, ".", 1)

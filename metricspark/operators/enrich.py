@@ -7,21 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A dimension up to this many rows is sent to every task instead of shuffling the facts.
-BROADCAST_ROWS = 100_000
-
 
 def add_labels(facts: DataFrame, dimension: DataFrame, on: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Left join of label columns; facts without a match keep their row and get the label NULL.
 
-    The dimension is counted first. Beyond the limit it is an ordinary shuffle join, where
-    adaptive execution splits the partitions of frequent keys.
+    Whether the dimension is sent to every task is left to Spark, which knows its size from the
+    files or, after the first stages, from what was shuffled. A large one is joined by a shuffle,
+    where adaptive execution splits the partitions of frequent keys.
     """
-    dimension = dimension.select(*on, *labels)
-    # limit + 1 rows are enough to know, so a large dimension is not read to its end
-    if len(on) and dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        dimension = F.broadcast(dimension)
-    return facts.join(dimension, list(on), "left")
+    return facts.join(dimension.select(*on, *labels), list(on), "left")
 
 
 def classify(text: Column, rules: Sequence[tuple[str, str]], default: str = "other") -> Column:

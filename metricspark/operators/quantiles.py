@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from metricspark.session import settle
 
-# Most rows of one series that are ranked within one window group.
+# Most rows of one series whose values are held in a map: many such maps fit into one task.
+MAP_ROWS = 20_000
+# Most rows of one series that are ranked within one window group, which may spill.
 RANK_ROWS = 1_000_000
 # Ranges a pass divides each open range into.
 RANGES = 4096
@@ -42,8 +44,14 @@ def _rank(q: float) -> str:
 
 
 def _root(x: Column) -> Column:
-    """Eighth root with the sign kept. Square roots are correctly rounded, so order is kept too."""
-    return F.signum(x) * F.sqrt(F.sqrt(F.sqrt(F.abs(x))))
+    """The 1024th root with the sign kept, which spreads magnitudes as evenly as a logarithm does.
+
+    It is made of square roots, as these are correctly rounded and so never change an order.
+    """
+    root = F.abs(x)
+    for _ in range(10):
+        root = F.sqrt(root)
+    return F.signum(x) * root
 
 
 def _range_number(v: Column, lo: Column, hi: Column, by_root: bool) -> Column:
@@ -80,6 +88,16 @@ def _at_rank(targets: DataFrame, counted: DataFrame, keys: Sequence[str]) -> Dat
     return _match(targets, counted, [*keys, "lo", "hi"], reached, not_before)
 
 
+def _rank_in_maps(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """All quantiles from one map of values per series, with one shuffle; for small series only."""
+    # a step below q, as the product q * n may be rounded up past a whole number
+    wanted = ", ".join(f"double('{max(q - 1e-12, 0.0)!r}')" for q in qs)
+    found = f"percentile_disc(array({wanted})) within group (order by {value}) as found"
+    totals = ["count(1) as n", f"sum({value}) as total", *([found] if qs else [])]
+    series = rows.groupBy(*keys).agg(*[F.expr(t) for t in totals]).where("n > 0")
+    return series.selectExpr(*keys, "n", "total", *[f"found[{i}] as q_{i}" for i in range(len(qs))])
+
+
 def _rank_all(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Rank every row; only for series known to be small enough for one window group."""
     counted = rows.groupBy(*keys, value).agg(
@@ -133,6 +151,7 @@ def exact_quantiles(
     value: str,
     qs: Sequence[float],
     rank_rows: int = RANK_ROWS,
+    map_rows: int = MAP_ROWS,
 ) -> DataFrame:
     """One row per series: its keys, `n`, `total`, and `q_0`, `q_1`, ... for the given quantiles.
 
@@ -141,7 +160,9 @@ def exact_quantiles(
     keys = list(keys)
     rows = rows.select(*keys, value)
     largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= rank_rows:
+    if largest is None or largest <= min(map_rows, rank_rows):
+        return _rank_in_maps(rows, keys, value, qs)
+    if largest <= rank_rows:
         return _rank_all(rows, keys, value, qs)
 
     stats = settle(

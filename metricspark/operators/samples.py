@@ -60,7 +60,7 @@ def _nested_text(c: Column, dtype: T.DataType) -> Column:
 def label_text(c: Column, dtype: T.DataType) -> Column:
     """A column as label text; NULL stays NULL."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return number_text(c)
+        return number_text(c, single=isinstance(dtype, T.FloatType))
     if isinstance(dtype, T.TimestampNTZType):
         return F.concat(c.cast("string"), F.lit(" +0000 UTC"))
     if isinstance(dtype, T.TimestampType):
