@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.checks import oracle as o
-from metricspark.checks.harness import check, rounded, run_metrics, table, tables
+from metricspark.checks.harness import check, run_metrics, table, tables
 from metricspark.functions.geo import EARTH_RADIUS_KM, distance_km, grid_cell
 from metricspark.functions.macros import register_python_macro
 from metricspark.functions.text import bm25, parse_lines, token_counts

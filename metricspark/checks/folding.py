@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from metricspark.checks import oracle as o
-from metricspark.checks.harness import check, run_metrics, samples, tables
-from metricspark.defs import DEFAULT_BUCKETS, Config, MacroDef, MetricDef, Package, SourceDef
-from metricspark.operators.folds import flat, summary_exact
+from metricspark.checks.harness import check, rounded, run_metrics, samples, tables
+from metricspark.defs import DEFAULT_BUCKETS, Config, MetricDef, Package, SourceDef
+from metricspark.operators.folds import SKETCH_ACCURACY, flat, fold_rows, summary_exact
 from metricspark.operators.samples import to_rows
-from metricspark.plans.package import run_config, run_package, run_packages
-from metricspark.checks.harness import rounded
+from metricspark.plans.package import run_package, run_packages
 
 FLAG = {"flag": o.text("l_returnflag")}
 PRICES = "select l_returnflag as flag, l_extendedprice as v from lineitem"
@@ -94,6 +94,35 @@ def summary_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_metrics(spark, {"summary": [sketch]})
 
 
+def _error_oracle(objectives) -> str:
+    qs = ", ".join(f"({q})" for q in sorted(set(objectives)))
+    return (
+        "select l_returnflag as flag, cast(q as double) as quantile, count(*) as n, true as within_error "
+        f"from lineitem, (values {qs}) o(q) group by all"
+    )
+
+
+@check("a20_sketch_rank_error", _error_oracle(OBJECTIVES))
+def sketch_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each sketched quantile lies within the promised part of its series' rows."""
+    tables(spark, sf_dir, "lineitem")
+    metric = MetricDef("summary", "price", PRICES, objectives=tuple(OBJECTIVES))
+    sketch = fold_rows(to_rows(spark.sql(PRICES)), [(metric, "price")]).where("suffix = ''")
+    found = sketch.select(
+        F.col("labels")["flag"].alias("flag"),
+        F.col("labels")["quantile"].cast("double").alias("quantile"),
+        F.col("value").alias("found"),
+    )
+    ranks = spark.sql(PRICES).join(found, "flag").groupBy("flag", "quantile").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("v") < F.col("found")).alias("below"),
+        F.count_if(F.col("v") <= F.col("found")).alias("upto"),
+    )
+    allowed, target = F.col("n") / SKETCH_ACCURACY + 1, F.col("quantile") * F.col("n")
+    within = (target >= F.col("below") - allowed) & (target <= F.col("upto") + allowed)
+    return ranks.select("flag", "quantile", "n", within.alias("within_error"))
+
+
 @check("a21_reset", o.union(o.counter("shop_seen", FLAG, "lineitem"), o.counter("shop_seen", FLAG, "lineitem")))
 def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run starts from zero: counters do not add up over runs."""

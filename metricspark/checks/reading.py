@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.checks import oracle as o
-from metricspark.checks.harness import check, rounded, run_metrics, samples, table, tables
+from metricspark.checks.harness import check, samples, table, tables
 from metricspark.defs import Package, SourceDef
 from metricspark.plans.exposition import render
 from metricspark.plans.package import run_package

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from metricspark import catalog
 from metricspark.checks import oracle as o
 from metricspark.checks.catalog import INPUTS, POSTS, QUERY_HISTORY, STREAM, TRIPS
-from metricspark.checks.harness import check, extracted, rounded, run_metrics, tables
+from metricspark.checks.harness import check, extracted, run_metrics, tables
 from metricspark.functions.macros import register_macros
 from metricspark.sources import register_sources
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.checks import oracle as o
-from metricspark.checks.harness import check, rounded, table
+from metricspark.checks.harness import check, rounded
 from metricspark.defs import MetricDef, SourceDef
 from metricspark.operators.folds import flat
 from metricspark.session import new_work_path

@@ -70,10 +70,19 @@ def _range_number(v: Column, lo: Column, hi: Column, by_root: bool) -> Column:
 
 def _within(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows that fall into an open range of their series, with that range."""
+    v = F.col(value)
+    if not keys:
+        # one series has at most one range per quantile: a filter that the scan can use
+        found = [(F.lit(r["lo"]), F.lit(r["hi"])) for r in ranges.collect()]
+        hits = [(v >= lo) & (v <= hi) for lo, hi in found]
+        return rows.where(reduce(lambda a, b: a | b, hits, F.lit(False))).select(
+            value,
+            F.coalesce(*[F.when(hit, lo) for hit, (lo, _) in zip(hits, found)], F.lit(None)).cast("double").alias("lo"),
+            F.coalesce(*[F.when(hit, hi) for hit, (_, hi) in zip(hits, found)], F.lit(None)).cast("double").alias("hi"),
+        )
     # `ranges` is settled, so counting it is cheap; it is broadcast only when known to be small
     if ranges.count() <= BROADCAST_RANGES:
         ranges = F.broadcast(ranges)
-    v = F.col(value)
     return _match(rows, ranges, keys, v >= F.col("lo"), v <= F.col("hi"))
 
 
@@ -134,6 +143,8 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, ra
         counted = counted.withColumn("rows_upto", F.sum("rows_in").over(up_to))
         narrowed = _at_rank(open_targets, counted, keys).select(
             *keys,
+            "series_n",
+            "total",
             F.col("rows_in").alias("n"),
             F.col("new_lo").alias("lo"),
             F.col("new_hi").alias("hi"),
@@ -176,7 +187,9 @@ def exact_quantiles(
     if not qs:
         return stats.select(*keys, "n", "total")
     wanted = ", ".join(f"named_struct('slot', {i}, 'r', {_rank(q)})" for i, q in enumerate(qs))
-    targets = stats.select(*keys, "n", "lo", "hi", F.expr(f"inline(array({wanted}))"))
+    targets = stats.select(
+        *keys, F.col("n").alias("series_n"), "total", "n", "lo", "hi", F.expr(f"inline(array({wanted}))")
+    )
     targets = _narrow(rows, targets, keys, value, rank_rows)
 
     # every open range now holds at most rank_rows rows, so ranking within it is bounded
@@ -189,9 +202,10 @@ def exact_quantiles(
     )
     by_value = Window.partitionBy(*keys, "lo", "hi").orderBy("answer")
     ranked = counted.withColumn("rows_upto", F.sum("rows_in").over(by_value))
-    found = _at_rank(targets.where(several), ranked, keys).select(*keys, "slot", "answer")
+    found = _at_rank(targets.where(several), ranked, keys)
     # NaN sorts last and equals itself, so a range of NaN alone has lo = hi like any single value
-    known = targets.where(~several).select(*keys, "slot", F.col("lo").alias("answer"))
+    known = targets.where(~several).withColumn("answer", F.col("lo"))
+    kept = [*keys, "series_n", "total", "slot", "answer"]
     per_slot = [F.max(F.when(F.col("slot") == i, F.col("answer"))).alias(f"q_{i}") for i in range(len(qs))]
-    answers = known.unionByName(found).groupBy(*keys).agg(*per_slot)
-    return _match(stats, answers, keys).select(*keys, "n", "total", *[f"q_{i}" for i in range(len(qs))])
+    answers = known.select(*kept).unionByName(found.select(*kept))
+    return answers.groupBy(*keys).agg(F.max("series_n").alias("n"), F.max("total").alias("total"), *per_slot)

@@ -79,6 +79,22 @@ def test_no_keys_and_two_keys(spark):
         assert sorted(x.q_0 for x in by_two) == [994.0, 995.0, 996.0, 997.0, 998.0, 999.0]
 
 
+@pytest.mark.parametrize("values", [[math.nan, 1.0, -math.inf, 3.0, 3.0, 1e300, 2.0], [float(i % 97) for i in range(400)]])
+def test_one_series_without_keys(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    r = exact_quantiles(df, [], "v", QS, map_rows=0, rank_rows=2).first()
+    for i, q in enumerate(QS):
+        want = brute(values, q)
+        assert r[f"q_{i}"] == want or (math.isnan(want) and math.isnan(r[f"q_{i}"]))
+
+
+def test_narrowing_never_joins_without_a_key(spark):
+    df = spark.range(500).selectExpr("cast(id as double) as v", "id % 2 as k")
+    for keys in ([], ["k"]):
+        text = exact_quantiles(df, keys, "v", (0.5,), map_rows=0, rank_rows=2)._jdf.queryExecution().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+
+
 def test_many_ranges_are_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BROADCAST_RANGES", 0)
     rnd = random.Random(5)
