@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +31,26 @@ BROADCAST_RANGES = 100_000
 LARGEST_DOUBLE = 1.7976931348623157e308
 
 
+def _sized(settled: DataFrame) -> DataFrame:
+    """Marked for broadcast only when known to be small; it is settled, so counting it is cheap."""
+    return F.broadcast(settled) if settled.count() <= BROADCAST_RANGES else settled
+
+
 def _match(left: DataFrame, right: DataFrame, names: Sequence[str], *conds: Column) -> DataFrame:
     """Inner join on `names`, where NULL equals NULL; the names are kept once."""
+    right, same = _renamed(right, names)
+    return left.join(right, reduce(and_, [*same, *conds])).drop(*[f"other_{k}" for k in names])
+
+
+def _except(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows whose `names` are not in `right`, where NULL equals NULL."""
+    right, same = _renamed(right, names)
+    return left.join(right, reduce(and_, same), "left_anti")
+
+
+def _renamed(right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
     right = right.select(*[F.col(k).alias(f"other_{k}") if k in names else F.col(k) for k in right.columns])
-    same = [F.col(k).eqNullSafe(F.col(f"other_{k}")) for k in names]
-    cond = reduce(lambda a, b: a & b, [*same, *conds], F.lit(True))
-    return left.join(right, cond).drop(*[f"other_{k}" for k in names])
+    return right, [F.col(k).eqNullSafe(F.col(f"other_{k}")) for k in names]
 
 
 def _rank(q: float) -> str:
@@ -75,15 +90,12 @@ def _within(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str)
         # one series has at most one range per quantile: a filter that the scan can use
         found = [(F.lit(r["lo"]), F.lit(r["hi"])) for r in ranges.collect()]
         hits = [(v >= lo) & (v <= hi) for lo, hi in found]
-        return rows.where(reduce(lambda a, b: a | b, hits, F.lit(False))).select(
+        return rows.where(reduce(or_, hits, F.lit(False))).select(
             value,
             F.coalesce(*[F.when(hit, lo) for hit, (lo, _) in zip(hits, found)], F.lit(None)).cast("double").alias("lo"),
             F.coalesce(*[F.when(hit, hi) for hit, (_, hi) in zip(hits, found)], F.lit(None)).cast("double").alias("hi"),
         )
-    # `ranges` is settled, so counting it is cheap; it is broadcast only when known to be small
-    if ranges.count() <= BROADCAST_RANGES:
-        ranges = F.broadcast(ranges)
-    return _match(rows, ranges, keys, v >= F.col("lo"), v <= F.col("hi"))
+    return _match(rows, _sized(ranges), keys, v >= F.col("lo"), v <= F.col("hi"))
 
 
 def _at_rank(targets: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,23 +119,6 @@ def _rank_in_maps(rows: DataFrame, keys: list[str], value: str, qs: Sequence[flo
     return series.selectExpr(*keys, "n", "total", *[f"found[{i}] as q_{i}" for i in range(len(qs))])
 
 
-def _rank_all(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Rank every row; only for series known to be small enough for one window group."""
-    counted = rows.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("rows_in"), F.sum(value).alias("sum_in")
-    )
-    series = Window.partitionBy(*keys)
-    ranked = counted.withColumn("rows_upto", F.sum("rows_in").over(series.orderBy(value))).withColumn(
-        "n", F.sum("rows_in").over(series)
-    )
-    answers = [
-        F.expr(f"max(if({_rank(q)} between rows_upto - rows_in + 1 and rows_upto, {value}, null)) as q_{i}")
-        for i, q in enumerate(qs)
-    ]
-    grouped = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("sum_in").alias("total"), *answers)
-    return grouped.where(F.col("n") > 0)
-
-
 def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, rank_rows: int) -> DataFrame:
     """Counting passes until no range that still holds several values holds more than rank_rows rows."""
     too_many = (F.col("lo") < F.col("hi")) & (F.col("n") > rank_rows)
@@ -166,26 +161,37 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per series: its keys, `n`, `total`, and `q_0`, `q_1`, ... for the given quantiles.
 
-    Runs jobs while it is built: a count per series, and the narrowing passes if one is large.
+    Runs jobs while it is built: totals per series, and the narrowing passes if one is large.
     """
     keys = list(keys)
     rows = rows.select(*keys, value)
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= min(map_rows, rank_rows):
-        return _rank_in_maps(rows, keys, value, qs)
-    if largest <= rank_rows:
-        return _rank_all(rows, keys, value, qs)
-
     stats = settle(
-        rows.groupBy(*keys).agg(
+        rows.groupBy(*keys)
+        .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(value).alias("total"),
             F.min(value).alias("lo"),
             F.max(value).alias("hi"),
         )
+        .where("n > 0")
     )
     if not qs:
         return stats.select(*keys, "n", "total")
+    smallest, largest = stats.agg(F.min("n"), F.max("n")).first()
+    if largest is None or largest <= map_rows:
+        return _rank_in_maps(rows, keys, value, qs)
+    large = stats.where(F.col("n") > map_rows)
+    out = _rank_in_ranges(rows, large, keys, value, qs, rank_rows)
+    if smallest <= map_rows:
+        names = settle(large.select(*keys))
+        out = out.unionByName(_rank_in_maps(_except(rows, _sized(names), keys), keys, value, qs))
+    return out
+
+
+def _rank_in_ranges(
+    rows: DataFrame, stats: DataFrame, keys: list[str], value: str, qs: Sequence[float], rank_rows: int
+) -> DataFrame:
+    """Quantiles of the series in `stats`, however large: narrow first, then rank what is left."""
     wanted = ", ".join(f"named_struct('slot', {i}, 'r', {_rank(q)})" for i, q in enumerate(qs))
     targets = stats.select(
         *keys, F.col("n").alias("series_n"), "total", "n", "lo", "hi", F.expr(f"inline(array({wanted}))")

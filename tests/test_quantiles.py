@@ -33,8 +33,8 @@ def check(spark, rows, **limits):
             assert have == want or (math.isnan(have) and math.isnan(want)), (k, q, have, want)
 
 
-# one map per series, one window per series, and narrowing passes
-PATHS = [{}, {"map_rows": 0}, {"map_rows": 0, "rank_rows": 3}]
+# one map per series, one window per series, narrowing passes, and small beside large series
+PATHS = [{}, {"map_rows": 0}, {"map_rows": 0, "rank_rows": 3}, {"map_rows": 20, "rank_rows": 40}]
 
 
 @pytest.mark.parametrize("limits", PATHS)
