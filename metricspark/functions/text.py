@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricspark.session import settle
+
 WORD = "[a-z]+"
 
 
@@ -42,7 +44,7 @@ def parse_lines(df: DataFrame, line: str, pattern: str, fields: Mapping[str, str
 
 
 def _occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+    return F.size(words) - F.size(F.array_remove(words, F.lit(term)))
 
 
 def bm25(
@@ -50,15 +52,15 @@ def bm25(
 ) -> DataFrame:
     """BM25 score and number of matches of each text that holds a term: (key, matches, score).
 
-    Term counts are taken within each row, so the texts are never exploded or shuffled. The
-    totals of the collection are one row, read as scalar subqueries.
+    Term counts are taken within each row, so the texts are never exploded or shuffled. They are
+    kept, a few numbers per text, as taking them is the cost here and the scores need the totals
+    of all texts first. These are one row, read as a scalar subquery.
     """
     counts = [F.size("words").alias("words")]
     counts += [_occurrences(F.col("words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    # counted in a generator, so that the filter below does not extract the words once more
-    per_text = df.select(key, tokens(F.col(text), pattern).alias("words")).select(
-        key, F.inline(F.array(F.struct(*counts)))
-    )
+    # counted in a generator, so that the words of a text are extracted once for all counts
+    words = df.select(key, tokens(F.col(text), pattern).alias("words"))
+    per_text = settle(words.select(key, F.inline(F.array(F.struct(*counts)))))
     totals = per_text.agg(
         F.count(F.lit(1)).alias("texts"),
         F.avg("words").alias("mean_words"),

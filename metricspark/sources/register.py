@@ -8,6 +8,7 @@ turn, so queries that still read the previous snapshot are not disturbed by a re
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
@@ -30,12 +31,19 @@ class _Snapshot:
     taken_at: float
 
 
-# what this driver has written, by application and source name
+# what this driver has written, by application and the folder of the source
 _snapshots: dict[tuple[str, str], _Snapshot] = {}
 
 
-def _slot(spark: SparkSession, name: str) -> tuple[str, str]:
-    return spark.sparkContext.applicationId, name
+def _folder(d: SourceDef, variables: Mapping[str, Any] | None) -> str:
+    """A folder per definition: a changed definition, or another of the same name, is another snapshot."""
+    text = repr((d, sorted((variables or {}).items())))
+    return f"{d.name}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+
+def _show(spark: SparkSession, d: SourceDef, folder: str, turn: int) -> None:
+    path = work_path(spark, "snapshots", folder, str(turn % 2))
+    spark.read.parquet(path).createOrReplaceTempView(d.name)
 
 
 def refresh_source(
@@ -45,18 +53,20 @@ def refresh_source(
     if not d.materialize:
         read_source(spark, d, variables).createOrReplaceTempView(d.name)
         return
-    previous = _snapshots.get(_slot(spark, d.name))
+    folder = _folder(d, variables)
+    key = (spark.sparkContext.applicationId, folder)
+    previous = _snapshots.get(key)
     turn = 0 if previous is None else previous.turn + 1
-    path = work_path(spark, "snapshots", d.name, str(turn % 2))
     try:
+        path = work_path(spark, "snapshots", folder, str(turn % 2))
         read_source(spark, d, variables).write.mode("overwrite").parquet(path)
-        snapshot = spark.read.parquet(path)
+        _show(spark, d, folder, turn)
     except Exception as e:
         if previous is None:
             raise
+        _show(spark, d, folder, previous.turn)
         raise RefreshError(f"source {d.name}: {e}") from e
-    snapshot.createOrReplaceTempView(d.name)
-    _snapshots[_slot(spark, d.name)] = _Snapshot(turn, time.time() if now is None else now)
+    _snapshots[key] = _Snapshot(turn, time.time() if now is None else now)
 
 
 def register_source(
@@ -68,16 +78,19 @@ def register_source(
     a failed refresh is returned, not raised: the run goes on with the snapshot it has.
     """
     now = time.time() if now is None else now
-    current = _snapshots.get(_slot(spark, d.name))
+    folder = _folder(d, variables)
+    current = _snapshots.get((spark.sparkContext.applicationId, folder))
     if not d.materialize or current is None:
         refresh_source(spark, d, variables, now)
         return None
     interval = d.refresh_interval_seconds
-    if interval > 0 and now - current.taken_at >= interval:
+    if 0 < interval <= now - current.taken_at:
         try:
             refresh_source(spark, d, variables, now)
         except RefreshError as e:
             return str(e)
+    else:
+        _show(spark, d, folder, current.turn)
     return None
 
 

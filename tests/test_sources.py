@@ -78,6 +78,26 @@ def test_snapshot_without_interval_is_refreshed_only_on_request(spark):
     assert spark.table("s_fixed").count() == 2
 
 
+def test_a_changed_definition_is_another_snapshot(spark):
+    first = SourceDef("s_same", "sql", "select 1 as x", materialize=True)
+    second = SourceDef("s_same", "sql", "select 2 as x", materialize=True)
+    for d, want in ((first, 1), (second, 2), (first, 1)):
+        register_sources(spark, [d], now=0.0)
+        assert rows(spark.table("s_same")) == [(want,)]
+    by_variable = SourceDef("s_same", "sql", "select :n as x", materialize=True)
+    for n in (5, 6):
+        register_sources(spark, [by_variable], {"n": n}, now=0.0)
+        assert rows(spark.table("s_same")) == [(n,)]
+
+
+def test_snapshots_are_shown_in_every_session(spark):
+    d = SourceDef("s_sessions", "sql", "select 1 as x", materialize=True)
+    register_sources(spark, [d])
+    other = spark.newSession()
+    register_sources(other, [d])
+    assert rows(other.table("s_sessions")) == [(1,)]
+
+
 def test_failed_refresh_keeps_the_snapshot(spark):
     d = SourceDef("s_kept", "sql", "select id from s_gone", materialize=True, refresh_interval_seconds=1)
     spark.range(3).createOrReplaceTempView("s_gone")
