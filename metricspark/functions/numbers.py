@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,43 +41,62 @@ def _shortest(c: Column) -> Column:
     return F.coalesce(*tried, c.cast("string"))
 
 
-def number_text(c: Column, single: bool = False) -> Column:
-    """A double as shortest text: `6`, `0.25`, `1.5e+06`, `-2.5e-07`, `+Inf`, `NaN`.
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` uses it."""
+    return F.transform(F.array(c), then)[0]
 
-    Spark's own text has the digits; only the decimal point is placed anew, so everything stays
-    a built-in expression. `single` is for columns of single precision.
-    """
-    printed = F.abs(c).cast("string") if single else _shortest(F.abs(c))
+
+def _digits_and_point(printed: Column) -> Column:
+    """Printed digits without zeros around them, and the power of ten of 0.DIGITS."""
     mantissa = F.substring_index(printed, "E", 1)
     exponent = F.when(printed.contains("E"), F.substring_index(printed, "E", -1).cast("int")).otherwise(0)
     whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.substring_index(mantissa, ".", -1)
-    all_digits = F.concat(whole, fraction)
-    leading = F.length(all_digits) - F.length(F.ltrim(all_digits, F.lit("0")))
-    digits = F.rtrim(F.ltrim(all_digits, F.lit("0")), F.lit("0"))
-    # number = 0.DIGITS * 10^point
-    point = F.length(whole) + exponent - leading
-    count = F.length(digits)
-    exp10 = point - 1
-    exp_digits = F.abs(exp10).cast("string")
+    all_digits = F.concat(whole, F.substring_index(mantissa, ".", -1))
+    kept = F.ltrim(all_digits, F.lit("0"))
+    return F.struct(
+        F.rtrim(kept, F.lit("0")).alias("digits"),
+        (F.length(whole) + exponent - F.length(all_digits) + F.length(kept)).alias("point"),
+    )
+
+
+def _placed(number: Column) -> Column:
+    """Digits with the decimal point, or with an exponent where the number is large or small."""
+    digits, point = number["digits"], number["point"]
+    count, exp10 = F.length(digits), point - 1
     exponent_form = F.concat(
         F.substring(digits, 1, 1),
         F.when(count > 1, F.concat(F.lit("."), digits.substr(F.lit(2), count))).otherwise(""),
         F.when(exp10 < 0, "e-").otherwise("e+"),
-        F.when(F.length(exp_digits) < 2, F.concat(F.lit("0"), exp_digits)).otherwise(exp_digits),
+        F.when(F.abs(exp10) < 10, "0").otherwise(""),
+        F.abs(exp10).cast("string"),
     )
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+    return (
+        F.when((exp10 < MIN_PLAIN_EXPONENT) | (exp10 > MAX_PLAIN_EXPONENT), exponent_form)
+        .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
         .when(point >= count, F.concat(digits, F.repeat(F.lit("0"), point - count)))
         .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, count)))
     )
-    unsigned = F.when((exp10 < MIN_PLAIN_EXPONENT) | (exp10 > MAX_PLAIN_EXPONENT), exponent_form).otherwise(plain)
+
+
+def number_text(c: Column, single: bool = False) -> Column:
+    """A double as shortest text: `6`, `0.25`, `1.5e+06`, `-2.5e-07`, `+Inf`, `NaN`.
+
+    Spark's own text has the digits, and for numbers of ordinary size it is the result but for a
+    trailing `.0`. For others the decimal point is placed anew. `single` is for columns of single
+    precision.
+    """
+    size, printed = F.abs(c), c.cast("string")
+    # up to fifteen digits are never more than needed; with sign and point that is 17 characters
+    ordinary = (size >= 0.001) & (size < 1e6) & (F.length(printed) <= 16)
+    digits = size.cast("string") if single else _shortest(size)
+    unsigned = _once(_once(digits, _digits_and_point), _placed)
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(c), "NaN")
         .when(c == float("inf"), "+Inf")
         .when(c == float("-inf"), "-Inf")
         .when(c == 0, "0")
+        .when(ordinary, F.regexp_replace(printed, r"\.0$", ""))
         .otherwise(F.concat(F.when(c < 0, "-").otherwise(""), unsigned))
     )
 
