@@ -165,7 +165,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     rows = rows.select(*keys, value)
-    stats = settle(
+    stats = (
         rows.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -177,9 +177,11 @@ def exact_quantiles(
     )
     if not qs:
         return stats.select(*keys, "n", "total")
+    # this pass reads the key columns only
     smallest, largest = stats.agg(F.min("n"), F.max("n")).first()
     if largest is None or largest <= map_rows:
         return _rank_in_maps(rows, keys, value, qs)
+    stats = settle(stats)
     large = stats.where(F.col("n") > map_rows)
     out = _rank_in_ranges(rows, large, keys, value, qs, rank_rows)
     if smallest <= map_rows:
