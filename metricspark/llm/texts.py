@@ -8,6 +8,7 @@ nothing but the text, and are the same in every process.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -15,9 +16,11 @@ import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, MARK, END = range(6)
 
-# Code points handled at once; longer texts are cut at white space, where no word is split.
+# Code points handled at once; longer texts are cut where white space begins.
 CHUNK = 1 << 20
 
+_WORD_END = re.compile(r"\S\s")
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -84,11 +87,12 @@ def pieces(texts: Sequence[str | None], chunk: int = CHUNK) -> Iterator[list[tup
         while True:
             end = len(text)
             if end - at > chunk:
-                end = at + chunk
-                cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-                if cut < 0:  # a word longer than a piece stays whole
-                    cuts = [c for c in (text.find(" ", end), text.find("\n", end)) if c >= 0]
-                    cut = min(cuts, default=len(text))
+                cut = at + chunk
+                while cut > at and not (text[cut].isspace() and not text[cut - 1].isspace()):
+                    cut = max(text.rfind(" ", at, cut), text.rfind("\n", at, cut), at)
+                if cut == at:  # nothing to cut at within the piece: it grows to the next such place
+                    found = _WORD_END.search(text, at + chunk - 1)
+                    cut = found.start() + 1 if found else end
                 end = cut
             group.append((i, text[at:end]))
             size += end - at + 1
