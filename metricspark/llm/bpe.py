@@ -41,6 +41,8 @@ LEXICON = 1 << 16
 LONGEST = 40
 # Words a task keeps while it counts.
 COUNTED = 1 << 16
+# Code points encoded at once.
+SLICE = 1 << 21
 # Words of more bytes are merged with a queue, shorter ones side by side.
 QUEUED = 128
 
@@ -285,35 +287,31 @@ class Tokens:
             live, state, number = live[~ended], state[~ended], number[~ended]
         return place
 
-    def merge(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """The ids of each word by the merge rules."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(start)
+    def merge(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each word by the merge rules: words with as many ids each, and a row of ids for each."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         lengths = end - start
         for n in np.unique(lengths):
             which = np.flatnonzero(lengths == n)
             if n > QUEUED:
-                for i in which:
-                    out[i] = self._merge_long(data[start[i] : end[i]])
+                out.extend((which[i : i + 1], self._merge_long(data[start[w] : end[w]])[None]) for i, w in enumerate(which))
                 continue
             ids = self.a["byte_ids"][data[start[which][:, None] + np.arange(n)]].astype(np.int64)
-            while len(which):
-                if ids.shape[1] < 2:
-                    done = np.ones(len(which), bool)
-                else:
-                    ranks = find(self.a["pair_slots"], self.a["pair_ranks"], (ids[:, :-1] << 24 | ids[:, 1:]).ravel())
-                    ranks = np.where(ranks < 0, 1 << 30, ranks).reshape(len(which), -1)
-                    best = ranks.argmin(axis=1)
-                    rank = ranks[np.arange(len(which)), best]
-                    done = rank == 1 << 30
-                for i in np.flatnonzero(done):
-                    out[which[i]] = ids[i].astype(np.int32)
-                if done.all():
-                    break
-                which, ids, best, rank = which[~done], ids[~done], best[~done], rank[~done]
+            while len(which) and ids.shape[1] > 1:
+                ranks = find(self.a["pair_slots"], self.a["pair_ranks"], (ids[:, :-1] << 24 | ids[:, 1:]).ravel())
+                ranks = np.where(ranks < 0, 1 << 30, ranks).reshape(len(which), -1)
+                best = ranks.argmin(axis=1)
+                rank = ranks[np.arange(len(which)), best]
+                done = rank == 1 << 30
+                if done.any():
+                    out.append((which[done], ids[done]))
+                    which, ids, best, rank = which[~done], ids[~done], best[~done], rank[~done]
                 ids[np.arange(len(which)), best] = self.a["merged"][rank]
                 keep = np.ones(ids.shape, bool)
                 keep[np.arange(len(which)), best + 1] = False
-                ids = ids[keep].reshape(len(which), -1)
+                ids = ids[keep].reshape(len(which), ids.shape[1] - 1)
+            if len(which):
+                out.append((which, ids))
         return out
 
     def _rank(self, left: int, right: int) -> int:
@@ -352,17 +350,20 @@ class Tokens:
         a = self.a
         place = self.look_up(data, start, end) if "start" in a else np.full(len(start), -1)
         known = place >= 0
-        rest = self.merge(data, start[~known], end[~known])
+        other = np.flatnonzero(~known)
+        merged = self.merge(data, start[other], end[other])
         counts = np.zeros(len(start), np.int64)
-        counts[known] = a["lexicon_at"][place[known] + 1] - a["lexicon_at"][place[known]] if known.any() else 0
-        counts[~known] = [len(r) for r in rest]
+        if known.any():
+            counts[known] = a["lexicon_at"][place[known] + 1] - a["lexicon_at"][place[known]]
+        for which, rows in merged:
+            counts[other[which]] = rows.shape[1]
         at = np.concatenate([[0], np.cumsum(counts)])
         ids = np.zeros(int(at[-1]), np.int32)
         if known.any():
-            target = spread(at[:-1][known], counts[known])
-            ids[target] = a["lexicon_ids"][spread(a["lexicon_at"][place[known]], counts[known])]
-        if rest:
-            ids[spread(at[:-1][~known], counts[~known])] = np.concatenate(rest)
+            from_lexicon = a["lexicon_ids"][spread(a["lexicon_at"][place[known]], counts[known])]
+            ids[spread(at[:-1][known], counts[known])] = from_lexicon
+        for which, rows in merged:
+            ids[at[other[which]][:, None] + np.arange(rows.shape[1])] = rows
         return ids, at
 
     # texts to ids and back
@@ -377,7 +378,7 @@ class Tokens:
         ids: list[np.ndarray] = []
         numbers: list[np.ndarray] = []
         seen = -1
-        for group in pieces([p[1] for p in parts]):
+        for group in pieces([p[1] for p in parts], SLICE):
             cut = Slice([p for _, p in group])
             flat, at = self.word_ids(cut.bytes, cut.word_start, cut.word_end)
             counts = np.diff(at)[cut.which]
