@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from metricspark.llm import bpe, quality
+from metricspark.llm.decontamination import with_leaks
 from metricspark.llm.frames import hex_sha256, table
 from metricspark.llm.jaccard import jaccard_join
 from metricspark.llm.lines import dedup_lines
@@ -25,6 +29,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    leak = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return leak.select("doc_id", F.col("leak.item").alias("item_id"), "leak.windows", "leak.matched", "leak.changed")
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,3 +61,30 @@ select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+
+HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(f"not ({HELD_OUT})")
+    scored = quality.classify(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = bpe.with_lexicon(docs, "text", VOCABULARY)
+    encoded = docs.withColumn("ids", tokenizer.encode(F.col("text")))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.digest_ids(F.col("ids")).alias("ids_sha256"),
+        hex_sha256(tokenizer.decode(F.col("ids"))).alias("decoded_sha256"),
+    )
