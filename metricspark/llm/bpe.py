@@ -465,9 +465,17 @@ def frequent_words(texts: DataFrame, text_col: str, most: int = LEXICON, counted
 class Bpe:
     """Encoder and decoder columns for one vocabulary and lexicon."""
 
-    def __init__(self, spark: SparkSession, path: str, words: list[bytes] | None = None):
+    def __init__(
+        self, spark: SparkSession, path: str, words: list[bytes] | None = None, reserved: tuple[str, ...] = ()
+    ):
+        """`reserved` strings get the ids after the vocabulary's; texts never become them, only ids do."""
         arrays = read_vocabulary(path)
         added = arrays.pop("added")
+        first = len(arrays["token_at"]) - 1
+        self.reserved = {token: first + i for i, token in enumerate(reserved)}
+        lengths = np.cumsum([len(token.encode()) for token in reserved]).astype(np.int64)
+        arrays["token_bytes"] = np.concatenate([arrays["token_bytes"], np.frombuffer("".join(reserved).encode(), np.uint8)])
+        arrays["token_at"] = np.concatenate([arrays["token_at"], arrays["token_at"][-1] + lengths])
         words = [w for w in words or [] if w]
         if words:
             data = np.frombuffer(b"".join(words), np.uint8)
@@ -484,7 +492,7 @@ class Bpe:
 
     def encode(self, text: Column) -> Column:
         """The ids of a text."""
-        name = self.name
+        name = self.name  # the functions below hold the name alone; the file comes with Spark
 
         def run(texts: pa.Array) -> pa.Array:
             ids, at = load(SparkFiles.get(name)).encode(texts.to_pylist())
