@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from metricspark.llm import bpe, chat, quality
+from metricspark.llm import bpe, chat, quality, urls, warc
 from metricspark.llm.decontamination import with_leaks
 from metricspark.llm.embeddings import range_join
 from metricspark.llm.frames import hex_sha256, table
@@ -147,3 +147,41 @@ select conv_id, count(*) as n_turns,
   sum(12 + role_chars + 1 + text_chars + 10 + 1)::bigint as formatted_chars
 from escaped group by conv_id
 """
+
+
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op6_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write(pages)
+    records = archive.fetch(archive.look_up(pages))
+    return records.select(
+        F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op6_warc_capture_index"] = """
+with digested as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), placed as (
+  select *, min(page_id) over (partition by payload_digest) as first from digested
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from placed
+"""
