@@ -15,6 +15,7 @@ from metricspark.llm.embeddings import range_join
 from metricspark.llm.frames import hex_sha256, table
 from metricspark.llm.jaccard import jaccard_join
 from metricspark.llm.lines import dedup_lines
+from metricspark.llm.surrogates import replace_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +186,8 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id <> first then first end as refers_to
 from placed
 """
+
+
+@query
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
