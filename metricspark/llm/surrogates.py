@@ -13,8 +13,8 @@ fewest draws and then the smallest text, until all are distinct; so equal stays
 different, and no surrogate points to another person of the corpus.
 
 All of it is DataFrame expressions. Different texts that hold entities are taken once, whatever their
-number of copies; of a mention only text digest and position travel. The texts meet their replacements by
-digest at the end.
+number of copies; of a mention only text digest and position travel. Texts with entities are written aside and
+meet their replacements by digest at the end; texts without are read once more and never move.
 
 Defined results: null is an empty text; texts without entities stay as they are; repeated rows get equal
 texts; added columns replace others of their names; other columns pass through.
@@ -281,11 +281,12 @@ def replace_pii(
     docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str = "n_entities", rounds: int = ROUNDS
 ) -> DataFrame:
     """`docs` with surrogates in the text, and how many mentions were replaced."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.unhex(F.md5(text))
+    docs = docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).drop(count_col)
+    text = F.col(text_col)
     found = _by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    held = docs.select(digest.alias("digest"), found.alias("values"))
-    texts = held.where(F.size("values") > 0).groupBy("digest").agg(F.any_value("values").alias("values"))
+    held = docs.withColumn("__digest", F.unhex(F.md5(text))).withColumn("__values", found)
+    held = frames.stage(held.where(F.size("__values") > 0), "texts_with_entities")
+    texts = held.groupBy(F.col("__digest").alias("digest")).agg(F.any_value("__values").alias("values"))
     words = frames.stage(_words(texts.select("digest", F.posexplode("values").alias("place", "value"))), "mentions")
     surrogates = assign(words.where("normal is not null").select("kind", "normal").distinct(), key, rounds)
     formed = _as_mentioned(F.col("kind"), F.col("value"), F.col("surrogate"))
@@ -296,12 +297,8 @@ def replace_pii(
         F.sort_array(F.collect_list(F.struct("place", "new"))).alias("__new")
     )
     lists = frames.stage(lists.withColumn("__new", F.col("__new.new")), "replacements")
-    joined = docs.drop(count_col).join(lists, digest == F.col("__digest"), "left")
     between = _by_pattern(text, lambda p: F.split(text, p))
     glued = F.array_join(F.zip_with(between, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return (
-        joined.withColumn(count_col, F.coalesce(F.size("__new"), F.lit(0)))
-        .withColumn(text_col, F.when(F.col("__new").isNotNull(), glued).otherwise(text))
-        .withColumn(count_col, F.greatest(F.col(count_col), F.lit(0)))
-        .drop("__digest", "__new")
-    )
+    replaced = held.join(lists, "__digest").withColumn(count_col, F.size("__new")).withColumn(text_col, glued)
+    others = docs.where(~_by_pattern(text, lambda p: text.rlike(p))).withColumn(count_col, F.lit(0))
+    return others.unionByName(replaced.select(*others.columns))
