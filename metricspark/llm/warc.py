@@ -43,7 +43,8 @@ LEAST_BYTES = 100  # smaller payloads are never revisits
 ARCHIVE_BYTES = 1 << 30
 LINES = 2000
 DIRECTORY = 500_000
-RANGE = 8 << 20  # records of one such stretch of an archive are read by one task
+RANGE = 4 << 20  # records of one such stretch of an archive are read by one task
+TASK_BYTES = 64 << 20  # compressed, on average
 DATE = "2024-01-01T00:00:00Z"  # the tables have no capture time
 ID = "urn:x-page:"
 
@@ -265,8 +266,10 @@ def _fetch(folder: str):
 class Archive:
     """Archive files, their index and its directory, in one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, id_type: str, directory: DataFrame):
+    def __init__(self, spark: SparkSession, folder: str, id_type: str, directory: DataFrame, size: int):
         self.spark, self.folder, self.id_type, self.directory = spark, folder, id_type, directory
+        # keys are small beside what they make tasks read, so the number of tasks follows the archives
+        self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def look_up(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
         """Where the captures of these URLs are: key, file, at, size. Each URL counts once."""
@@ -280,7 +283,7 @@ class Archive:
         kinds = "file string, at bigint, size bigint, key string"
         wanted = urls.select(F.col(url_col).cast("string")).distinct().mapInArrow(_find_blocks(held), kinds).distinct()
         return (
-            wanted.repartition("file", "at")
+            wanted.repartition(self.tasks, "file", "at")
             .sortWithinPartitions("file", "at", "key")
             .mapInArrow(_read_blocks(f"{self.folder}/index"), "key string, file string, at bigint, size bigint")
         )
@@ -290,7 +293,7 @@ class Archive:
         or revisit), refers_to (a revisit's response), payload (null for revisits)."""
         stretch = F.floor(F.col("at") / RANGE)
         records = (
-            captures.repartition("file", stretch)
+            captures.repartition(self.tasks, "file", stretch)
             .sortWithinPartitions("file", "at")
             .mapInArrow(
                 _fetch(f"{self.folder}/archive"),
@@ -334,7 +337,8 @@ def write(
     captures = frames.stage(
         marked.mapInArrow(_archive(f"{folder}/archive"), "key string, file string, at bigint, size bigint"), "captures"
     )
-    per_block = max(lines, -(-captures.count() // directory))
+    total = captures.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+    per_block = max(lines, -(-total.n // directory))
     blocks = (
         captures.repartitionByRange("key", "file", "at")
         .sortWithinPartitions("key", "file", "at")
@@ -342,4 +346,4 @@ def write(
             _blocks(f"{folder}/index", per_block), "first string, last string, file string, at bigint, size bigint"
         )
     )
-    return Archive(spark, folder, id_type, frames.stage(blocks, "index_directory"))
+    return Archive(spark, folder, id_type, frames.stage(blocks, "index_directory"), total.bytes or 0)
