@@ -158,7 +158,8 @@ def dedup_lines(
     runs = LineRuns(spark, min_docs, fan)
     for i in range(batches):
         runs.add(keys.where(F.col("batch") == i).select("id", "key"))
-    repeated = runs.repeated()
+    # a table of its own, so that the join can split a key that very many documents hold
+    repeated = frames.stage(runs.repeated(), "repeated_lines")
     gone = (
         keys.join(repeated, "key")
         .where(~F.col("id").eqNullSafe(F.col("last")))
