@@ -233,7 +233,7 @@ def jaccard_join(
     placed = classes.select("text_class", F.explode("bands").alias("cell"))
     # the same members under several bands are one cell: the members' sum and their exclusive or tell
     member = F.xxhash64("text_class")
-    cells = (
+    cells = frames.stage(
         placed.groupBy("cell")
         .agg(
             F.count(F.lit(1)).alias("size"),
@@ -243,7 +243,8 @@ def jaccard_join(
         .where("size > 1")
         .groupBy("size", "xor", "sum")
         .agg(F.min("cell").alias("cell"))
-        .select("cell", "size")
+        .select("cell", "size"),
+        "cells",
     )
     members = frames.stage(placed.join(cells, "cell"), "members")
     of_class = members.groupBy("text_class").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
@@ -262,9 +263,8 @@ def jaccard_join(
         some.join(of_class, "text_class").join(classes.select("text_class", "copies"), "text_class"), "grams"
     )
     weights = members.join(grams.select("text_class", "n_grams"), "text_class")
-    blocks = weights.groupBy("cell").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("n")
-    )
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS))
+    blocks = frames.stage(weights.groupBy("cell").agg(n.cast("int").alias("n")), "blocks")
     block = F.pmod(F.xxhash64("cell", "text_class"), F.col("n")).cast("int")
     others = F.sequence(F.lit(0), F.col("n") - 1)
     units = (
