@@ -5,8 +5,7 @@ is a set of runs: tables bucketed and sorted by key, each row with the number of
 largest id that hold the line. A batch is aggregated by key, merge-anti-joined with every run - a key
 that some run already has in enough documents up to an id as large adds nothing more - and what is
 left becomes a new run of level 0. When a level has `fan` runs, they are merged into one run of the
-next level. All runs share one bucketing, so joins and merges read them side by side without moving
-them; a line that a third of all documents share is one row per task before any shuffle.
+next level. All runs share one bucketing, so the joins read them without moving them; a line that a third of all documents share is one row per task before any shuffle.
 
 Afterwards a line with keys in `min_docs` documents or more is dropped everywhere but in the document
 of the largest id that holds it.
@@ -70,39 +69,40 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan: int = FAN):
         self.spark, self.min_docs, self.fan = spark, min_docs, fan
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+        self.levels: list[list[tuple[str, str]]] = []  # of each run, its table and its folder
 
-    def _runs(self) -> list[str]:
-        return [name for level in self.levels for name in level]
+    def _runs(self) -> list[tuple[str, str]]:
+        return [run for level in self.levels for run in level]
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"line_run_{uuid.uuid4().hex}"
+        name, path = f"line_run_{uuid.uuid4().hex}", new_work_path(self.spark, "line_runs")
         (
             rows.repartition(self.buckets, "key")
             .write.bucketBy(self.buckets, "key")
             .sortBy("key")
-            .option("path", new_work_path(self.spark, "line_runs"))
+            .option("path", path)
             .saveAsTable(name)
         )
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fan:
             merged, self.levels[level] = self.levels[level], []
             self._write(self._total(merged), level + 1)
-            for old in merged:
+            for old, _ in merged:
                 self.spark.sql(f"drop table {old}")
 
-    def _total(self, names: list[str]) -> DataFrame:
-        rows = self.spark.table(names[0])
-        for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
+    def _total(self, runs: list[tuple[str, str]]) -> DataFrame:
+        # read as plain files: a union of bucketed tables counts as partitioned by key, but its columnar
+        # form only strings their partitions together, and equal keys of two runs would stay apart
+        schema = self.spark.table(runs[0][0]).schema
+        rows = self.spark.read.schema(schema).parquet(*(path for _, path in runs))
         return rows.groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch of (id, key), each key once per document."""
         batch = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-        for name in self._runs():
+        for name, _ in self._runs():
             run = self.spark.table(name).where(F.col("n") >= self.min_docs).select("key", F.col("last").alias("seen"))
             settled = (batch["key"] == run["key"]) & (run["seen"] >= F.coalesce(batch["last"], run["seen"]))
             batch = batch.join(run, settled, "left_anti")
