@@ -29,20 +29,20 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricspark.llm import frames
 from metricspark.llm.texts import END, LETTER, MARK, OTHER, SPACE, codes, kinds, pieces, span_hashes
 
 LEXICON = 1 << 16
 # Words of more bytes are left to the merges, and are not counted.
 LONGEST = 40
 # Words a task keeps while it counts.
-COUNTED = 1 << 16
+COUNTED = 1 << 15
 # Code points encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 # Words of more bytes are merged with a queue, shorter ones side by side.
 QUEUED = 128
 
@@ -427,8 +427,8 @@ def _counted(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
-        for batch in batches:
-            for group in pieces(batch.column(0).to_pylist()):
+        for batch in frames.slices(batches, 0, SLICE):
+            for group in pieces(batch.column(0).to_pylist(), SLICE):
                 cut = Slice([p for _, p in group])
                 data, counts = cut.bytes.tobytes(), np.bincount(cut.which, minlength=len(cut.first))
                 short = np.flatnonzero(cut.word_end - cut.word_start <= LONGEST)
@@ -495,8 +495,12 @@ class Bpe:
         name = self.name  # the functions below hold the name alone; the file comes with Spark
 
         def run(texts: pa.Array) -> pa.Array:
-            ids, at = load(SparkFiles.get(name)).encode(texts.to_pylist())
-            return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+            tokens, ids, ends = load(SparkFiles.get(name)), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+            for start, length in frames.spans(texts, SLICE):
+                some, at = tokens.encode(texts.slice(start, length).to_pylist())
+                ids.append(some)
+                ends.append(ends[-1][-1] + at[1:])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
 
         return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
 
@@ -505,10 +509,11 @@ class Bpe:
         name = self.name
 
         def run(lists: pa.Array) -> pa.Array:
-            at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(False))])
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            found = load(SparkFiles.get(name)).decode(flat, at.astype(np.int64))
-            return pa.array([b.decode("utf-8", "replace") for b in found], pa.string())
+            tokens, out = load(SparkFiles.get(name)), []
+            for x in lists:
+                ids = x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64)
+                out.append(tokens.decode(ids, np.array([0, len(ids)]))[0].decode("utf-8", "replace"))
+            return pa.array(out, pa.string())
 
         return F.arrow_udf(run, "string")(ids)
 

@@ -26,19 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spans(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, as (start, length), whose texts hold about `size` bytes, or one row."""
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > size:
+            yield start, i - start
+            start, total = i, 0
+        total += n + 1
+    if len(lengths):
+        yield start, len(lengths) - start
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text column of each holds about `size` bytes, or one row."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-        start, total = 0, 0
-        for i, n in enumerate(lengths):
-            if total and total + n > size:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += int(n) + 1
-        yield batch.slice(start)
+        for start, length in spans(batch.column(column), size):
+            yield batch.slice(start, length)
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
