@@ -18,30 +18,35 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels of `sf_dir`."""
+    frames.small_batches(spark)
     model = quality.fit(docs, frames.table(spark, sf_dir, "labels"))
     return quality.classify(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many of them share; n_chars counts what is left."""
+    frames.small_batches(spark)
     kept = dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; rows without an id stay."""
+    frames.small_batches(spark)
     others = jaccard_join(docs).where("class_id < doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    frames.small_batches(spark)
     found = with_leaks(docs, frames.table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, and whether they decode to its text."""
+    frames.small_batches(spark)
     tokenizer = bpe.with_lexicon(docs, "text", VOCABULARY)
     encoded = docs.select("doc_id", "text").withColumn("ids", tokenizer.encode(F.col("text")))
     return encoded.select(

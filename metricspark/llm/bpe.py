@@ -462,6 +462,9 @@ def frequent_words(texts: DataFrame, text_col: str, most: int = LEXICON, counted
     return sorted(bytes(r.word) for r in rows)
 
 
+_brought: set[tuple[str, str]] = set()
+
+
 class Bpe:
     """Encoder and decoder columns for one vocabulary and lexicon."""
 
@@ -487,8 +490,11 @@ class Bpe:
         save(local, arrays, added)
         with open(local, "rb") as f:
             self.name = f"lexicon-{hashlib.file_digest(f, 'sha256').hexdigest()[:32]}"
-        os.rename(local, os.path.join(folder, self.name))
-        spark.sparkContext.addFile(os.path.join(folder, self.name))
+        context = spark.sparkContext
+        if (context.applicationId, self.name) not in _brought:  # the name tells the content
+            os.rename(local, os.path.join(folder, self.name))
+            context.addFile(os.path.join(folder, self.name))
+            _brought.add((context.applicationId, self.name))
 
     def encode(self, text: Column) -> Column:
         """The ids of a text."""

@@ -116,18 +116,14 @@ class LineRuns:
 def _kept(min_chars: int):
     """Per row the text without its lines of the given keys, and how many went; null keys change nothing."""
 
+    def cut(text: str | None, gone: set[bytes]) -> tuple[str, int]:
+        lines = (text or "").encode().split(b"\n")
+        rest = [line for line in lines if line_key(line, min_chars) not in gone]
+        return b"\n".join(rest).decode(), len(lines) - len(rest)
+
     def run(text: pa.Array, keys: pa.Array) -> pa.Array:
-        kept, dropped = [], []
-        for t, k in zip(text.to_pylist(), keys.to_pylist()):
-            if k is None:
-                kept.append(None)
-                dropped.append(0)
-                continue
-            lines = (t or "").encode().split(b"\n")
-            gone = set(k)
-            rest = [line for line in lines if line_key(line, min_chars) not in gone]
-            kept.append(b"\n".join(rest).decode())
-            dropped.append(len(lines) - len(rest))
+        done = ((None, 0) if not k.is_valid else cut(t.as_py(), set(k.as_py())) for t, k in zip(text, keys))
+        kept, dropped = zip(*done) if len(text) else ((), ())
         return pa.StructArray.from_arrays(
             [pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], names=["text", "n"]
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ import public_tokenizers
 from metricspark.llm import bpe, chat, quality, urls, warc
 from metricspark.llm.decontamination import with_leaks
 from metricspark.llm.embeddings import range_join
-from metricspark.llm.frames import hex_sha256, table
+from metricspark.llm.frames import hex_sha256, small_batches, table
 from metricspark.llm.jaccard import jaccard_join
 from metricspark.llm.lines import dedup_lines
 from metricspark.llm.surrogates import replace_pii
@@ -22,8 +23,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
