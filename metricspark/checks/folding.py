@@ -83,7 +83,7 @@ def summary_large_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series counts as too large to be ranked whole, so counting passes narrow it first."""
     tables(spark, sf_dir, "lineitem")
     metric = MetricDef("summary", "price", PRICES, objectives=(0.001, 0.5, 0.99, 1))
-    return rounded(flat(summary_exact(to_rows(spark.sql(PRICES)), metric, "price", rank_rows=500, map_rows=500)))
+    return rounded(flat(summary_exact(to_rows(spark.sql(PRICES)), metric, "price", rank_rows=500, list_rows=500)))
 
 
 @check("a20_summary_sketch")

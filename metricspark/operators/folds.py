@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from metricspark.defs import DEFAULT_BUCKETS, MetricDef
 from metricspark.functions.numbers import python_number_text
 from metricspark.operators.labels import canonical, check_label_name
-from metricspark.operators.quantiles import MAP_ROWS, RANK_ROWS, exact_quantiles
+from metricspark.operators.quantiles import LIST_ROWS, RANK_ROWS, exact_quantiles
 from metricspark.operators.samples import ORDER, VALUE, Rows
 from metricspark.session import settle
 
@@ -195,13 +195,13 @@ def summary_exact(
     name: str,
     global_labels: Mapping[str, str] | None = None,
     rank_rows: int = RANK_ROWS,
-    map_rows: int = MAP_ROWS,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """A summary whose quantiles are the exact discrete quantiles of its series."""
     check_labels(metric, [*rows.labels, *(global_labels or {})])
     frame = settle(rows.frame) if metric.stage else rows.frame
     qs = objectives(metric)
-    series = exact_quantiles(frame, rows.keys, VALUE, qs, rank_rows, map_rows)
+    series = exact_quantiles(frame, rows.keys, VALUE, qs, rank_rows, list_rows)
     lines = quantile_lines(metric, [f"q_{i}" for i in range(len(qs))])
     fold = Fold(metric, name, (), (*lines, Line("_sum", "total"), Line("_count", "n")))
     return emit(series, rows, [fold], global_labels or {})

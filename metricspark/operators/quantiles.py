@@ -11,6 +11,7 @@ lost executor finds the same ranges.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_DOWN, Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from metricspark.session import settle
 
-# Most rows of one series whose values are held in a map: many such maps fit into one task.
-MAP_ROWS = 20_000
+# Most rows of one series whose values are held in a list: many such lists fit into one task.
+LIST_ROWS = 20_000
 # Most rows of one series that are ranked within one window group, which may spill.
 RANK_ROWS = 1_000_000
 # Ranges a pass divides each open range into.
@@ -54,8 +55,12 @@ def _renamed(right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Co
 
 
 def _rank(q: float) -> str:
-    """SQL of ceil(q * n) in decimal arithmetic: 0.07 of 100 rows is the 7th row."""
-    return f"greatest(1L, cast(ceil(cast({q:.12f} as decimal(13,12)) * cast(n as decimal(20,0))) as bigint))"
+    """SQL of ceil(q * n) in decimal arithmetic, for the shortest decimal that reads as q: 0.07 of 100
+    rows is the 7th row, and 2/3 of 30,000 the 20,000th. Series of every size go by it."""
+    if q >= 1:
+        return "n"
+    text = f"{Decimal(repr(float(q))).quantize(Decimal('1e-18'), ROUND_DOWN):f}"
+    return f"greatest(1L, cast(ceil(cast('{text}' as decimal(18,18)) * cast(n as decimal(19,0))) as bigint))"
 
 
 def _root(x: Column) -> Column:
@@ -109,14 +114,13 @@ def _at_rank(targets: DataFrame, counted: DataFrame, keys: Sequence[str]) -> Dat
     return _match(targets, counted, [*keys, "lo", "hi"], reached, not_before)
 
 
-def _rank_in_maps(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """All quantiles from one map of values per series, with one shuffle; for small series only."""
-    # a step below q, as the product q * n may be rounded up past a whole number
-    wanted = ", ".join(f"double('{max(q - 1e-12, 0.0)!r}')" for q in qs)
-    found = f"percentile_disc(array({wanted})) within group (order by {value}) as found"
+def _rank_in_lists(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """All quantiles from one sorted list of values per series, with one shuffle; for small series only."""
+    found = f"sort_array(collect_list({value})) as found"
     totals = ["count(1) as n", f"sum({value}) as total", *([found] if qs else [])]
     series = rows.groupBy(*keys).agg(*[F.expr(t) for t in totals]).where("n > 0")
-    return series.selectExpr(*keys, "n", "total", *[f"found[{i}] as q_{i}" for i in range(len(qs))])
+    ranked = [f"element_at(found, cast({_rank(q)} as int)) as q_{i}" for i, q in enumerate(qs)]
+    return series.selectExpr(*keys, "n", "total", *ranked)
 
 
 def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, rank_rows: int) -> DataFrame:
@@ -157,7 +161,7 @@ def exact_quantiles(
     value: str,
     qs: Sequence[float],
     rank_rows: int = RANK_ROWS,
-    map_rows: int = MAP_ROWS,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """One row per series: its keys, `n`, `total`, and `q_0`, `q_1`, ... for the given quantiles.
 
@@ -179,14 +183,14 @@ def exact_quantiles(
         return stats.select(*keys, "n", "total")
     # this pass reads the key columns only
     smallest, largest = stats.agg(F.min("n"), F.max("n")).first()
-    if largest is None or largest <= map_rows:
-        return _rank_in_maps(rows, keys, value, qs)
+    if largest is None or largest <= list_rows:
+        return _rank_in_lists(rows, keys, value, qs)
     stats = settle(stats)
-    large = stats.where(F.col("n") > map_rows)
+    large = stats.where(F.col("n") > list_rows)
     out = _rank_in_ranges(rows, large, keys, value, qs, rank_rows)
-    if smallest <= map_rows:
+    if smallest <= list_rows:
         names = settle(large.select(*keys))
-        out = out.unionByName(_rank_in_maps(_except(rows, _sized(names), keys), keys, value, qs))
+        out = out.unionByName(_rank_in_lists(_except(rows, _sized(names), keys), keys, value, qs))
     return out
 
 

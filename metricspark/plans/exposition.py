@@ -13,8 +13,8 @@ ORDER = ("name", "part", "base", "pos")
 def render(samples: DataFrame) -> DataFrame:
     """Lines with the columns they are ordered by: metrics by name, HELP and TYPE before the series.
 
-    Each series carries the header lines along and equal lines are merged, so the samples are
-    computed once and a metric without samples gets no header.
+    Each series carries the header lines along and only equal lines are merged, so the samples are
+    computed once, a metric without samples gets no header, and every different value is kept.
     """
     braces = F.when(F.col("series") == "", "").otherwise(F.concat(F.lit("{"), F.col("series"), F.lit("}")))
     help_text = F.replace(F.replace(F.col("help"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
@@ -32,7 +32,7 @@ def render(samples: DataFrame) -> DataFrame:
         line(1, none, zero, "# TYPE ", name, " ", F.col("kind")),
     ]
     lines = F.when(F.col("pos") == 0, F.array(*heads, value)).otherwise(F.array(value))
-    return samples.select("name", F.inline(lines)).groupBy(*ORDER).agg(F.max("line").alias("line"))
+    return samples.select("name", F.inline(lines)).select(*ORDER, "line").distinct()
 
 
 def write_text(samples: DataFrame, path: str) -> None:

@@ -34,6 +34,7 @@ class PackageRun:
     spark: SparkSession
     parts: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
+    names: dict[str, str] = field(default_factory=dict)
 
     @property
     def samples(self) -> DataFrame:
@@ -72,20 +73,27 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame | None:
     return _union(parts[:half]).union(_union(parts[half:]))
 
 
-def named_metrics(package: Package) -> list[tuple[MetricDef, str]]:
-    """Enabled metrics with their full names.
+def named_metrics(
+    package: Package, taken: Mapping[str, str] | None = None
+) -> tuple[list[tuple[MetricDef, str]], dict[str, str]]:
+    """Enabled metrics with their full names, and errors of those that are left out.
 
-    A name used twice within a kind means its later definition; across kinds it is an error.
+    A name used twice within a kind means its later definition. Over several kinds or packages the
+    first registration stays; `taken` says which names are, and by what.
     """
     by_name: dict[tuple[str, str], MetricDef] = {}
     for m in package.metrics:
         if m.enabled:
             by_name[m.kind, full_name(package.prefix, package.name, m.name)] = m
-    kinds: dict[str, str] = {}
-    for kind, name in by_name:
-        if kinds.setdefault(name, kind) != kind:
-            raise ValueError(f"metric {name} is both a {kinds[name]} and a {kind}")
-    return [(m, name) for (_, name), m in by_name.items()]
+    kept, errors = [], {}
+    owners = dict(taken or {})
+    for (kind, name), m in by_name.items():
+        if name in owners:
+            errors[f"{kind} {name} of {package.name}"] = f"the name is taken by {owners[name]}"
+        else:
+            owners[name] = f"a {kind} of {package.name}"
+            kept.append((m, name))
+    return kept, errors
 
 
 def _query_key(m: MetricDef) -> tuple[str, str | None]:
@@ -97,6 +105,7 @@ def run_package(
     package: Package,
     global_labels: Mapping[str, str] | None = None,
     now: float | None = None,
+    taken: Mapping[str, str] | None = None,
 ) -> PackageRun:
     """Run one package. A metric that cannot be planned is noted in `errors`; the others go on.
 
@@ -110,7 +119,10 @@ def run_package(
 
     # metrics over the same query are folded together, so it is scanned and shuffled once
     queries: dict[tuple[str, str | None], list[tuple[MetricDef, str]]] = {}
-    for m, name in named_metrics(package):
+    metrics, clashes = named_metrics(package, taken)
+    run.errors.update(clashes)
+    run.names = {name: f"a {m.kind} of {package.name}" for m, name in metrics}
+    for m, name in metrics:
         queries.setdefault(_query_key(m), []).append((m, name))
     ranked: list[tuple[Rows, MetricDef, str]] = []
     for (_, order_by), metrics in queries.items():
@@ -162,16 +174,12 @@ def run_packages(
     total = PackageRun(spark)
     for package in packages:
         try:
-            run = run_package(spark, package, global_labels, now)
+            run = run_package(spark, package, global_labels, now, total.names)
         except FAILURES as e:
             total.errors[f"package {package.name}"] = str(e)
             continue
-        for name, part in run.parts.items():
-            # two packages may give the same name; both stay, as two parts
-            key = name
-            while key in total.parts:
-                key += " "
-            total.parts[key] = part
+        total.names.update(run.names)
+        total.parts.update(run.parts)
         total.errors.update(run.errors)
     return total
 

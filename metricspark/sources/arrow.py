@@ -67,6 +67,8 @@ def read_arrow(spark: SparkSession, path: str, schema: str | StructType | None)
     list_batches, read_batches = _tasks(to_arrow_schema(declared))
     files = spark.read.format("binaryFile").load(path).select("path")
     splits = files.mapInArrow(list_batches, "path string, batch long")
-    # neighbouring batches of a large file go to different tasks
-    spread = splits.repartition(F.col("path"), F.col("batch"))
+    # neighbouring batches of a large file go to different tasks; the number is given, as adaptive
+    # execution would otherwise merge the few bytes of paths into one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = splits.repartition(tasks, F.col("path"), F.col("batch"))
     return spread.mapInArrow(read_batches, declared)

@@ -8,13 +8,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from metricspark.defs import SourceDef
-from metricspark.sources.arrow import read_arrow
 from metricspark.sources.jdbc import read_jdbc
 
 
 def read_source(spark: SparkSession, d: SourceDef, variables: Mapping[str, Any] | None = None) -> DataFrame:
     """Read by type; any other type is SQL, which sees the sources registered before it.
 
+    CSV and JSON raise at damaged rows, and CSV at a header that contradicts the schema, unless the
+    options `mode` and `enforceSchema` ask for Spark's lenient reading.
     Files take a path, a glob or any URI Spark has a file system for. Give CSV and JSON a
     `schema` where the data is large: inferring one reads the files once more.
     """
@@ -25,8 +26,10 @@ def read_source(spark: SparkSession, d: SourceDef, variables: Mapping[str, Any]
             reader = reader.schema(d.schema)
         if kind == "parquet":
             return reader.parquet(d.source)
+        reader = reader.option("mode", d.options.get("mode", "FAILFAST"))
         if kind == "csv":
             reader = reader.option("header", d.options.get("header", True))
+            reader = reader.option("enforceSchema", d.options.get("enforceSchema", False))
             if not d.schema:
                 reader = reader.option("inferSchema", d.options.get("inferSchema", True))
             return reader.csv(d.source)
@@ -34,6 +37,8 @@ def read_source(spark: SparkSession, d: SourceDef, variables: Mapping[str, Any]
     if kind == "jdbc":
         return read_jdbc(spark, d)
     if kind == "arrow":
+        from metricspark.sources.arrow import read_arrow  # needs pyarrow, which other sources do without
+
         return read_arrow(spark, d.source, d.schema)
     return sql(spark, d.source, variables)
 

@@ -9,7 +9,7 @@ from metricspark.defs import MetricDef
 from metricspark.functions.text import bm25
 from metricspark.operators.enrich import add_labels
 from metricspark.operators.folds import fold_rows
-from metricspark.operators.quantiles import _rank_in_maps
+from metricspark.operators.quantiles import _rank_in_lists
 from metricspark.operators.samples import to_rows
 from metricspark.plans.exposition import render
 
@@ -79,7 +79,7 @@ def test_a_query_grouped_by_its_label_is_not_shuffled_again(spark, lines):
 
 
 def test_small_series_are_ranked_with_one_shuffle(spark, lines):
-    text = plan(_rank_in_maps(spark.table("plan_lines").select("flag", "price"), ["flag"], "price", (0.5, 0.9)))
+    text = plan(_rank_in_lists(spark.table("plan_lines").select("flag", "price"), ["flag"], "price", (0.5, 0.9)))
     assert count(text, "FileScan") == 1 and count(text, "Exchange") == 1
 
 
