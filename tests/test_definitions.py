@@ -12,19 +12,18 @@ def test_source_defaults():
 
 
 def test_merge_keeps_kinds_and_order():
-    first = [MetricDef("gauge", "gauge1", ""), MetricDef("counter", "counter1", "")]
-    second = [MetricDef("histogram", "h", ""), MetricDef("gauge", "gauge2", ""), MetricDef("summary", "s", "")]
-    merged = merge_metrics(first, second)
-    assert [m.name for m in merged] == ["gauge1", "gauge2", "counter1", "s", "h"]
+    mine = [MetricDef("gauge", "stock", ""), MetricDef("counter", "returns", "")]
+    theirs = [MetricDef("histogram", "weight", ""), MetricDef("gauge", "price", ""), MetricDef("summary", "wait", "")]
+    assert [m.name for m in merge_metrics(mine, theirs)] == ["stock", "price", "returns", "wait", "weight"]
 
 
 @pytest.mark.parametrize(
-    "labels", [{"cell": "ausw1", "fromEnv": "$FROMENV"}, [{"cell": "ausw1"}, {"fromEnv": "$FROMENV"}]]
+    "labels", [{"region": "north", "team": "$OWNER_TEAM"}, [{"region": "north"}, {"team": "$OWNER_TEAM"}]]
 )
 def test_config_labels(monkeypatch, labels):
-    monkeypatch.setenv("FROMENV", "testing")
-    config = Config.from_dict({"name": "fake", "globalLabels": labels, "instanceLabel": "exporter"})
-    assert config.labels() == {"cell": "ausw1", "fromEnv": "testing", "exporter": "fake"}
+    monkeypatch.setenv("OWNER_TEAM", "billing")
+    config = Config.from_dict({"name": "ledger", "globalLabels": labels, "instanceLabel": "job"})
+    assert config.labels() == {"region": "north", "team": "billing", "job": "ledger"}
 
 
 def test_empty_and_unset_labels(monkeypatch):
@@ -48,8 +47,8 @@ def test_shipped_metrics_are_complete():
 @pytest.mark.parametrize(
     "sql, made",
     [
-        ("test() as (select 1)", "test() return (select 1)"),
-        ("one() AS (SELECT 1);", "one() return (SELECT 1);"),
+        ("vat() as (0.19)", "vat() return (0.19)"),
+        ("newest() AS (SELECT max(ts) FROM events);", "newest() return (SELECT max(ts) FROM events);"),
         ("f(x int) returns int return cast(x as int)", "f(x int) returns int return cast(x as int)"),
         ("f(x int) return x + 1", "f(x int) return x + 1"),
         ("f(x decimal(10,2)) as x", "f(x decimal(10,2)) return x"),
@@ -62,10 +61,11 @@ def test_macro_sql(sql, made):
 
 def test_repeated_names():
     first, last = MetricDef("gauge", "m", "select 1"), MetricDef("gauge", "m", "select 2")
-    assert named_metrics(Package("p", metrics=(first, last))) == [(last, "p_m")]
-    with pytest.raises(ValueError, match="both"):
-        named_metrics(Package("p", metrics=(first, MetricDef("counter", "m", "select 1"))))
+    assert named_metrics(Package("p", metrics=(first, last))) == ([(last, "p_m")], {})
+    kept, errors = named_metrics(Package("p", metrics=(first, MetricDef("counter", "m", "select 1"))))
+    assert kept == [(first, "p_m")] and list(errors) == ["counter p_m of p"]
+    assert named_metrics(Package("p", metrics=(first,)), {"p_m": "a gauge of q"})[0] == []
 
 
 def test_disabled_metrics_are_left_out():
-    assert named_metrics(Package("p", metrics=(MetricDef("gauge", "m", "", enabled=False),))) == []
+    assert named_metrics(Package("p", metrics=(MetricDef("gauge", "m", "", enabled=False),))) == ([], {})
