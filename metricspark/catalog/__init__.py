@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from metricspark.defs import Package
 
-NAMES = ("social_feed", "taxi_trips", "query_history")
+NAMES = ("activity", "deliveries", "sales")
 
 
 def load(name: str, materialize: bool | None = None) -> Package:

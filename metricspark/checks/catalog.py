@@ -12,43 +12,31 @@ from metricspark.checks.harness import check, samples, tables
 from metricspark.plans.package import run_package, run_packages
 
 INPUTS = {
-    "social_feed": ("region", "customer", "supplier", "conversations", "events"),
-    "taxi_trips": ("lineitem",),
-    "query_history": ("orders", "customer"),
+    "activity": ("region", "customer", "supplier", "conversations", "events"),
+    "deliveries": ("lineitem",),
+    "sales": ("orders", "customer"),
 }
 ALL_INPUTS = tuple(dict.fromkeys(t for ts in INPUTS.values() for t in ts))
 
-QUERY_HISTORY = """(select c_mktsegment as user_name, o_orderpriority as warehouse_name,
-  o_orderstatus as execution_status,
-  case when o_orderkey % 3 = 0 then 'SELECT' when o_orderkey % 3 = 1 then 'INSERT' else 'MERGE' end as query_type,
-  o_totalprice / 10 as total_elapsed_time,
-  o_orderkey % 1000 as local_bytes, o_custkey % 1000 as remote_bytes
-  from orders left join customer on o_custkey = c_custkey) h"""
-TRIPS = "(select l_suppkey as pickup_id, l_extendedprice as fare from lineitem) t"
-POSTS = """(select role as handle, turn as replies, conv_id % 7 as reposts,
-  length(text) as likes, conv_id % 3 as quotes from conversations) p"""
-STREAM = """(select case when event_id % 50 = 0 then null else event_type end as collection,
-  case when user_id % 4 = 0 then 'delete' else 'create' end as operation,
-  case when event_id % 20 = 0 then null
-    else 'at://u' || user_id || '/k' || (props->>'k') end as uri,
-  date_trunc('minute', ts) as minute from events) s"""
+TURNS = "(select conv_id, turn, role, length(text) as chars from conversations) t"
+ACTIONS = """(select user_id, value as amount, case when event_id % 40 = 7 then null else event_type end as kind,
+  ts as done, props->>'k' as no from events) a"""
+DELIVERED = "(select l_suppkey, l_extendedprice * (1 - l_discount) as net from lineitem) d"
+ORDERED = """(select c_mktsegment as segment, o_orderpriority as priority, o_orderstatus as state,
+  year(o_orderdate) as ordered_in, o_totalprice / 100 as price, c_acctbal as balance
+  from orders left join customer on c_custkey = o_custkey) o"""
 
-THIRDS = (0.5, 0.9, 0.99)
-RATES = (0.5, 0.9, 0.99, 0.999)
-SPREAD = (0.001, 0.01, 0.05, 0.5, 0.9, 0.99)
-BUCKETS = (0.1, 0.5, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
+OF_TURNS = (0.25, 0.75, 0.95)
+OF_TIMES = (0.1, 0.5, 0.95)
+SPREAD = (0.002, 0.02, 0.1, 0.5, 0.95, 0.995)
+BUCKETS = (20, 50, 100, 250, 500, 750, 1000, 1500, 2000, 2500, 3000, 3500, 4000, 4500, 4750, 4900, 4950, 4990)
 
-
-def _q(name: str) -> str:
-    return f"query_history_{name}"
-
-
-def _s(name: str) -> str:
-    return f"social_feed_{name}"
-
-
-BY_WAREHOUSE = {"user": o.text("user_name"), "warehouse": o.text("warehouse_name")}
-HANDLE = {"handle": o.text("handle")}
+ROLE = {"role": o.text("role")}
+SUPPLIER = {"supplier": o.text("l_suppkey")}
+SEGMENT = {"segment": o.text("segment")}
+ORDER = {**SEGMENT, "priority": o.text("priority")}
+# an object as label text, where quotes are escaped
+ITEM = """coalesce('{\\"no\\":' || no || '}', 'NULL')"""
 
 
 def _grouped(columns: str, agg: str, source: str, where: str = "true") -> str:
@@ -59,100 +47,69 @@ def _total(agg: str, source: str, where: str = "true") -> str:
     return f"(select {agg} as a from {source} where {where}) g"
 
 
-def _per_minute(name: str, where: str) -> str:
-    return o.summary(_s(name), {}, "a", _grouped("minute", "count(*)", STREAM, where), RATES)
+def _activity(name: str, labels: dict, source: str) -> tuple[str, str, str]:
+    return "activity", name, o.gauge(f"activity_{name}", labels, "a", source)
+
 
+def _per_time(name: str, agg: str, unit: str, kind: str) -> tuple[str, str, str]:
+    group = _grouped(f"date_trunc('{unit}', done) as t", agg, ACTIONS, f"kind = '{kind}'")
+    return "activity", name, o.summary(f"activity_{name}", {}, "a", group, OF_TIMES)
 
-def _by_warehouse(name: str, agg: str) -> str:
-    return o.gauge(_q(name), BY_WAREHOUSE, "a", _grouped("user_name, warehouse_name", agg, QUERY_HISTORY))
 
+def _top(kind: str, order: str) -> str:
+    counts = f"select no, count(no) as a from {ACTIONS} where kind = '{kind}' group by no"
+    return f"({counts} order by a desc, {order} limit 10) g"
 
-def _top(name: str, label: str, expr: str, where: str) -> str:
-    ten = f"""(select {expr} as k, count(*) as a from {STREAM} where {where} and uri is not null
-      group by 1 order by 2 desc, 1 limit 10) g"""
-    return o.gauge(_s(name), {label: "replace(k, '\"', '\\\"')"}, "a", ten)
 
+def _sales(name: str, labels: dict, columns: str, agg: str) -> tuple[str, str, str]:
+    return "sales", name, o.gauge(f"sales_{name}", labels, "a", _grouped(columns, agg, ORDERED))
 
-# package, metric, its SQL twin; in the order of the inventory
+
+# package, metric, its SQL twin
 METRICS = [
-    ("social_feed", "starter_packs", o.gauge(_s("starter_packs"), {}, "a", _total("count(*)", "region"))),
-    ("social_feed", "followers", o.gauge(_s("followers"), {}, "a", _total("count(*)", "customer"))),
-    ("social_feed", "follows", o.gauge(_s("follows"), {}, "a", _total("count(*)", "supplier"))),
-    ("social_feed", "posts", o.gauge(_s("posts"), {}, "a", _total("count(*)", "conversations"))),
-    ("social_feed", "replies", o.gauge(_s("replies"), {}, "a", _total("sum(replies)", POSTS))),
-    ("social_feed", "reposts", o.gauge(_s("reposts"), {}, "a", _total("sum(reposts)", POSTS))),
-    ("social_feed", "likes", o.gauge(_s("likes"), {}, "a", _total("sum(likes)", POSTS))),
-    ("social_feed", "quotes", o.gauge(_s("quotes"), {}, "a", _total("sum(quotes)", POSTS))),
-    ("social_feed", "posts_by_author", o.gauge(_s("posts_by_author"), HANDLE, "a", _grouped("handle", "count(*)", POSTS))),
-    ("social_feed", "likes_by_author", o.gauge(_s("likes_by_author"), HANDLE, "a", _grouped("handle", "sum(likes)", POSTS))),
-    ("social_feed", "stream_records", o.gauge(_s("stream_records"), {}, "a", _total("count(*)", STREAM))),
-    (
-        "social_feed",
-        "stream_collections",
-        o.gauge(
-            _s("stream_collections"),
-            {"collection": "c"},
-            "a",
-            _grouped("coalesce(collection, 'unknown') as c", "count(*)", STREAM),
-        ),
-    ),
-    ("social_feed", "top_followed", _top("top_followed", "did", """'{"uri":"' || uri || '"}'""", "collection = 'click'")),
-    ("social_feed", "top_liked", _top("top_liked", "post", "uri", "collection = 'purchase'")),
-    (
-        "social_feed",
-        "signups",
-        o.gauge(_s("signups"), {}, "a", _total("count(*)", STREAM, "collection = 'signup' and operation = 'create'")),
-    ),
-    ("social_feed", "author_post_likes", o.summary(_s("author_post_likes"), HANDLE, "likes", POSTS, THIRDS)),
-    ("social_feed", "author_post_reposts", o.summary(_s("author_post_reposts"), HANDLE, "reposts", POSTS, THIRDS)),
-    ("social_feed", "signups_per_minute", _per_minute("signups_per_minute", "collection = 'signup' and operation = 'create'")),
-    ("social_feed", "reposts_per_minute", _per_minute("reposts_per_minute", "collection = 'error'")),
-    ("social_feed", "likes_per_minute", _per_minute("likes_per_minute", "collection = 'purchase' and operation = 'create'")),
-    ("social_feed", "follows_per_minute", _per_minute("follows_per_minute", "collection = 'click' and operation = 'create'")),
-    ("social_feed", "posts_per_minute", _per_minute("posts_per_minute", "collection = 'view' and operation = 'create'")),
-    (
-        "taxi_trips",
-        "fare_total_by_pickup",
-        o.gauge(
-            "taxi_trips_fare_total_by_pickup", {"pickup": o.text("pickup_id")}, "a", _grouped("pickup_id", "sum(fare)", TRIPS)
-        ),
-    ),
-    (
-        "taxi_trips",
-        "fares_by_pickup",
-        o.summary("taxi_trips_fares_by_pickup", {"pickup": o.text("pickup_id")}, "fare", TRIPS, SPREAD),
-    ),
+    _activity("regions", {}, _total("count(*)", "region")),
+    _activity("customers", {}, _total("count(*)", "customer")),
+    _activity("suppliers", {}, _total("count(*)", "supplier")),
+    _activity("turns", {}, _total("count(*)", "conversations")),
+    _activity("text_chars", {}, _total("sum(chars)", TURNS)),
+    _activity("long_texts", {}, _total("count(*)", TURNS, "chars >= 300")),
+    _activity("first_turns", {}, _total("count(*)", TURNS, "turn = 0")),
+    _activity("answer_chars", {}, _total("coalesce(sum(chars) filter (role = 'assistant'), 0)", TURNS)),
+    _activity("turns_by_role", ROLE, _grouped("role", "count(turn)", TURNS)),
+    _activity("longest_by_role", ROLE, _grouped("role", "max(chars)", TURNS)),
+    _activity("actions", {}, _total("count(amount)", ACTIONS)),
+    _activity("actions_by_kind", {"kind": "coalesce(kind, 'not told')"}, _grouped("kind", "count(amount)", ACTIONS)),
+    _activity("most_clicked", {"item": ITEM}, _top("click", "no || '}'")),
+    _activity("most_bought", {"item": o.text("no")}, _top("purchase", "no")),
+    _activity("large_signups", {}, _total("count(*)", ACTIONS, "kind = 'signup' and amount >= 10")),
+    ("activity", "chars_by_role", o.summary("activity_chars_by_role", ROLE, "chars", TURNS, OF_TURNS)),
+    ("activity", "turn_by_role", o.summary("activity_turn_by_role", ROLE, "turn", TURNS, OF_TURNS)),
+    _per_time("signups_an_hour", "count(*)", "hour", "signup"),
+    _per_time("errors_an_hour", "count(*)", "hour", "error"),
+    _per_time("spent_a_minute", "sum(amount)", "minute", "purchase"),
+    _per_time("clickers_an_hour", "count(distinct user_id)", "hour", "click"),
+    _per_time("views_a_minute", "count(*)", "minute", "view"),
     (
-        "query_history",
-        "queries_by_status",
-        o.gauge(
-            _q("queries_by_status"),
-            {**BY_WAREHOUSE, "status": o.text("status")},
-            "a",
-            _grouped("user_name, warehouse_name, lower(execution_status) as status", "count(*)", QUERY_HISTORY),
-        ),
+        "deliveries",
+        "net_by_supplier",
+        o.gauge("deliveries_net_by_supplier", SUPPLIER, "a", _grouped("l_suppkey", "sum(net)", DELIVERED)),
     ),
-    ("query_history", "queries_by_warehouse", _by_warehouse("queries_by_warehouse", "count(*)")),
-    ("query_history", "mean_duration", _by_warehouse("mean_duration", "avg(total_elapsed_time)")),
     (
-        "query_history",
-        "operations_by_type",
-        o.gauge(
-            _q("operations_by_type"),
-            {"user": o.text("user_name"), "query_type": o.text("query_type")},
-            "a",
-            _grouped("user_name, query_type", "count(*)", QUERY_HISTORY),
-        ),
+        "deliveries",
+        "line_net_by_supplier",
+        o.summary("deliveries_line_net_by_supplier", SUPPLIER, "net", DELIVERED, SPREAD),
     ),
-    ("query_history", "mean_local_spill_bytes", _by_warehouse("mean_local_spill_bytes", "avg(local_bytes)")),
-    ("query_history", "mean_remote_spill_bytes", _by_warehouse("mean_remote_spill_bytes", "avg(remote_bytes)")),
-    ("query_history", "duration", o.histogram(_q("duration"), BY_WAREHOUSE, "total_elapsed_time", QUERY_HISTORY, BUCKETS)),
-    (
-        "query_history",
-        "duration_quantiles",
-        o.summary(_q("duration_quantiles"), BY_WAREHOUSE, "total_elapsed_time", QUERY_HISTORY, SPREAD),
+    _sales(
+        "orders_by_state", {**ORDER, "state": o.text("state")}, "segment, priority, lower(state) as state", "count(*)"
     ),
-    ("query_history", "queries_executed", o.counter(_q("queries_executed"), BY_WAREHOUSE, QUERY_HISTORY)),
+    _sales("orders", ORDER, "segment, priority", "count(*)"),
+    _sales("mean_price", ORDER, "segment, priority", "avg(price)"),
+    _sales("orders_by_year", {**SEGMENT, "year": o.text("ordered_in")}, "segment, ordered_in", "count(*)"),
+    _sales("dearest", ORDER, "segment, priority", "max(price)"),
+    _sales("mean_balance", ORDER, "segment, priority", "avg(balance)"),
+    ("sales", "price", o.histogram("sales_price", ORDER, "price", ORDERED, BUCKETS)),
+    ("sales", "price_quantiles", o.summary("sales_price_quantiles", ORDER, "price", ORDERED, SPREAD)),
+    ("sales", "orders_seen", o.counter("sales_orders_seen", ORDER, ORDERED)),
 ]
 
 

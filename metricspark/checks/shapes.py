@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricspark import catalog
 from metricspark.checks import oracle as o
-from metricspark.checks.catalog import INPUTS, POSTS, QUERY_HISTORY, STREAM, TRIPS
+from metricspark.checks.catalog import ACTIONS, DELIVERED, INPUTS, ITEM, ORDERED, ROLE, SEGMENT, SUPPLIER, TURNS
 from metricspark.checks.harness import check, extracted, run_metrics, tables
 from metricspark.functions.macros import register_macros
 from metricspark.sources import register_sources
@@ -28,155 +28,145 @@ def shape(name: str, sql: str, oracle: str) -> None:
     check(name, oracle)(query)
 
 
-HANDLE = {"handle": "handle"}
-USER = {"user": o.text("user_name")}
+KIND = {"kind": o.text("kind")}
 
-shape("b01_alias", "select pickup_id as pickup, fare as value from taxi_trips", o.rows({"pickup": o.text("pickup_id")}, "fare", TRIPS))
-shape("b02_literal", "select user_name as user, 1 as value from query_history", o.rows(USER, "1", QUERY_HISTORY))
-shape("b03_star", "select * from (select pickup_id, fare as v from taxi_trips)", o.rows({"pickup_id": o.text("pickup_id")}, "fare", TRIPS))
+
+def _by(column: str, agg: str, source: str, where: str = "true") -> str:
+    return f"(select {column}, {agg} as a from {source} where {where} group by all) g"
+
+
+shape("b01_alias", "select l_suppkey as supplier, net as value from delivered", o.rows(SUPPLIER, "net", DELIVERED))
+shape("b02_literal", "select segment, 1 as value from ordered", o.rows(SEGMENT, "1", ORDERED))
 shape(
-    "b04_struct_field",
-    "select author.handle, likeCount as val from posts",
-    o.rows(HANDLE, "likes", POSTS),
+    "b03_star",
+    "select * from (select l_suppkey, net as v from delivered)",
+    o.rows({"l_suppkey": o.text("l_suppkey")}, "net", DELIVERED),
 )
+shape("b04_struct_field", "select said.role, said.chars as val from turns", o.rows(ROLE, "chars", TURNS))
 shape(
     "b05_struct_star",
-    "select post.* from (select named_struct('handle', author.handle, 'v', repostCount) as post from posts)",
-    o.rows(HANDLE, "reposts", POSTS),
+    "select part.* from (select named_struct('role', said.role, 'v', turn) as part from turns)",
+    o.rows(ROLE, "turn", TURNS),
 )
 shape(
     "b06_unnest",
-    "select item.author.handle, item.quoteCount as v from (select explode(array(named_struct('author', author, "
-    "'quoteCount', quoteCount), named_struct('author', author, 'quoteCount', quoteCount + 1))) as item from posts)",
-    o.rows(HANDLE, "quotes + extra", f"{POSTS}, (values (0), (1)) e(extra)"),
+    "select part.role, part.v from (select explode(array(named_struct('role', said.role, 'v', turn), "
+    "named_struct('role', said.role, 'v', cast(said.chars as bigint)))) as part from turns)",
+    o.rows(ROLE, "if(extra = 0, turn, chars)", f"{TURNS}, (values (0), (1)) e(extra)"),
 )
 shape(
     "b07_derived_table",
-    "select handle, v from (select handle, likes + quotes as v from (select author.handle, likeCount as likes, "
-    "quoteCount as quotes from posts))",
-    o.rows(HANDLE, "likes + quotes", POSTS),
+    "select role, v from (select role, chars + turn as v from (select said.role as role, said.chars as chars, turn from turns))",
+    o.rows(ROLE, "chars + turn", TURNS),
 )
 shape(
     "b08_filter",
-    "select commit.collection, 1 as v from stream where commit.collection = 'click' and commit.operation = 'create'",
-    o.rows({"collection": "collection"}, "1", f"{STREAM} where collection = 'click' and operation = 'create'"),
+    "select kind, 1 as v from actions where kind = 'click' and amount >= 10",
+    o.rows(KIND, "1", f"{ACTIONS} where kind = 'click' and amount >= 10"),
 )
 shape(
     "b09_is_not_null",
-    "select commit.operation, 1 as v from stream where (get_json_object(commit.record, '$.subject') is not null)",
-    o.rows({"operation": "operation"}, "1", f"{STREAM} where uri is not null"),
+    "select kind, amount as v from actions where kind is not null",
+    o.rows(KIND, "amount", f"{ACTIONS} where kind is not null"),
 )
 shape(
     "b10_coalesce",
-    "select coalesce(commit.collection, 'unknown') as collection, 1 as v from stream",
-    o.rows({"collection": "coalesce(collection, 'unknown')"}, "1", STREAM),
-)
-shape(
-    "b11_lower",
-    "select lower(execution_status) as status, total_elapsed_time as v from query_history",
-    o.rows({"status": "lower(execution_status)"}, "total_elapsed_time", QUERY_HISTORY),
+    "select coalesce(kind, 'not told') as kind, amount as v from actions",
+    o.rows({"kind": "coalesce(kind, 'not told')"}, "amount", ACTIONS),
 )
+shape("b11_lower", "select lower(state) as state, price as v from ordered", o.rows({"state": "lower(state)"}, "price", ORDERED))
 shape(
     "b12_json_extract",
-    "select get_json_object(commit.record, '$.subject') as subject, 1 as v from stream",
-    o.rows({"subject": """coalesce('{\\"uri\\":\\"' || uri || '\\"}', 'NULL')"""}, "1", STREAM),
+    "select get_json_object(details, '$.item') as item, 1 as v from actions",
+    o.rows({"item": ITEM}, "1", ACTIONS),
 )
 shape(
     "b13_json_chain",
-    "select try_variant_get(parse_json(commit.record), '$.subject.uri', 'string') as uri, 1 as v from stream",
-    o.rows({"uri": o.text("uri")}, "1", STREAM),
+    "select try_variant_get(parse_json(details), '$.item.no', 'string') as no, amount as v from actions",
+    o.rows({"no": o.text("no")}, "amount", ACTIONS),
 )
 shape(
     "b14_alias_in_filter",
-    "select post, count(*) from (select *, get_json_object(commit.record, '$.subject.uri') as post from stream) "
-    "where post is not null group by 1",
-    o.rows({"post": "uri"}, "a", f"(select uri, count(*) as a from {STREAM} where uri is not null group by 1) g"),
+    "select item, count(*) from (select *, get_json_object(details, '$.item.no') as item from actions) "
+    "where item is not null group by 1",
+    o.rows({"item": "no"}, "a", _by("no", "count(*)", ACTIONS, "no is not null")),
 )
-shape("b15_global_count", "select count(*) from stream", o.rows({}, "a", "(select count(*) as a from events) g"))
+shape("b15_global_count", "select count(*) from actions", o.rows({}, "a", "(select count(*) as a from events) g"))
 shape(
     "b16_sum",
-    "select pickup_id, sum(fare) as value from taxi_trips group by all",
-    o.rows({"pickup_id": o.text("pickup_id")}, "a", f"(select pickup_id, sum(fare) as a from {TRIPS} group by all) g"),
+    "select l_suppkey as supplier, sum(net) as value from delivered group by all",
+    o.rows(SUPPLIER, "a", _by("l_suppkey", "sum(net)", DELIVERED)),
 )
 shape(
     "b17_average",
-    "select user_name as user, avg(total_elapsed_time) as value from query_history group by all",
-    o.rows(USER, "a", f"(select user_name, avg(total_elapsed_time) as a from {QUERY_HISTORY} group by all) g"),
+    "select segment, avg(price) as value from ordered group by all",
+    o.rows(SEGMENT, "a", _by("segment", "avg(price)", ORDERED)),
 )
 shape(
     "b18_grouped_count",
-    "select author.handle, count(*) from posts group by author.handle",
-    o.rows(HANDLE, "a", f"(select handle, count(*) as a from {POSTS} group by all) g"),
+    "select said.role, count(*) from turns group by said.role",
+    o.rows(ROLE, "a", _by("role", "count(*)", TURNS)),
 )
 shape(
     "b19_group_by_ordinal",
-    "select commit.operation, count(*) from stream group by 1",
-    o.rows({"operation": "operation"}, "a", f"(select operation, count(*) as a from {STREAM} group by all) g"),
+    "select kind, count(*) from actions group by 1",
+    o.rows(KIND, "a", _by("kind", "count(*)", ACTIONS)),
 )
 shape(
     "b20_group_by_all",
-    "select user_name as user, query_type, count(*) as v from query_history group by all",
-    o.rows(
-        {**USER, "query_type": "query_type"},
-        "a",
-        f"(select user_name, query_type, count(*) as a from {QUERY_HISTORY} group by all) g",
-    ),
+    "select segment, state, count(*) as v from ordered group by all",
+    o.rows({**SEGMENT, "state": o.text("state")}, "a", _by("segment, state", "count(*)", ORDERED)),
 )
 shape(
     "b21_order_by_ordinal",
-    "select commit.collection, count(*) from stream group by 1 order by 2 desc, 1 asc",
-    o.rows({"collection": o.text("collection")}, "a", f"(select collection, count(*) as a from {STREAM} group by all) g"),
+    "select kind, count(*) from actions group by 1 order by 2 desc, 1 asc",
+    o.rows(KIND, "a", _by("kind", "count(*)", ACTIONS)),
 )
 shape(
     "b22_top_k",
-    "select get_json_object(commit.record, '$.subject.uri') as uri, count(*) from stream group by 1 order by 2 desc, 1 limit 10",
+    "select get_json_object(details, '$.item.no') as no, count(*) from actions group by 1 order by 2 desc, 1 limit 10",
     o.rows(
-        {"uri": o.text("uri")},
+        {"no": o.text("no")},
         "a",
-        f"(select uri, count(*) as a from {STREAM} group by 1 order by 2 desc, 1 nulls first limit 10) g",
+        f"(select no, count(*) as a from {ACTIONS} group by 1 order by 2 desc, 1 nulls first limit 10) g",
     ),
 )
-MINUTE = "strftime(minute, '%Y-%m-%d %H:%M:%S') || ' +0000 UTC'"
 shape(
     "b23_minute",
-    "select date_trunc('minute', timestamp_micros(time_us)) as minute, count(*) from stream group by 1",
-    o.rows({"minute": MINUTE}, "a", f"(select minute, count(*) as a from {STREAM} group by all) g"),
+    "select date_trunc('minute', at) as minute, count(*) from actions group by 1",
+    o.rows(
+        {"minute": "strftime(minute, '%Y-%m-%d %H:%M:%S') || ' +0000 UTC'"},
+        "a",
+        _by("date_trunc('minute', done) as minute", "count(*)", ACTIONS),
+    ),
 )
 shape(
     "b24_epoch_micros",
-    "select timestamp_micros(time_us) as at, time_us % 1000 as v from stream",
+    "select timestamp_micros(unix_micros(at)) as at, unix_micros(at) % 1000 as v from actions",
     o.rows({"at": "cast(make_timestamp(us) as varchar) || ' +0000 UTC'"}, "us % 1000", "(select epoch_us(ts) as us from events) e"),
 )
 shape(
     "b26_from_first",
-    "from query_history select user_name as user, count(*) as val group by all",
-    o.rows(USER, "a", f"(select user_name, count(*) as a from {QUERY_HISTORY} group by all) g"),
+    "from ordered select segment, count(*) as val group by all",
+    o.rows(SEGMENT, "a", _by("segment", "count(*)", ORDERED)),
 )
 shape(
     "b27_pipe",
-    "from stream |> where commit.operation = 'create' |> aggregate count(*) as v group by commit.collection as collection",
-    o.rows(
-        {"collection": o.text("collection")},
-        "a",
-        f"(select collection, count(*) as a from {STREAM} where operation = 'create' group by all) g",
-    ),
+    "from actions |> where amount >= 10 |> aggregate count(*) as v group by kind",
+    o.rows(KIND, "a", _by("kind", "count(*)", ACTIONS, "amount >= 10")),
 )
 shape(
     "b28_scalar_macro",
-    "select user_name as user, one() as value from query_history",
-    o.rows(USER, "1", QUERY_HISTORY),
-)
-shape(
-    "b29_identifier_case",
-    "select USER_NAME as user, Total_Elapsed_Time as value from QUERY_HISTORY",
-    o.rows(USER, "total_elapsed_time", QUERY_HISTORY),
+    "select segment, in_hundreds(balance) as value from ordered",
+    o.rows(SEGMENT, "balance / 100", ORDERED),
 )
+shape("b29_identifier_case", "select SEGMENT as segment, Price as value from ORDERED", o.rows(SEGMENT, "price", ORDERED))
 
 OBJECTIVES = [0.5, 0.9, 0.99, 0.999]
 
 
 def _rate(unit: str) -> tuple[str, str]:
-    sql = f"select date_trunc('{unit}', timestamp_micros(time_us)), count(*) from stream group by 1"
+    sql = f"select date_trunc('{unit}', at), count(*) from actions group by 1"
     group = f"(select date_trunc('{unit}', ts) as t, count(*) as a from events group by all) g"
     return sql, o.summary("shop_rate", {}, "a", group, OBJECTIVES)
 
@@ -205,10 +195,10 @@ BOUNDS = (1000, 10000, 50000)
     o.union(
         *[
             o.gauge(
-                "shop_fares",
-                {"pickup": o.text("pickup_id"), "le": f"'{b}'"},
+                "shop_lines",
+                {**SUPPLIER, "le": f"'{b}'"},
                 "a",
-                f"(select pickup_id, count(*) filter (where fare <= {b}) as a from {TRIPS} group by all) g",
+                _by("l_suppkey", f"count(*) filter (where net <= {b})", DELIVERED),
             )
             for b in BOUNDS
         ]
@@ -217,10 +207,10 @@ BOUNDS = (1000, 10000, 50000)
 def buckets_as_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram counted in SQL and shown as a gauge with a bound label."""
     _views(spark, sf_dir)
-    counts = ", ".join(f"count_if(fare <= {b}) as le_{b}" for b in BOUNDS)
+    counts = ", ".join(f"count_if(net <= {b}) as le_{b}" for b in BOUNDS)
     stack = ", ".join(f"'{b}', le_{b}" for b in BOUNDS)
     sql = (
-        f"select pickup, stack({len(BOUNDS)}, {stack}) as (le, value) from "
-        f"(select pickup_id as pickup, {counts} from taxi_trips group by 1)"
+        f"select supplier, stack({len(BOUNDS)}, {stack}) as (le, value) from "
+        f"(select l_suppkey as supplier, {counts} from delivered group by 1)"
     )
-    return run_metrics(spark, {"gauge": [{"name": "fares", "sql": sql}]})
+    return run_metrics(spark, {"gauge": [{"name": "lines", "sql": sql}]})

@@ -20,7 +20,10 @@ from metricspark.operators.samples import to_rows
 def stream_fold(
     stream: DataFrame, metrics: Sequence[tuple[MetricDef, str]], global_labels: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Samples of a streaming query, for complete or update mode."""
+    """Samples of a streaming query, for complete or update mode. Summaries must ask for the sketch."""
+    exact = [name for m, name in metrics if m.kind == "summary" and m.quantiles != "sketch"]
+    if exact:
+        raise ValueError(f"a stream keeps no values to rank: {', '.join(exact)} must set quantiles to 'sketch'")
     rows = to_rows(stream, _order_column([m for m, _ in metrics]), global_labels)
     return fold_rows(rows, metrics, global_labels)
 

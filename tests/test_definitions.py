@@ -33,9 +33,9 @@ def test_empty_and_unset_labels(monkeypatch):
 
 
 def test_package_file():
-    p = catalog.load("query_history")
-    assert (p.name, p.version) == ("query-history", "1.0")
-    assert p.sources[0].name == "query_history" and p.sources[0].materialize
+    p = catalog.load("sales")
+    assert (p.name, p.version) == ("sales", "2")
+    assert p.sources[0].name == "ordered" and p.sources[0].materialize
     assert [m.kind for m in p.metrics] == ["gauge"] * 6 + ["counter", "summary", "histogram"]
     assert len(p.metrics[-1].buckets) == 18 and len(p.metrics[-2].objectives) == 6
 

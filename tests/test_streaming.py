@@ -42,7 +42,7 @@ def found(samples):
         MetricDef("counter", "m", ""),
         MetricDef("gauge", "m", ""),
         MetricDef("histogram", "m", "", buckets=(10.0, 25.0)),
-        MetricDef("summary", "m", "", objectives=(0.5, 0.9)),
+        MetricDef("summary", "m", "", objectives=(0.5, 0.9), quantiles="sketch"),
     ],
 )
 def test_stream_equals_batch(spark, folder, metric):
@@ -110,6 +110,14 @@ def test_live_view_moves_from_snapshot_to_snapshot(spark, folder, tmp_path):
     )
     query.awaitTermination()
     assert len(seen) == 4 and seen == sorted(seen) and seen[-1] == 300.0
+    # another session, as after a restart, finds the newest whole snapshot
+    again = SnapshotSink(spark.newSession(), str(tmp_path / "live"))
+    assert again.last_batch == 3 and again.read().agg(F.sum("value")).first()[0] == 300.0
+
+
+def test_streams_take_no_exact_quantiles(spark, folder):
+    with pytest.raises(ValueError, match="sketch"):
+        stream_fold(stream(spark, folder), [(MetricDef("summary", "m", "", objectives=(0.5,)), "m")])
 
 
 def test_streams_need_a_schema_and_files(spark, folder):
