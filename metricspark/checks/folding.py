@@ -163,11 +163,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "a29_packages_and_core",
     o.union(
-        o.counter("a_one_seen", {**FLAG, "instance_name": "'edge'"}, "lineitem"),
-        o.counter("two_seen", {**FLAG, "instance_name": "'edge'"}, "lineitem"),
+        o.counter("a_one_seen", {**FLAG, "instance_name": "'ledger'"}, "lineitem"),
+        o.counter("two_seen", {**FLAG, "instance_name": "'ledger'"}, "lineitem"),
         o.gauge(
             "core_orders",
-            {"instance_name": "'edge'", "status": o.text("o_orderstatus")},
+            {"instance_name": "'ledger'", "status": o.text("o_orderstatus")},
             "a",
             "(select o_orderstatus, count(*) as a from orders group by all) g",
         ),
@@ -181,7 +181,7 @@ def packages_and_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = Package.from_dict({"name": "two", "metrics": seen})
     config = Config.from_dict(
         {
-            "name": "edge",
+            "name": "ledger",
             "sources": [{"name": "orders", "type": "parquet", "source": f"{sf_dir}/orders.parquet"}],
             "metrics": {
                 "gauge": [

@@ -211,7 +211,7 @@ def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a25_config_labels",
     o.gauge(
         "core_lines",
-        {**STATUS, "instance_name": "'edge'", "region": "'eu'", "cell": "'c1'", "unset": "''"},
+        {**STATUS, "instance_name": "'ledger'", "region": "'eu'", "cell": "'c1'", "unset": "''"},
         "a",
         LINES_GROUP,
     ),
@@ -222,7 +222,7 @@ def config_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     os.environ["METRICSPARK_CHECK_REGION"] = "eu"
     config = Config.from_dict(
         {
-            "name": "edge",
+            "name": "ledger",
             "globalLabels": [{"region": "$METRICSPARK_CHECK_REGION"}, {"cell": "c1"}, {"unset": "$METRICSPARK_UNSET"}],
             "metrics": {"gauge": LINES},
         }

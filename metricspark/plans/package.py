@@ -1,7 +1,11 @@
-"""Packages to samples: macros, then sources, then every metric, as one lazy samples table."""
+"""Packages to samples: macros, then sources, then every metric, as one samples table.
+
+The table is lazy but for exact quantiles, which run their counting passes while a run is built.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,7 +20,7 @@ from metricspark.functions.macros import register_macros
 from metricspark.operators.folds import SAMPLES_SCHEMA, check_labels, flat, fold_rows, summary_exact
 from metricspark.operators.labels import full_name
 from metricspark.operators.samples import Rows, to_rows
-from metricspark.session import prepare_session
+from metricspark.session import prepare_session, replace_folder
 from metricspark.sources.read import sql
 from metricspark.sources.register import register_sources
 
@@ -46,23 +50,23 @@ class PackageRun:
         return flat(self.samples)
 
     def write(self, path: str) -> None:
-        """Write the samples as parquet.
+        """Write the samples as parquet, beside the table first; readers see the old one or the new one whole.
 
         First as one job. If a metric fails on its data, the metrics are written one by one
         and only those that fail are left out, with their error noted.
         """
+        new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
         try:
-            self.samples.write.mode("overwrite").parquet(path)
-            return
+            self.samples.write.parquet(new)
         except FAILURES:
-            pass
-        self.spark.createDataFrame([], SAMPLES_SCHEMA).write.mode("overwrite").parquet(path)
-        for name, part in list(self.parts.items()):
-            try:
-                part.write.mode("append").parquet(path)
-            except FAILURES as e:
-                self.errors[name] = str(e)
-                del self.parts[name]
+            self.spark.createDataFrame([], SAMPLES_SCHEMA).write.mode("overwrite").parquet(new)
+            for name, part in list(self.parts.items()):
+                try:
+                    part.write.mode("append").parquet(new)
+                except FAILURES as e:
+                    self.errors[name] = str(e)
+                    del self.parts[name]
+        replace_folder(self.spark, new, path)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame | None:

@@ -47,3 +47,19 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute now and keep the result in the shared folder, where lost executors cannot take it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put a written folder in the place of another by renaming, so a reader never lists a part of it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    had_one = files.exists(target)
+    if had_one and not files.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(new), target):
+        if had_one:
+            files.rename(old, target)
+        raise OSError(f"cannot move {new} to {path}")
+    if had_one:
+        files.delete(old, True)

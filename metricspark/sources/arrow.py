@@ -9,14 +9,15 @@ one batch at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 # Fixed value: the first bytes of a file in the random access format.
 FILE_MAGIC = b"ARROW1"
 
@@ -24,7 +25,9 @@ WHOLE_FILE = -1
 
 
 def _tasks(schema: pa.Schema):
-    """The two steps that run in tasks. They hold all they need, so executors need no import."""
+    """The two steps that run in tasks. They hold all they need, so executors need no import of this module."""
+    import pyarrow as pa
+    from pyarrow import fs
 
     def open_path(path: str):
         where, inner = fs.FileSystem.from_uri(path)
@@ -63,6 +66,9 @@ def read_arrow(spark: SparkSession, path: str, schema: str | StructType | None)
     """Arrow IPC files under a path or glob, read as the given schema."""
     if schema is None:
         raise ValueError("an arrow source needs a schema")
+    # pyarrow is needed for these sources only
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     list_batches, read_batches = _tasks(to_arrow_schema(declared))
     files = spark.read.format("binaryFile").load(path).select("path")

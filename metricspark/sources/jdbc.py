@@ -15,6 +15,11 @@ def jdbc_options(d: SourceDef) -> dict[str, str]:
     if "url" not in options:
         raise ValueError(f"source {d.name}: a jdbc source needs the option 'url'")
     given = [k for k in SPLIT_OPTIONS if k in options]
+    if "partitionColumn" not in options and options.pop("singleConnection", "false").lower() != "true":
+        raise ValueError(
+            f"source {d.name}: without {', '.join(SPLIT_OPTIONS)} one task reads the whole table; "
+            "for a small one say singleConnection: true"
+        )
     if given and len(given) < len(SPLIT_OPTIONS):
         missing = sorted(set(SPLIT_OPTIONS) - set(given))
         raise ValueError(f"source {d.name}: a split read also needs {', '.join(missing)}")

@@ -67,8 +67,8 @@ def test_config_file_with_packages_and_core(spark, tmp_path):
     (tmp_path / "config.yml").write_text(
         yaml.safe_dump(
             {
-                "name": "edge",
-                "port": 9100,
+                "name": "ledger",
+                "port": 8123,
                 "globalLabels": [{"env": "test"}],
                 "packages": [
                     {"package": "a.yml", "variables": {"n": 4}, "metricPrefix": "pre_"},
@@ -80,7 +80,7 @@ def test_config_file_with_packages_and_core(spark, tmp_path):
         )
     )
     run = run_config(spark, Config.from_yaml(str(tmp_path / "config.yml")), str(tmp_path))
-    labels = 'env="test",instance_name="edge"'
+    labels = 'env="test",instance_name="ledger"'
     assert values(run) == {("pre_first_one_rows", labels): 4.0, ("core_g", labels): 8.0}
     assert set(run.errors) == {"package missing.yml"}
 
@@ -120,3 +120,13 @@ def test_written_text_is_in_order(spark, tmp_path):
         'shop_z{g="b"} 2',
     ]
     assert render(run.samples).count() == len(lines)
+
+
+def test_written_samples_replace_the_table_whole(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    spark.range(2).createOrReplaceTempView("two_rows")
+    counter = {"counter": [{"name": "seen", "sql": "select id % 2 as odd from two_rows"}]}
+    for _ in range(2):
+        run_package(spark, Package.from_dict({"name": "p", "metrics": counter})).write(path)
+        assert spark.read.parquet(path).count() == 2
+    assert [f.name for f in tmp_path.iterdir()] == ["samples"]

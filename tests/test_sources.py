@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pyarrow as pa
 import pytest
 
@@ -140,6 +144,19 @@ def test_jdbc_options():
         jdbc_options(SourceDef("s", "jdbc", "t", options={"url": "u", "partitionColumn": "id", "lowerBound": 0}))
 
 
+def test_jdbc_reads_that_one_task_would_do_must_be_asked_for():
+    with pytest.raises(ValueError, match="singleConnection"):
+        jdbc_options(SourceDef("s", "jdbc", "t", options={"url": "u"}))
+    small = jdbc_options(SourceDef("s", "jdbc", "t", options={"url": "u", "singleConnection": True}))
+    assert small == {"dbtable": "t", "fetchsize": "10000", "url": "u"}
+
+
+def test_import_without_pyarrow():
+    code = "import sys; sys.modules['pyarrow'] = None; import metricspark"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
 def test_arrow_files_and_streams(spark, tmp_path):
     batches = [pa.record_batch({"id": pa.array(range(i * 10, i * 10 + 10), pa.int32()), "s": ["x"] * 10}) for i in range(5)]
     with pa.OSFile(str(tmp_path / "a.arrow"), "wb") as f, pa.ipc.new_file(f, batches[0].schema) as w:
