@@ -3,7 +3,8 @@
 The quantile q of n values is the value of rank ceil(q * n). Counting passes narrow the range
 that can hold that rank until few enough rows are left to be ranked one by one. Each pass is a
 scan with a map-side combined count per range, so what it shuffles depends on the number of
-series and ranges, not on the number of rows: one series may hold most of the table. Counts,
+series and ranges, not on the number of rows: one series may hold most of the table. Only where
+there are more ranges than may be broadcast do rows move, each large series then by many salts. Counts,
 minima and maxima do not depend on the order rows arrive in, so a task that runs again after a
 lost executor finds the same ranges.
 """
@@ -28,13 +29,32 @@ RANK_ROWS = 1_000_000
 RANGES = 4096
 # Most open ranges sent to every task; more are joined by a shuffle.
 BROADCAST_RANGES = 100_000
+# In that shuffle a series with more than one in so many of the rows goes by several salts.
+SALTED_SHARES = 10_000
 
 LARGEST_DOUBLE = 1.7976931348623157e308
 
 
-def _sized(settled: DataFrame) -> DataFrame:
-    """Marked for broadcast only when known to be small; it is settled, so counting it is cheap."""
-    return F.broadcast(settled) if settled.count() <= BROADCAST_RANGES else settled
+def _sides(
+    rows: DataFrame, settled: DataFrame, keys: Sequence[str], value: str
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and a settled frame with the `series_n` of its keys, made ready to be joined by the names returned.
+
+    The settled side is broadcast when its count says it is small. Otherwise both are shuffled, and a series
+    that holds more than its share of the rows is dealt over as many salts as it has shares. Fewer than
+    SALTED_SHARES series can, so these are sent to every task, and the settled side grows by as few copies.
+    """
+    if settled.count() <= BROADCAST_RANGES:
+        return rows, F.broadcast(settled.drop("series_n")), list(keys)
+    series = settled.select(*keys, "series_n").distinct()
+    share = series.agg(F.sum("series_n")).first()[0] / SALTED_SHARES
+    salts = F.ceil(F.col("series_n") / share).cast("int")
+    uneven, same = _renamed(series.where(salts > 1).select(*keys, salts.alias("salts")), keys)
+    # the task counts too, so that one value that fills a series is dealt out as well
+    salt = F.coalesce(F.pmod(F.xxhash64(value, F.spark_partition_id()), F.col("salts")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(uneven), reduce(and_, same), "left").select(*rows.columns, salt.alias("salt"))
+    copies = settled.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("series_n")
+    return dealt, copies, [*keys, "salt"]
 
 
 def _match(left: DataFrame, right: DataFrame, names: Sequence[str], *conds: Column) -> DataFrame:
@@ -100,7 +120,8 @@ def _within(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str)
             F.coalesce(*[F.when(hit, lo) for hit, (lo, _) in zip(hits, found)], F.lit(None)).cast("double").alias("lo"),
             F.coalesce(*[F.when(hit, hi) for hit, (_, hi) in zip(hits, found)], F.lit(None)).cast("double").alias("hi"),
         )
-    return _match(rows, _sized(ranges), keys, v >= F.col("lo"), v <= F.col("hi"))
+    left, right, names = _sides(rows, ranges, keys, value)
+    return _match(left, right, names, v >= F.col("lo"), v <= F.col("hi"))
 
 
 def _at_rank(targets: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,7 +150,7 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, ra
     by_root = True
     while True:
         open_targets = targets.where(too_many)
-        ranges = settle(open_targets.select(*keys, "lo", "hi").distinct())
+        ranges = settle(open_targets.select(*keys, "lo", "hi", "series_n").distinct())
         if ranges.isEmpty():
             return targets
         number = _range_number(F.col(value), F.col("lo"), F.col("hi"), by_root)
@@ -189,8 +210,8 @@ def exact_quantiles(
     large = stats.where(F.col("n") > list_rows)
     out = _rank_in_ranges(rows, large, keys, value, qs, rank_rows)
     if smallest <= list_rows:
-        names = settle(large.select(*keys))
-        out = out.unionByName(_rank_in_lists(_except(rows, _sized(names), keys), keys, value, qs))
+        left, right, names = _sides(rows, large.select(*keys, F.col("n").alias("series_n")), keys, value)
+        out = out.unionByName(_rank_in_lists(_except(left, right, names), keys, value, qs))
     return out
 
 
@@ -206,7 +227,7 @@ def _rank_in_ranges(
 
     # every open range now holds at most rank_rows rows, so ranking within it is bounded
     several = F.col("lo") < F.col("hi")
-    ranges = settle(targets.where(several).select(*keys, "lo", "hi").distinct())
+    ranges = settle(targets.where(several).select(*keys, "lo", "hi", "series_n").distinct())
     counted = (
         _within(rows, ranges, keys, value)
         .groupBy(*keys, "lo", "hi", F.col(value).alias("answer"))

@@ -101,6 +101,36 @@ def test_many_ranges_are_joined_by_a_shuffle(spark, monkeypatch):
     check(spark, [(f"k{i % 7}", rnd.gauss(0, 100)) for i in range(700)], list_rows=0, rank_rows=5)
 
 
+@pytest.mark.parametrize("limits", PATHS[1:])
+def test_a_large_series_is_dealt_over_salts(spark, monkeypatch, limits):
+    monkeypatch.setattr(quantiles, "BROADCAST_RANGES", 0)
+    monkeypatch.setattr(quantiles, "SALTED_SHARES", 16)
+    rnd = random.Random(6)
+    rows = [("hot", rnd.gauss(0, 100)) for _ in range(1000)] + [("hot", 7.0)] * 400
+    check(spark, rows + [(None if i % 90 == 0 else f"k{i % 90}", rnd.random()) for i in range(1800)], **limits)
+
+
+def test_raw_rows_are_never_shuffled_by_the_series_alone(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(3000).selectExpr("if(id % 3 = 0, -1, id % 50) as k", "cast(id as double) as v").write.parquet(path)
+    rows = spark.read.parquet(path)
+    series = rows.groupBy("k").count().selectExpr("k", "count as series_n", "0D as lo", "9999D as hi")
+    monkeypatch.setattr(quantiles, "BROADCAST_RANGES", 0)
+    monkeypatch.setattr(quantiles, "SALTED_SHARES", 30)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt, copies, names = quantiles._sides(rows, series, ["k"], "v")
+        found = quantiles._match(dealt, copies, names)
+        assert found.count() == 3000
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert names == ["k", "salt"] and "SortMergeJoin" in text
+    assert dealt.where("k = -1").select("salt").distinct().count() == 10
+    assert dealt.groupBy(*names).count().agg({"count": "max"}).first()[0] < 200
+
+
 def test_rank_is_exact_in_decimals(spark):
     df = spark.range(1, 101).selectExpr("'a' as k", "cast(id as double) as v")
     for limits in PATHS:
