@@ -20,25 +20,43 @@ from metricspark.functions.macros import register_macros
 from metricspark.operators.folds import SAMPLES_SCHEMA, check_labels, flat, fold_rows, summary_exact
 from metricspark.operators.labels import full_name
 from metricspark.operators.samples import Rows, to_rows
-from metricspark.session import prepare_session, replace_folder
+from metricspark.session import noting_checkpoints, prepare_session, remove_folders, replace_folder
 from metricspark.sources.read import sql
 from metricspark.sources.register import register_sources
 
 # what a metric may fail with: a query that cannot be planned, labels that cannot be used, or data
 FAILURES = (PySparkException, Py4JError, ValueError)
 
+# an exact summary that is still to be built: the rows of its query, its definition and full name
+Ranked = tuple[Rows, MetricDef, str]
+
 # Summaries whose passes run at the same time.
 PASSES_AT_ONCE = 8
 
 
 @dataclass
 class PackageRun:
-    """What a run yields: one samples frame per query, and the errors of what had to be left out."""
+    """What a run yields: one samples frame per query, and the errors of what had to be left out.
+
+    Closing a run removes what its summaries keep in the shared folder; read or write the samples first.
+    """
 
     spark: SparkSession
     parts: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
     names: dict[str, str] = field(default_factory=dict)
+    checkpoints: list[str] = field(default_factory=list)
+
+    def __enter__(self) -> PackageRun:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.parts.clear()
+        remove_folders(self.spark, self.checkpoints)
+        self.checkpoints.clear()
 
     @property
     def samples(self) -> DataFrame:
@@ -115,6 +133,19 @@ def run_package(
 
     Every run starts from nothing: samples are a function of the sources as they are.
     """
+    run, ranked = _plan_package(spark, package, global_labels, now, taken)
+    _rank(run, ranked, global_labels)
+    return run
+
+
+def _plan_package(
+    spark: SparkSession,
+    package: Package,
+    global_labels: Mapping[str, str] | None,
+    now: float | None,
+    taken: Mapping[str, str] | None,
+) -> tuple[PackageRun, list[Ranked]]:
+    """A run with all but its exact summaries, and these."""
     prepare_session(spark)
     run = PackageRun(spark)
     register_macros(spark, package.macros)
@@ -128,7 +159,7 @@ def run_package(
     run.names = {name: f"a {m.kind} of {package.name}" for m, name in metrics}
     for m, name in metrics:
         queries.setdefault(_query_key(m), []).append((m, name))
-    ranked: list[tuple[Rows, MetricDef, str]] = []
+    ranked: list[Ranked] = []
     for (_, order_by), metrics in queries.items():
         try:
             rows = to_rows(sql(spark, metrics[0][0].sql, package.variables), order_by, global_labels)
@@ -148,24 +179,28 @@ def run_package(
                 folded.append((m, name))
         if folded:
             run.parts[" ".join(name for _, name in folded)] = fold_rows(rows, folded, global_labels)
+    return run, ranked
+
 
-    # exact quantiles run passes over their rows while they are built; side by side, the last
-    # tasks of one pass share the cluster with the next
-    def rank(item: tuple[Rows, MetricDef, str]) -> DataFrame | Exception:
+def _rank(run: PackageRun, ranked: Sequence[Ranked], global_labels: Mapping[str, str] | None) -> None:
+    """Add exact summaries to a run. They run passes over their rows while they are built; side by
+    side, the last tasks of one pass share the cluster with the next."""
+
+    def rank(item: Ranked) -> DataFrame | Exception:
         rows, m, name = item
         try:
-            return summary_exact(rows, m, name, global_labels)
+            with noting_checkpoints(run.checkpoints):
+                return summary_exact(rows, m, name, global_labels)
         except FAILURES as e:
             return e
 
     if ranked:
         with ThreadPoolExecutor(min(len(ranked), PASSES_AT_ONCE)) as pool:
-            for (_, _, name), part in zip(ranked, pool.map(inheritable_thread_target(spark)(rank), ranked)):
+            for (_, _, name), part in zip(ranked, pool.map(inheritable_thread_target(run.spark)(rank), ranked)):
                 if isinstance(part, Exception):
                     run.errors[name] = str(part)
                 else:
                     run.parts[name] = part
-    return run
 
 
 def run_packages(
@@ -174,17 +209,22 @@ def run_packages(
     global_labels: Mapping[str, str] | None = None,
     now: float | None = None,
 ) -> PackageRun:
-    """Run packages in order into one result. A package that cannot be set up is noted and left out."""
-    total = PackageRun(spark)
+    """Run packages in order into one result. A package that cannot be set up is noted and left out.
+
+    Exact summaries of all packages are ranked together at the end.
+    """
+    total, ranked = PackageRun(spark), []
     for package in packages:
         try:
-            run = run_package(spark, package, global_labels, now, total.names)
+            run, more = _plan_package(spark, package, global_labels, now, total.names)
         except FAILURES as e:
             total.errors[f"package {package.name}"] = str(e)
             continue
         total.names.update(run.names)
         total.parts.update(run.parts)
         total.errors.update(run.errors)
+        ranked += more
+    _rank(total, ranked, global_labels)
     return total
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +46,34 @@ def new_work_path(spark: SparkSession, purpose: str) -> str:
     return work_path(spark, purpose, uuid.uuid4().hex)
 
 
+# where this thread notes the checkpoints it writes
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting_checkpoints(paths: list[str]) -> Iterator[None]:
+    """Append the paths of the checkpoints that this thread writes meanwhile, for their removal."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute now and keep the result in the shared folder, where lost executors cannot take it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return kept
+
+
+def remove_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def replace_folder(spark: SparkSession, new: str, path: str) -> None:

@@ -1,7 +1,11 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 import yaml
 
 from metricspark import Config, Package, render, run_config, run_package, run_packages, write_text
 from metricspark.operators.folds import flat
+from metricspark.session import shared_dir
 
 
 def package(name="shop", **metrics):
@@ -122,6 +126,22 @@ def test_written_text_is_in_order(spark, tmp_path):
     assert render(run.samples).count() == len(lines)
 
 
+def test_closed_runs_leave_no_checkpoints(spark):
+    root = Path(urlparse(shared_dir(spark)).path)
+
+    def files():
+        return sum(p.is_file() for p in root.rglob("*"))
+
+    summary = {"sql": "select id % 3 as k, id as v from range(90)", "stage": True, "objectives": [0.5]}
+    packages = [package(name=n, summary=[{"name": "s", **summary}]) for n in ("a", "b")]
+    before = files()
+    for _ in range(10):
+        with run_packages(spark, packages) as run:
+            assert run.samples.count() == 18 and not run.errors
+            assert len(run.checkpoints) == 2 and files() > before
+    assert files() == before
+
+
 def test_written_samples_replace_the_table_whole(spark, tmp_path):
     path = str(tmp_path / "samples")
     spark.range(2).createOrReplaceTempView("two_rows")
