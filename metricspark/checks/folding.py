@@ -86,6 +86,23 @@ def summary_large_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flat(summary_exact(to_rows(spark.sql(PRICES)), metric, "price", rank_rows=500, list_rows=500)))
 
 
+THIRDS = (1 / 7, 1 / 3, 2 / 3)
+
+
+@check(
+    "a20_summary_any_objective",
+    o.union(*[o.summary(n, FLAG, "l_extendedprice", "lineitem", THIRDS) for n in ("listed", "narrowed")]),
+)
+def summary_any_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objectives without a short decimal, for series ranked from lists and by counting passes."""
+    tables(spark, sf_dir, "lineitem")
+    rows = to_rows(spark.sql(PRICES))
+    metrics = [MetricDef("summary", n, PRICES, objectives=THIRDS) for n in ("listed", "narrowed")]
+    listed = summary_exact(rows, metrics[0], "listed")
+    narrowed = summary_exact(rows, metrics[1], "narrowed", rank_rows=500, list_rows=500)
+    return rounded(flat(listed.union(narrowed)))
+
+
 @check("a20_summary_sketch")
 def summary_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles within the sketch's rank error; the error is tested, equality is not promised."""
@@ -131,6 +148,29 @@ def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_metrics(spark, metrics).unionByName(run_metrics(spark, metrics))
 
 
+@check(
+    "a29_shared_names",
+    o.union(
+        o.gauge("shop_lines", FLAG, "l_extendedprice", "lineitem"),
+        o.counter("shop_seen", FLAG, "lineitem"),
+        o.gauge("shop_tax", FLAG, "l_tax", "lineitem"),
+    ),
+)
+def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a full name in two kinds or two packages the first stays; the others are named, and the rest goes on."""
+    tables(spark, sf_dir, "lineitem")
+    taxes = "select l_returnflag as flag, l_tax as v from lineitem"
+    first = {
+        "gauge": [{"name": "lines", "sql": PRICES}],
+        "counter": [{"name": "lines", "sql": PRICES}, {"name": "seen", "sql": PRICES}],
+    }
+    second = {"gauge": [{"name": n, "sql": taxes} for n in ("lines", "seen", "tax")]}
+    run = run_packages(spark, [Package.from_dict({"name": "shop", "metrics": m}) for m in (first, second)])
+    if len(run.errors) != 3:
+        raise RuntimeError(str(run.errors))
+    return rounded(flat(run.samples))
+
+
 @check(
     "a28_registry",
     o.union(

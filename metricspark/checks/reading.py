@@ -49,6 +49,24 @@ def csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@check("a02_csv_headerless", EVENTS_SQL)
+def csv_headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a header, of another delimiter: every line is a row."""
+    path = new_work_path(spark, "csv")
+    table(spark, sf_dir, "events").select(*EVENT_COLUMNS).write.option("header", False).option("sep", ";").csv(path)
+    options = {"header": False, "sep": ";"}
+    return read_source(spark, SourceDef("events_csv", "csv", path, schema=EVENT_SCHEMA, options=options))
+
+
+@check("a03_json_arrays", EVENTS_SQL)
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold an array each: every element is a row."""
+    path = new_work_path(spark, "json")
+    some = F.to_json(F.collect_list(F.struct(*EVENT_COLUMNS))).alias("value")
+    table(spark, sf_dir, "events").groupBy(F.expr("event_id div 20")).agg(some).select("value").write.text(path)
+    return read_source(spark, SourceDef("events_json", "json", path, schema=EVENT_SCHEMA))
+
+
 @check("a03_json_scan", EVENTS_SQL)
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_work_path(spark, "json")
