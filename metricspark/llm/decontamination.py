@@ -1,14 +1,17 @@
 """Benchmark decontamination by templates: finds items also where their numbers, names or units changed.
 
-A text becomes tokens: words in lower case, and typed placeholders for numbers (3, 1,250.5, 3kg), names
-(capitalised words inside a sentence, two in a row are one name) and units after a number. Every window
-of `k` tokens has a hash; windows with fewer than two words hash what the placeholders stand for instead,
-as a row of placeholders alone says nothing. The windows of the benchmark are hash-joined with those of
+A text becomes tokens: words in lower case, and typed placeholders for numbers (3, 1,250.5), names
+(capitalised words, those in a row are one name) and units after a number (3 kg, 3kg). As a capital may
+also be due to the sentence, texts have up to three readings: without names, with the capitalised words
+inside sentences as names, and with all capitalised words. A copy in one case meets the reading without
+names. In lines without capitalised words any one word of a window may be a name: such a window
+has a hash for each. Every window of `k` tokens has a hash; windows with fewer than two words hash what the
+placeholders stand for instead, as a row of placeholders alone says nothing. The windows of the benchmark are hash-joined with those of
 all documents inside the tasks that read the documents, so a passage that a third of the documents hold
 is no group anywhere. Of each match, the places that line up are checked slot by slot: along one
 alignment, a value of the item must always have become the same value in the document, and windows with
-a slot that breaks this do not count. A document holds an item if the windows that count are at least
-`coverage` of the item's.
+a slot that breaks this do not count. A document holds an item if the windows that count, in whichever
+reading, are at least `coverage` of the item's in one reading.
 
 The benchmark goes to the tasks in blocks of about `block_words` words, which bounds what is broadcast;
 a larger benchmark takes more passes over the documents.
@@ -16,12 +19,15 @@ a larger benchmark takes more passes over the documents.
 Defined results: null and empty texts and items match nothing; a text or item of fewer than `k` tokens
 is one window of them all; repeated rows are checked one by one; items with the same text are all found;
 a null item id is reported as null. Texts of over a million characters are read in pieces cut where
-white space begins: a name of two words across a cut counts as two.
+white space begins: a name of two words across a cut counts as two. Not found are changed names of two
+words, or two different ones in one window, in lines without capitalised words.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +70,39 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(lowered()[cps], *word_spans(cps)))
 
 
-def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts in order: hash of the word or placeholder, hash of what stands there, kind;
-    and where each text's tokens begin."""
+# readings of a text: no names; capitalised words inside sentences are names; all capitalised words are
+PLAIN, INSIDE, ALL = range(3)
+
+
+@functools.cache
+def _cased() -> np.ndarray:
+    """Which code points have another case."""
+    low = lowered()
+    cased = low != np.arange(len(low))
+    cased[low[cased]] = True
+    return cased
+
+
+class Reading(NamedTuple):
+    """Tokens of all texts in order: hash of the word or placeholder, hash of what stands there, kind, number
+    of the token in the text's finest reading, whether the word may be a name (PLAIN only); where each
+    text's tokens begin; and which texts differ in this reading from the one before."""
+
+    tokens: np.ndarray
+    values: np.ndarray
+    kind: np.ndarray
+    base: np.ndarray
+    wild: np.ndarray
+    begin: np.ndarray
+    own: np.ndarray
+
+
+def template(texts: list[str | None]) -> list[Reading]:
+    """The readings PLAIN, INSIDE and ALL of all texts."""
     units = _unit_hashes()
-    parts: list[tuple[np.ndarray, ...]] = []
+    parts: list[list[tuple[np.ndarray, ...]]] = [[], [], []]
+    own = np.zeros((3, len(texts)), bool)
+    own[PLAIN] = True
     seen = -1
     for group in pieces(texts):
         cps = codes("\n".join(p for _, p in group))
@@ -78,6 +112,13 @@ def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         start, end = word_spans(cps)
         if not len(start):
             continue
+        # 3kg is 3 and kg
+        others = np.append(np.flatnonzero(kinds()[cps] != NUMBER), len(cps))
+        cut = np.minimum(others[np.searchsorted(others, start)], end)
+        mixed = np.flatnonzero((cut > start) & (cut < end))
+        value = span_hashes(low, cut[mixed], end[mixed])
+        cut = cut[mixed[units[np.minimum(np.searchsorted(units, value), len(units) - 1)] == value]]
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
         begin = np.cumsum([0, *(len(p) + 1 for _, p in group)])
         which = np.searchsorted(begin, start, "right") - 1
         opens = np.concatenate([[True], which[1:] != which[:-1]])  # first word of its piece
@@ -86,40 +127,89 @@ def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         continued = group[0][0] == seen
         sentence = (stops[start] > stops[gap_at]) | (opens & ~((which == 0) & continued))
         seen = group[-1][0]
+        numbers = np.array([i for i, _ in group], np.int64)[which]
         number = kinds()[cps[start]] == NUMBER
         second = np.minimum(start + 1, len(cps) - 1)
-        name = (low[start] != cps[start]) & (end - start > 1) & (low[second] == cps[second]) & ~sentence
+        capital = (low[start] != cps[start]) & (end - start > 1) & (low[second] == cps[second]) & ~np.isin(start, cut)
+        own[INSIDE, numbers[capital & ~sentence]] = True
+        own[ALL, numbers[capital & sentence]] = True
+        # in lines without such words a name may be written like other words
+        line = np.cumsum(cps == 10)[start]
+        wild = _cased()[cps[start]] & ~np.isin(line, line[capital])
         follows = np.concatenate([[False], start[1:] - end[:-1] == 1]) & ~opens
         between = cps[np.maximum(start - 1, 0)]
         before = lambda flags: np.concatenate([[False], flags[:-1]])
-        joins = follows & (
-            (number & before(number) & np.isin(between, [ord("."), ord(",")])) | (name & before(name) & (between == 32))
-        )
-        heads = np.flatnonzero(~joins)
-        tails = np.append(heads[1:], len(start)) - 1
-        value = span_hashes(low, start[heads], end[tails])
-        kind = np.where(number[heads], NUM, np.where(name[heads], NAME, WORD))
-        at = np.minimum(np.searchsorted(units, value), len(units) - 1)
-        after_number = np.concatenate([[False], kind[:-1] == NUM]) & ~opens[heads]
-        kind = np.where((units[at] == value) & after_number, UNIT, kind)
-        numbers = np.array([i for i, _ in group], np.int64)[which[heads]]
-        parts.append((np.where(kind == WORD, value, _PLACEHOLDER[kind]), value, kind.astype(np.uint8), numbers))
-    if not parts:
-        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    tokens, values, kind, numbers = (np.concatenate(x) for x in zip(*parts))
-    return tokens, values, kind, np.searchsorted(numbers, np.arange(len(texts) + 1))
-
-
-def windows(
-    tokens: np.ndarray, values: np.ndarray, kind: np.ndarray, begin: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every k tokens in a row, per text, and where each text's begin."""
-    typed, at = shingle_hashes(tokens, begin, k)
-    literal, _ = shingle_hashes(values, begin, k)
-    words = np.concatenate([[0], np.cumsum(kind == WORD)])
-    first = np.arange(at[-1]) + np.repeat(begin[:-1] - at[:-1], np.diff(at))
-    last = np.minimum(first + k, np.repeat(begin[1:], np.diff(at)))
-    return np.where(words[last] - words[first] >= 2, typed, literal ^ _LITERAL), at
+        joined = follows & number & before(number) & np.isin(between, [ord("."), ord(",")])
+        finest = np.cumsum(~joined) - 1 + (parts[PLAIN][-1][3][-1] + 1 if parts[PLAIN] else 0)
+        for reading, name in ((PLAIN, np.zeros(len(start), bool)), (INSIDE, capital & ~sentence), (ALL, capital)):
+            heads = np.flatnonzero(~(joined | (follows & name & before(name) & (between == 32))))
+            tails = np.append(heads[1:], len(start)) - 1
+            value = span_hashes(low, start[heads], end[tails])
+            kind = np.where(number[heads], NUM, np.where(name[heads], NAME, WORD))
+            at = np.minimum(np.searchsorted(units, value), len(units) - 1)
+            after_number = np.concatenate([[False], kind[:-1] == NUM]) & ~opens[heads]
+            kind = np.where((units[at] == value) & after_number, UNIT, kind).astype(np.uint8)
+            tokens = np.where(kind == WORD, value, _PLACEHOLDER[kind])
+            may = wild[heads] & (kind == WORD) & (reading == PLAIN)
+            parts[reading].append((tokens, value, kind, finest[heads], may, numbers[heads]))
+    empty = tuple(np.zeros(0, t) for t in (U64, U64, np.uint8, np.int64, bool, np.int64))
+    out = []
+    for reading, found in enumerate(parts):
+        *columns, numbers = (np.concatenate(x) for x in zip(*(found or [empty])))
+        at = np.searchsorted(numbers, np.arange(len(texts) + 1))
+        out.append(Reading(*columns, at, own[reading]))
+    return out
+
+
+class Windows(NamedTuple):
+    """Hashes of windows, and of each its reading, text, and first token counted from the text's first."""
+
+    hashes: np.ndarray
+    reading: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+
+
+def windows(readings: list[Reading], k: int) -> tuple[Windows, np.ndarray]:
+    """Every k tokens in a row of every reading of its own that a text has, also with each word that may be
+    a name as one; and how many places for windows each text has in each reading."""
+    rows: list[tuple[np.ndarray, ...]] = []
+    counts = np.zeros((3, len(readings[0].begin) - 1), np.int64)
+    for number, r in enumerate(readings):
+        typed, at = shingle_hashes(r.tokens, r.begin, k)
+        literal, _ = shingle_hashes(r.values, r.begin, k)
+        counts[number] = np.where(r.own, np.diff(at), 0)
+        text = np.repeat(np.arange(len(r.own)), np.diff(at))
+        place = np.arange(at[-1]) - at[:-1][text]
+        first = place + r.begin[:-1][text]
+        last = np.minimum(first + k, r.begin[1:][text])
+        words = np.concatenate([[0], np.cumsum(r.kind == WORD)])
+        words = words[last] - words[first]
+        keep = r.own[text]
+        rows.append((np.where(words >= 2, typed, literal ^ _LITERAL)[keep], text[keep], place[keep], number))
+        for j in range(k if r.wild.any() else 0):
+            free = np.flatnonzero((words >= 3) & (first + j < last))
+            free = free[r.wild[first[free] + j]]
+            if len(free):
+                named, hashes = _with_name(r, first[free], last[free], j)
+                rows.append((hashes, text[free[named]], place[free[named]], number))
+    reading = np.concatenate([np.full(len(h), number) for h, _, _, number in rows])
+    hashes, text, place = (np.concatenate([x[c] for x in rows]) for c in range(3))
+    return Windows(hashes, reading, text, place), counts
+
+
+def _with_name(r: Reading, first: np.ndarray, last: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows first:last keep two words when the j-th, wherever it stands in them, is a name, and
+    these windows' hashes."""
+    at = first[:, None] + np.arange(int((last - first).max()))
+    inside = at < last[:, None]
+    at = np.minimum(at, len(r.tokens) - 1)
+    name = inside & (r.kind[at] == WORD) & (r.values[at] == r.values[first + j][:, None])
+    named = np.flatnonzero((inside & (r.kind[at] == WORD) & ~name).sum(axis=1) >= 2)
+    taken = np.where(name, _PLACEHOLDER[NAME], r.tokens[at])[named]
+    begin = np.concatenate([[0], np.cumsum((last - first)[named])])
+    hashes, _ = shingle_hashes(taken[inside[named]], begin, inside.shape[1])
+    return named, hashes
 
 
 class Benchmark:
@@ -127,70 +217,98 @@ class Benchmark:
 
     def __init__(self, texts: list[str | None], k: int):
         self.k = k
-        tokens, self.values, self.kind, self.begin = template(texts)
-        hashes, at = windows(tokens, self.values, self.kind, self.begin, k)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(texts)), np.diff(at))[order]
-        self.place = (np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at)))[order]
-        self.counts = np.diff(at)
-        bits = max(16, int(16 * len(hashes)).bit_length())
+        self.readings = template(texts)
+        found, self.counts = windows(self.readings, k)
+        order = np.argsort(found.hashes, kind="stable")
+        self.hashes, self.reading, self.item, self.place = (x[order] for x in found)
+        # the item's tokens that windows begin with, by the finest reading
+        begin = np.array([r.begin for r in self.readings])
+        base = [r.base for r in self.readings]
+        self.base = np.zeros(len(order), np.int64)
+        for number in range(3):
+            rows = self.reading == number
+            self.base[rows] = base[number][begin[number, self.item[rows]] + self.place[rows]]
+        bits = max(16, int(16 * len(order)).bit_length())
         self.shift = U64(64 - min(bits, 26))
         self.maybe = np.zeros(1 << min(bits, 26), bool)
-        self.maybe[(hashes >> self.shift).astype(np.int64)] = True
+        self.maybe[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def search(self, texts: list[str | None], coverage: float) -> list[list[tuple[int, int, int, int]]]:
         """Per text (item, its windows, those that count, slots that changed)."""
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        tokens, values, kind, begin = template(texts)
-        hashes, at = windows(tokens, values, kind, begin, self.k)
-        if not len(self.hashes) or not len(hashes):
+        readings = template(texts)
+        theirs, _ = windows(readings, self.k)
+        if not len(self.hashes) or not len(theirs.hashes):
             return found
-        near = np.flatnonzero(self.maybe[(hashes >> self.shift).astype(np.int64)])
-        low = np.searchsorted(self.hashes, hashes[near], "left")
-        n = np.searchsorted(self.hashes, hashes[near], "right") - low
+        near = np.flatnonzero(self.maybe[(theirs.hashes >> self.shift).astype(np.int64)])
+        low = np.searchsorted(self.hashes, theirs.hashes[near], "left")
+        n = np.searchsorted(self.hashes, theirs.hashes[near], "right") - low
         where = np.repeat(near, n)
         hit = np.arange(len(where)) + np.repeat(low - (np.cumsum(n) - n), n)
-        text = np.searchsorted(at, where, "right") - 1
-        item, place = self.item[hit], self.place[hit]
-        offset = where - at[text]
+        if not len(hit):
+            return found
         # different windows of an item that a text holds
-        pair = text * len(self.counts) + item
-        width = int(self.counts.max()) + 1
-        different = np.unique(pair * width + place) // width
+        items = self.counts.shape[1]
+        pair = theirs.text[where] * items + self.item[hit]
+        first = int(self.base.max()) + 1
+        different = np.unique(pair * first + self.base[hit]) // first
         pairs, covered = np.unique(different, return_counts=True)
-        enough = pairs[covered >= coverage * self.counts[pairs % len(self.counts)]]
-        if not len(enough):
-            return found
+        least = np.where(self.counts > 0, self.counts, np.iinfo(np.int64).max).min(axis=0)
+        enough = pairs[covered >= coverage * least[pairs % items]]
         order = np.argsort(pair, kind="stable")
-        for p in enough:
-            own = order[slice(*np.searchsorted(pair[order], [p, p + 1]))]
-            t, i = int(p // len(self.counts)), int(p % len(self.counts))
-            good, changed = self._consistent(i, offset[own], place[own], values[begin[t] : begin[t + 1]])
-            if good >= coverage * self.counts[i]:
-                found[t].append((i, int(self.counts[i]), good, changed))
+        bounds = np.searchsorted(pair[order], np.stack([enough, enough + 1]))
+        for p, lo, hi in zip(enough.tolist(), *bounds.tolist()):
+            t, i = divmod(p, items)
+            own = order[lo:hi]
+            rows = np.stack([self.reading[hit[own]], theirs.reading[where[own]], theirs.place[where[own]], self.place[hit[own]]])
+            values = [r.values[r.begin[t] : r.begin[t + 1]] for r in readings]
+            count, good, changed = self._consistent(i, rows, values)
+            if good >= coverage * count:
+                found[t].append((i, count, good, changed))
         return found
 
-    def _consistent(self, i: int, offset: np.ndarray, place: np.ndarray, values: np.ndarray) -> tuple[int, int]:
-        """How many different windows of item i match with slots that keep to one replacement per value,
-        and how many of the item's values were replaced by others."""
-        mine, kind = (x[self.begin[i] : self.begin[i + 1]] for x in (self.values, self.kind))
+    def _consistent(self, i: int, rows: np.ndarray, values: list[np.ndarray]) -> tuple[int, int, int]:
+        """How many windows item i has, how many of them match with slots that keep to one replacement per
+        value, and how many of the item's values were replaced by others, in the reading where most match."""
         good: set[int] = set()
         changed: set[int] = set()
-        for shift in np.unique(offset - place):
-            places = place[offset - place == shift]
-            slots = np.unique(np.concatenate([np.arange(q, min(q + self.k, len(mine))) for q in places]))
-            slots = slots[kind[slots] != WORD]
+        reading, other, offset, place = rows
+        alignments, which, sizes = np.unique(
+            np.stack([reading, other, offset - place]), axis=1, return_inverse=True, return_counts=True
+        )
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        ends = np.cumsum(sizes)
+        starts = {}
+        for number, r in enumerate(self.readings):
+            if self.counts[number, i]:
+                starts[number] = r.base[r.begin[i] : r.begin[i] + self.counts[number, i]]
+        whole = set().union(*(s.tolist() for s in starts.values()))
+        # alignments with the most windows come first; once all windows count, others add none
+        for a in np.argsort(-sizes, kind="stable").tolist():
+            number, their, shift = alignments[:, a].tolist()
+            r, theirs = self.readings[number], values[their]
+            begin, end = int(r.begin[i]), int(r.begin[i + 1])
+            mine, kind, base = r.values[begin:end], r.kind[begin:end], r.base[begin:end]
+            places = np.unique(place[order[ends[a] - sizes[a] : ends[a]]])
+            inside = np.unique(places[:, None] + np.arange(self.k))
+            inside = inside[inside < len(mine)]
+            differs = inside[mine[inside] != theirs[inside + shift]]
+            slots = inside[(kind[inside] != WORD) | np.isin(mine[inside], mine[differs[kind[differs] == WORD]])]
             became: dict[int, Counter] = {}
             for s in slots.tolist():
-                became.setdefault(int(mine[s]), Counter())[int(values[s + shift])] += 1
-            usual = {a: min(b, key=lambda v, b=b: (-b[v], v != a, v)) for a, b in became.items()}
-            odd = np.array([s for s in slots.tolist() if usual[int(mine[s])] != int(values[s + shift])], np.int64)
-            for q in places.tolist():
-                if not ((odd >= q) & (odd < q + self.k)).any():
-                    good.add(q)
-                    changed.update(int(mine[s]) for s in slots if q <= s < q + self.k and mine[s] != values[s + shift])
-        return len(good), len(changed)
+                became.setdefault(int(mine[s]), Counter())[int(theirs[s + shift])] += 1
+            usual = {a: min(b, key=lambda v, b=b, a=a: (-b[v], v != a, v)) for a, b in became.items()}
+            odd = np.array([s for s in slots.tolist() if usual[int(mine[s])] != int(theirs[s + shift])], np.int64)
+            places = places[np.searchsorted(odd, places) == np.searchsorted(odd, places + self.k)]
+            good.update(base[places].tolist())
+            kept = np.isin(differs, places[:, None] + np.arange(self.k))
+            changed.update(mine[differs[kept]].tolist())
+            if whole <= good:
+                break
+        matched = {number: sum(q in good for q in s.tolist()) for number, s in starts.items()}
+        best = max(starts, key=lambda number: (matched[number] / len(starts[number]), number))
+        return len(starts[best]), matched[best], len(changed)
 
 
 def _search(held, coverage: float, id_type: pa.DataType):

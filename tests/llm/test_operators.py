@@ -124,6 +124,21 @@ def test_leaks_with_changed_numbers_names_and_units(spark):
     assert with_leaks(docs_of(spark, texts), bench.where("false")).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_with_changed_names_where_sentences_begin_and_in_one_case(spark):
+    item = "Natalia sold 48 clips. Natalia bought 12 pens. Natalia lost 7 coins."
+    joan = "Joan sold 30 clips. Joan bought 9 pens. Joan lost 2 coins."
+    inside = "The farmer Maria Stone took 3 kg of apples to Maria Stone and then 5 miles back"
+    texts = [
+        joan, joan.lower(), joan.upper(), f"Some words: {joan}", joan.replace("Joan lost", "Petra lost"), inside.lower(), inside.upper(),
+        inside.replace("3 kg", "12kg").replace("Maria Stone", "Joan"), "Joan ran 30 laps. Joan ate 9 pies. Joan won 2 cups.",
+    ]
+    for given in (item, item.lower()):
+        bench = spark.createDataFrame([(1, given), (2, inside)], "item_id long, text string")
+        got = {(r.doc_id, r.item): r for r in with_leaks(docs_of(spark, texts), bench).select("doc_id", F.inline("leaks")).collect()}
+        assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 2)}
+        assert got[4, 1].matched < got[0, 1].matched and got[0, 1].changed == 4
+
+
 def test_url_rules_and_ranks(spark):
     rules = [("good.com", "/", "allow"), ("bad.net", "/", "block"), ("bad.net", "/fine/", "allow")]
     link = lambda *hosts: "".join(f"<a class=x href='http://{h}/a'>x</a>" for h in hosts)
