@@ -11,13 +11,17 @@ all documents inside the tasks that read the documents, so a passage that a thir
 is no group anywhere. Of each match, the places that line up are checked slot by slot: along one
 alignment, a value of the item must always have become the same value in the document, and windows with
 a slot that breaks this do not count. A document holds an item if the windows that count, in whichever
-reading, are at least `coverage` of the item's in one reading.
+reading, are at least `coverage` of the item's in one reading, or if a run of such windows, one token on
+from each other, is `run` tokens long, whatever share of a long item that is.
 
 The benchmark goes to the tasks in blocks of about `block_words` words, which bounds what is broadcast;
 a larger benchmark takes more passes over the documents.
 
+Items of fewer than `k` tokens are looked up by windows of their own length, with literal values where
+fewer than three words are left.
+
 Defined results: null and empty texts and items match nothing; a text or item of fewer than `k` tokens
-is one window of them all; repeated rows are checked one by one; items with the same text are all found;
+is one window of them all; an item of one word is in every text with that word; repeated rows are checked one by one; items with the same text are all found;
 a null item id is reported as null. Texts of over a million characters are read in pieces cut where
 white space begins: a name of two words across a cut counts as two. Not found are changed names of two
 words, or two different ones in one window, in lines without capitalised words.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -48,11 +53,13 @@ from metricspark.llm.texts import (
 
 WORDS = 5
 COVERAGE = 0.5
+RUN = 13
 BLOCK_WORDS = 1_000_000
 
 WORD, NUM, NAME, UNIT = range(4)
 _PLACEHOLDER = np.array([0, 0x1B873593A5A5, 0xE6546B64C3C3, 0x85EBCA6B9696], U64)
 _LITERAL = U64(0x2545F4914F6CDD1D)
+_SHORT = U64(0x9FB21C651E98DF25)
 
 # fixed values: units of measure and money, lower-cased
 UNITS = """
@@ -198,6 +205,26 @@ def windows(readings: list[Reading], k: int) -> tuple[Windows, np.ndarray]:
     return Windows(hashes, reading, text, place), counts
 
 
+def short_windows(readings: list[Reading], lengths: Iterable[int], whole: bool) -> Windows:
+    """Every window of these lengths, of `whole` those that are all of a text, with literal values where
+    fewer than three words are left."""
+    rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)]
+    for number, r in enumerate(readings):
+        sizes = np.diff(r.begin)
+        words = np.concatenate([[0], np.cumsum(r.kind == WORD)])
+        for m in lengths:
+            typed, at = shingle_hashes(r.tokens, r.begin, m)
+            literal, _ = shingle_hashes(r.values, r.begin, m)
+            text = np.repeat(np.arange(len(r.own)), np.diff(at))
+            keep = np.flatnonzero(r.own[text] & ((sizes == m) if whole else (sizes >= m))[text])
+            text, place = text[keep], keep - at[:-1][text[keep]]
+            first = place + r.begin[:-1][text]
+            enough = words[first + m] - words[first] >= 3
+            hashes = np.where(enough, typed[keep], literal[keep] ^ _LITERAL) ^ _SHORT
+            rows.append((hashes, np.full(len(text), number), text, place))
+    return Windows(*(np.concatenate(x) for x in zip(*rows)))
+
+
 def _with_name(r: Reading, first: np.ndarray, last: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows first:last keep two words when the j-th, wherever it stands in them, is a name, and
     these windows' hashes."""
@@ -212,13 +239,21 @@ def _with_name(r: Reading, first: np.ndarray, last: np.ndarray, j: int) -> tuple
     return named, hashes
 
 
+def _both(a: Windows, b: Windows) -> Windows:
+    return Windows(*(np.concatenate(x) for x in zip(a, b)))
+
+
 class Benchmark:
     """The windows of some items, sorted by hash, with the items' tokens."""
 
-    def __init__(self, texts: list[str | None], k: int):
-        self.k = k
+    def __init__(self, texts: list[str | None], k: int, run: int = RUN):
+        self.k, self.run = k, run
         self.readings = template(texts)
         found, self.counts = windows(self.readings, k)
+        # items of fewer than k tokens are looked up by windows of their own lengths
+        sizes = np.concatenate([np.diff(r.begin)[r.own] for r in self.readings])
+        self.short = np.unique(sizes[(sizes > 0) & (sizes < k)]).tolist()
+        found = _both(found, short_windows(self.readings, self.short, whole=True))
         order = np.argsort(found.hashes, kind="stable")
         self.hashes, self.reading, self.item, self.place = (x[order] for x in found)
         # the item's tokens that windows begin with, by the finest reading
@@ -238,6 +273,8 @@ class Benchmark:
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         readings = template(texts)
         theirs, _ = windows(readings, self.k)
+        if self.short:
+            theirs = _both(theirs, short_windows(readings, self.short, whole=False))
         if not len(self.hashes) or not len(theirs.hashes):
             return found
         near = np.flatnonzero(self.maybe[(theirs.hashes >> self.shift).astype(np.int64)])
@@ -254,7 +291,7 @@ class Benchmark:
         different = np.unique(pair * first + self.base[hit]) // first
         pairs, covered = np.unique(different, return_counts=True)
         least = np.where(self.counts > 0, self.counts, np.iinfo(np.int64).max).min(axis=0)
-        enough = pairs[covered >= coverage * least[pairs % items]]
+        enough = pairs[covered >= np.minimum(coverage * least[pairs % items], max(1, self.run - self.k + 1))]
         order = np.argsort(pair, kind="stable")
         bounds = np.searchsorted(pair[order], np.stack([enough, enough + 1]))
         for p, lo, hi in zip(enough.tolist(), *bounds.tolist()):
@@ -262,14 +299,16 @@ class Benchmark:
             own = order[lo:hi]
             rows = np.stack([self.reading[hit[own]], theirs.reading[where[own]], theirs.place[where[own]], self.place[hit[own]]])
             values = [r.values[r.begin[t] : r.begin[t + 1]] for r in readings]
-            count, good, changed = self._consistent(i, rows, values)
-            if good >= coverage * count:
+            count, good, changed, longest = self._consistent(i, rows, values)
+            if good >= coverage * count or longest >= self.run:
                 found[t].append((i, count, good, changed))
         return found
 
-    def _consistent(self, i: int, rows: np.ndarray, values: list[np.ndarray]) -> tuple[int, int, int]:
+    def _consistent(self, i: int, rows: np.ndarray, values: list[np.ndarray]) -> tuple[int, int, int, int]:
         """How many windows item i has, how many of them match with slots that keep to one replacement per
-        value, and how many of the item's values were replaced by others, in the reading where most match."""
+        value, and how many of the item's values were replaced by others, in the reading where most match;
+        and of how many tokens the longest run of such windows is."""
+        longest = 0
         good: set[int] = set()
         changed: set[int] = set()
         reading, other, offset, place = rows
@@ -302,13 +341,21 @@ class Benchmark:
             odd = np.array([s for s in slots.tolist() if usual[int(mine[s])] != int(theirs[s + shift])], np.int64)
             places = places[np.searchsorted(odd, places) == np.searchsorted(odd, places + self.k)]
             good.update(base[places].tolist())
+            if len(places):
+                breaks = np.flatnonzero(np.diff(places) != 1)
+                lows, highs = places[np.append(0, breaks + 1)], places[np.append(breaks, len(places) - 1)]
+                # other words at a run's ends are not changed names
+                same = inside[~((kind[inside] == WORD) & np.isin(inside, differs))]
+                lows = np.searchsorted(same, lows)
+                highs = np.searchsorted(same, highs + self.k) - 1
+                longest = max(longest, int((same[highs] - same[np.minimum(lows, len(same) - 1)]).max()) + 1)
             kept = np.isin(differs, places[:, None] + np.arange(self.k))
             changed.update(mine[differs[kept]].tolist())
             if whole <= good:
                 break
         matched = {number: sum(q in good for q in s.tolist()) for number, s in starts.items()}
         best = max(starts, key=lambda number: (matched[number] / len(starts[number]), number))
-        return len(starts[best]), matched[best], len(changed)
+        return len(starts[best]), matched[best], len(changed), longest
 
 
 def _search(held, coverage: float, id_type: pa.DataType):
@@ -339,6 +386,7 @@ def with_leaks(
     k: int = WORDS,
     coverage: float = COVERAGE,
     block_words: int = BLOCK_WORDS,
+    run: int = RUN,
 ) -> DataFrame:
     """`docs` with a column leaks: for every item a text holds, its id, how many windows it has, how many
     of them match, and how many of its numbers, names and units were changed. Ids that are not whole
@@ -354,7 +402,7 @@ def with_leaks(
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
         rows.sort(key=lambda r: (r.id is None, r.id or 0 if whole else r.id or "", r.text))
-        held = docs.sparkSession.sparkContext.broadcast(([r.id for r in rows], Benchmark([r.text for r in rows], k)))
+        held = docs.sparkSession.sparkContext.broadcast(([r.id for r in rows], Benchmark([r.text for r in rows], k, run)))
         kind = f"array<struct<item:{id_type},windows:int,matched:int,changed:int>>"
         leaks.append(F.arrow_udf(_search(held, coverage, arrow_type), kind).asNondeterministic()(F.col(text_col)))
     texts = docs.withColumn(text_col, F.col(text_col).cast("string"))

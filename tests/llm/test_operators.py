@@ -139,6 +139,22 @@ def test_leaks_with_changed_names_where_sentences_begin_and_in_one_case(spark):
         assert got[4, 1].matched < got[0, 1].matched and got[0, 1].changed == 4
 
 
+def test_leaks_of_short_items_and_of_runs_in_long_ones(spark):
+    short, name = "What is 12 * 7?", "Who was Napoleon?"
+    passage = words(200, 5)
+    question = "how many boats did the captain see before the storm came in that evening"
+    other = words(60, 6)
+    texts = [
+        " ".join([*other, f". {short}", *other]), short, " ".join([*other[:20], "what is 13 * 7", *other]),
+        "So who was napoleon in the end", "So who was Caesar in the end", " ".join([*other, *passage[50:120], *other]),
+        " ".join([*other, question, *other]), " ".join([*other, *passage[50:61], *other]),
+    ]
+    rows = [(1, short), (2, name), (3, " ".join([*passage, question])), (4, "moon")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    got = {(r.doc_id, r.item) for r in with_leaks(docs_of(spark, [*texts, "The Moon, of course"]), bench).select("doc_id", F.inline("leaks")).collect()}
+    assert got == {(0, 1), (1, 1), (3, 2), (5, 3), (6, 3), (8, 4)}
+
+
 def test_url_rules_and_ranks(spark):
     rules = [("good.com", "/", "allow"), ("bad.net", "/", "block"), ("bad.net", "/fine/", "allow")]
     link = lambda *hosts: "".join(f"<a class=x href='http://{h}/a'>x</a>" for h in hosts)
