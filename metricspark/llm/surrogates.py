@@ -1,8 +1,9 @@
 r"""PII surrogates: every detected entity is replaced by another of its kind, the same one everywhere.
 
 Found are e-mail addresses, telephone, card and social security numbers, IP addresses, IBANs, hexadecimal
-and prefixed secrets, and personal names (given names of a list, and the capitalised words after them or
-after a title). Mentions that differ in case or in how numbers are grouped are one entity: telephone
+and prefixed secrets, and personal names: given names of a table that is apart from the surrogates (`names.py`),
+with the capitalised words, initials and particles after them, capitalised words after a title or a few
+phrases, and surnames found so wherever else they stand in the text. Mentions that differ in case or in how numbers are grouped are one entity: telephone
 numbers by their last ten digits, so one with a country code and one without stay the same person's.
 
 A surrogate is drawn from a keyed hash of the entity. Numbers keep length and grouping, cards their first
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricspark.llm import frames
+from metricspark.llm import frames, names
 
 KEY = "change me"
 ROUNDS = 40
@@ -65,19 +66,27 @@ ALPHABETS = {
 
 _GAP = r"[^\p{L}\p{N}\n]{1,6}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}{1,24}(?:-\p{Lu}\p{Ll}{1,24})?"
+_PART = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}{1,24}(?:\p{Lu}\p{Ll}{1,24})?"
 
 
 def _any_of(words: list[str]) -> str:
-    """One of these words, tried by their first letters."""
+    """One of these words, tried letter by letter."""
     by_first: dict[str, list[str]] = {}
-    for w in words:
-        by_first.setdefault(w[0], []).append(w[1:])
-    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+    for w in sorted(set(words)):
+        if w:
+            by_first.setdefault(w[0], []).append(w[1:])
+    each = "|".join(c + (_any_of(rest) if any(rest) else "") for c, rest in by_first.items())
+    return f"(?:{each})" + ("?" if "" in words else "")
 
 
-_GIVEN = [n for names in GIVEN.values() for n in names.split()]
-_ANY_GIVEN = _any_of([*_GIVEN, *(n.upper() for n in _GIVEN)])
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_ALONE = [*(n for given in GIVEN.values() for n in given.split()), *(n for t in names.TABLE.values() for n in t.split())]
+_FIRST = [n for t in names.BEFORE_A_NAME.values() for n in t.split()]
+_NAME = rf"(?!{_any_of(names.OTHERS.split())}{_AFTER}){_PART}(?:-{_PART})?"
+# up to three more words, with initials and particles before them
+_MORE = rf"(?: \p{{Lu}}\.)?(?: {_any_of(names.PARTICLES.split())}){{0,2}} {_NAME}"
+_UPPER_MORE = r"(?: \p{Lu}{2,25}(?! \p{Lu}{2}))"
+
 
 # What an entity is: the first that fits at a place. Every part is of bounded length.
 EMAIL = {"email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}][\p{L}\p{N}.-]{0,252}\.\p{L}{2,24}"}
@@ -92,9 +101,12 @@ KEYS = {
     "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64}|xox[abprs]-[0-9A-Za-z-]{10,72}",
     "iban": r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}",
 }
-NAMES = {"name": rf"{_any_of(TITLES.split())}\.? {_NAME}(?: {_NAME})?|{_ANY_GIVEN}(?: {_NAME})?"}
-
-_BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+NAMES = {
+    "name": rf"{_any_of(TITLES.split())}\.? {_NAME}(?:{_MORE}){{0,3}}"
+    rf"|{_any_of(_ALONE)}(?:-{_PART})?(?:{_MORE}){{0,3}}|{_any_of(_FIRST)}(?:{_MORE}){{1,3}}"
+    rf"|{_any_of([n.upper() for n in _ALONE])}{_UPPER_MORE}?|{_any_of([n.upper() for n in _FIRST])}{_UPPER_MORE}"
+    rf"|(?:(?<=(?:name is|named) )|(?<=(?:Dear|signed|written by) )(?={_PART} {_PART})){_NAME}(?:{_MORE}){{0,3}}"
+}
 
 
 def _pattern(*groups: tuple[str, dict[str, str]]) -> str:
@@ -216,8 +228,9 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     for script, (begin, end) in SURNAMES.items():
         surname = lambda i, b=begin.split(), e=end.split(): F.concat(_pick(b, byte(i)), _pick(e, byte(i + 1)))
         out = out.when(F.col("kind") == f"surname {script}", several(surname))
-    for (gender, script), names in GIVEN.items():
-        given = lambda i, n=names.split(): _pick(n, byte(i))
+    both = {("n", script): f"{GIVEN['f', script]} {GIVEN['m', script]}" for script in ALPHABETS}
+    for (gender, script), listed in (GIVEN | both).items():
+        given = lambda i, n=listed.split(): _pick(n, byte(i))
         out = out.when(F.col("kind") == f"given {gender} {script}", several(given))
     return drawn.select("kind", "normal", "draw", out.alias("surrogate"))
 
@@ -247,6 +260,23 @@ def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFra
     raise RuntimeError(f"surrogates still met after {rounds} rounds")
 
 
+def _given(gender: str) -> list[str]:
+    """The given names of a gender, in lower case."""
+    listed = [given for g, given in GIVEN.items() if g[0] == gender]
+    return [n.lower() for n in " ".join([*listed, names.TABLE[gender], names.BEFORE_A_NAME[gender]]).split()]
+
+
+def _surnames(values: Column) -> Column:
+    """A pattern for the surnames among these mentions wherever they stand alone, null without any."""
+    several = F.filter(values, lambda v: v.rlike(r"^[\p{L}.'’ -]+ [\p{L}'’-]+$"))
+    words = F.flatten(F.transform(several, lambda v: F.split(v, " ")))
+    known = [n for gender in ("f", "m", "n") for n in _given(gender)]
+    surname = lambda w: w.rlike(r"^\p{Lu}['’\p{L}-]{2,}$") & ~F.lower(w).isin(known) & ~w.isin(TITLES.split())
+    found = F.array_distinct(F.filter(words, surname))
+    either = F.array_join(F.array_distinct(F.concat(found, F.transform(found, F.upper))), "|")
+    return F.when(F.size(found) > 0, F.concat(F.lit(f"{_BEFORE}(?:"), either, F.lit(f"){_AFTER}")))
+
+
 def _words(mentions: DataFrame) -> DataFrame:
     """(digest, place, word, kind, normal, value): names word by word, with gender and script; titles have
     no normal text, as they stay; all else as it is."""
@@ -256,9 +286,9 @@ def _words(mentions: DataFrame) -> DataFrame:
     low, script = F.lower("value"), _script(F.col("value"))
     kind = F.when(F.col("kind") != "name", F.col("kind"))
     kind = kind.when((F.col("word") == 0) & F.regexp_replace("value", r"\.$", "").isin(TITLES.split()), "title")
-    for gender in ("f", "m"):
-        names = [n.lower() for g, listed in GIVEN.items() if g[0] == gender for n in listed.split()]
-        kind = kind.when(low.isin(names), F.concat_ws(" ", F.lit(f"given {gender}"), script))
+    kind = kind.when(F.col("value").isin(names.PARTICLES.split()), "title")
+    for gender in ("f", "m", "n"):
+        kind = kind.when(low.isin(_given(gender)), F.concat_ws(" ", F.lit(f"given {gender}"), script))
     each = each.withColumn("kind", kind.otherwise(F.concat_ws(" ", F.lit("surname"), script)))
     return each.withColumn("normal", F.when(F.col("kind") != "title", _normal(F.col("kind"), F.col("value"))))
 
@@ -285,7 +315,13 @@ def replace_pii(
     text = F.col(text_col)
     found = _by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
     held = docs.withColumn("__digest", F.unhex(F.md5(text))).withColumn("__values", found)
-    held = frames.stage(held.where(F.size("__values") > 0), "texts_with_entities")
+    held = held.where(F.size("__values") > 0).withColumn("__surnames", _surnames(F.col("__values")))
+    # surnames found in a text are looked for in what is left of it
+    between = _by_pattern(text, lambda p: F.split(text, p))
+    alone = lambda b: F.regexp_extract_all(b, F.col("__surnames"), F.lit(0))
+    more = F.zip_with(between, "__values", lambda b, v: F.concat(alone(b), F.when(v.isNull(), F.array()).otherwise(F.array(v))))
+    held = held.withColumn("__values", F.when(F.col("__surnames").isNull(), F.col("__values")).otherwise(F.flatten(more)))
+    held = frames.stage(held, "texts_with_entities")
     texts = held.groupBy(F.col("__digest").alias("digest")).agg(F.any_value("__values").alias("values"))
     words = frames.stage(_words(texts.select("digest", F.posexplode("values").alias("place", "value"))), "mentions")
     surrogates = assign(words.where("normal is not null").select("kind", "normal").distinct(), key, rounds)
@@ -297,7 +333,8 @@ def replace_pii(
         F.sort_array(F.collect_list(F.struct("place", "new"))).alias("__new")
     )
     lists = frames.stage(lists.withColumn("__new", F.col("__new.new")), "replacements")
-    between = _by_pattern(text, lambda p: F.split(text, p))
+    apart = F.flatten(F.transform(between, lambda b: F.split(b, F.col("__surnames"))))
+    between = F.when(F.col("__surnames").isNull(), between).otherwise(apart)
     glued = F.array_join(F.zip_with(between, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     replaced = held.join(lists, "__digest").withColumn(count_col, F.size("__new")).withColumn(text_col, glued)
     others = docs.where(~_by_pattern(text, lambda p: text.rlike(p))).withColumn(count_col, F.lit(0))

@@ -243,6 +243,22 @@ def test_surrogates_keep_kind_identity_and_form(spark):
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_surrogates_of_names_that_are_no_surrogates_and_of_surnames_alone(spark):
+    texts = [
+        "Emma Miller and Peter Schmidt met Carlos Ruiz. Chen Wei came; Chen Wei left.", "Mary Jones spoke. Later Jones left, said JONES.",
+        "Ludwig van Beethoven, Mary O'Brien, Emma McDonald and John F. Kennedy", "His name is Xolani Dube. Emma Was late; Mary In town.",
+        "New York and the United States stay", "Mary Jones-Smith; Lady Jones",
+    ]
+    out = {r.doc_id: r.text for r in surrogates.replace_pii(docs_of(spark, texts)).collect()}
+    gone = "Emma Miller Peter Schmidt Carlos Ruiz Chen Wei Jones JONES Beethoven Brien McDonald Kennedy Xolani Dube".split()
+    assert not [w for w in gone if any(re.search(rf"\b{w}\b", out[i]) for i in out)]
+    assert " van " in out[2] and " Was late" in out[3] and " In town" in out[3] and out[4] == texts[4]
+    jones, alone, upper = re.match(r"\S+ (\S+) spoke\. Later (\S+) left, said (\S+)\.$", out[1]).groups()
+    assert jones == alone and upper == jones.upper()
+    one, two = re.search(r"(\S+ \S+) came; (\S+ \S+) left", out[0]).groups()
+    assert one == two
+
+
 def test_surrogates_stay_distinct_when_draws_meet(spark):
     # more persons than a gender's names: hyphenated ones must keep them apart
     rows = [("given f latin", n.lower()) for n in surrogates.GIVEN["f", "latin"].split()] + [("ssn", f"{i:03d}") for i in range(300)]
