@@ -4,7 +4,10 @@ Found are e-mail addresses, telephone, card and social security numbers, IP addr
 and prefixed secrets, and personal names: given names of a table that is apart from the surrogates (`names.py`),
 with the capitalised words, initials and particles after them, capitalised words after a title or a few
 phrases, and surnames found so wherever else they stand in the text. Mentions that differ in case or in how numbers are grouped are one entity: telephone
-numbers by their last ten digits, so one with a country code and one without stay the same person's.
+numbers by their last ten digits, so one with a country code and one without stay the same person's where
+the number itself has ten. National telephone numbers begin with 0 or are grouped 3-3-4. An IPv6 address
+is replaced by one written in full. In e-mail addresses a letter becomes another of its script, or a Latin
+one if the script has no list.
 
 A surrogate is drawn from a keyed hash of the entity. Numbers keep length and grouping, cards their first
 digit and a valid check digit where they had one, e-mail addresses of one domain stay together under
@@ -62,6 +65,18 @@ ALPHABETS = {
     "latin": "abcdefghijklmnopqrstuvwxyz",
     "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
     "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "han": "安百北本长春大东多方飞风福刚高光国海和红花华江金静军开康兰乐立林龙美明木南宁平奇青清秋山生石水松天田文武西祥小晓新星雪阳叶义英永友雨玉元月云正志中竹子",
+    "hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "hangul": "가강경고광국권기길나남노다단대도동라래로루마명모무문미민바배백보부빈사산상서석선성소송수순승시신아안양영오용우원유은이인일장재정조종주준지진차창철초태하한해현형호홍화효희",
+    "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "devanagari": "अआइउकखगघचछजटठडतथदधनपफबभमयरलवशसह",
+    "bengali": "অআইউকখগঘচছজটঠডতথদধনপফবভমযরলশসহ",
+    "tamil": "அஆஇஉகஙசஞடணதநபமயரலவழளன",
+    "thai": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวสหอ",
+    "georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    "armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ",
 }
 
 _GAP = r"[^\p{L}\p{N}\n]{1,6}"
@@ -88,18 +103,32 @@ _MORE = rf"(?: \p{{Lu}}\.)?(?: {_any_of(names.PARTICLES.split())}){{0,2}} {_NAME
 _UPPER_MORE = r"(?: \p{Lu}{2,25}(?! \p{Lu}{2}))"
 
 
-# What an entity is: the first that fits at a place. Every part is of bounded length.
-EMAIL = {"email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}][\p{L}\p{N}.-]{0,252}\.\p{L}{2,24}"}
+# What an entity is: the first that fits at a place. Parts without an upper bound are of one class of
+# characters and begin where no such run is under way, so that each is read once.
+EMAIL = {
+    "email": r"(?<![\p{L}\p{N}\p{M}][._%+-]{0,16})[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+"
+    r"@[\p{L}\p{N}][\p{L}\p{M}\p{N}.-]*\.(?:xn--[0-9A-Za-z-]*[0-9A-Za-z]|\p{L}[\p{L}\p{M}]+)"
+}
+_HEX4 = "[0-9a-fA-F]{1,4}"
+IP6 = {
+    "ip6": rf"(?=[a-fA-F:]*\d)(?:(?:{_HEX4}:){{7}}{_HEX4}|{_HEX4}(?::{_HEX4}){{0,6}}::(?:{_HEX4}(?::{_HEX4}){{0,5}})?)(?!:)",
+}
+# a national number begins with 0 and has nine to thirteen digits; a date is none
+_NATIONAL = (
+    r"(?<!\d[-/.:])(?=\(?(?:\d[ )/.-]{0,3}){9,13}(?![\p{L}\p{N}]))(?!\d\d[-/. ]\d\d[-/. ]\d{4}(?!\d))"
+    r"(?:\(0\d{1,5}\)|0\d{1,5})[ /.-]{1,3}\d{2,9}(?:[ .-]\d{2,9}){0,4}|0[1-9]\d{7,10}"
+)
 NUMBERS = {
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": rf"(?:\+\d{{1,3}}{_GAP})?\(?\d{{3}}{_GAP}\d{{3}}{_GAP}\d{{4}}|\+\d{{1,3}}(?:{_GAP}\d{{2,4}}){{2,5}}|\+\d{{8,15}}",
+    "phone": rf"(?:\+\d{{1,3}}{_GAP})?\(?\d{{3}}{_GAP}\d{{3}}{_GAP}\d{{4}}|\+\d{{1,3}}(?:{_GAP}\d{{2,9}}){{2,5}}|\+\d{{8,15}}|{_NATIONAL}",
     "card": r"\d{4}(?:[ -]\d{4}){3}|\d{13,19}",
 }
 KEYS = {
-    "hex": r"[0-9a-fA-F]{32,128}",
-    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64}|xox[abprs]-[0-9A-Za-z-]{10,72}",
-    "iban": r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}",
+    "hex": r"[0-9a-fA-F]{32,}+",
+    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}+|github_pat_[0-9A-Za-z_]{22,}+"
+    r"|sk-[0-9A-Za-z_-]{20,}+|xox[abeprs]-[0-9A-Za-z-]{10,}+",
+    "iban": r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}|(?=[A-Z]{2}(?:[A-Z ]{0,9}\d){8})[A-Z]{2}\d{2}(?: [0-9A-Z]{4}){2,7}(?: \d[0-9A-Z]{0,2})?",
 }
 NAMES = {
     "name": rf"{_any_of(TITLES.split())}\.? {_NAME}(?:{_MORE}){{0,3}}"
@@ -116,8 +145,9 @@ def _pattern(*groups: tuple[str, dict[str, str]]) -> str:
 
 
 _NUMBERS, _KEYS, _NAMES = (r"[0-9+(]", NUMBERS), (r"[0-9A-Fa-fgsxA-Z]", KEYS), (r"\p{Lu}", NAMES)
-WITH_AT = _pattern((r"[\p{L}\p{N}]", EMAIL), _NUMBERS, _KEYS, _NAMES)
-WITH_DIGITS = _pattern(_NUMBERS, _KEYS, _NAMES)
+_IP6 = (r"[0-9A-Fa-f]", IP6)
+WITH_AT = _pattern((r"[\p{L}\p{N}]", EMAIL), _IP6, _NUMBERS, _KEYS, _NAMES)
+WITH_DIGITS = _pattern(_IP6, _NUMBERS, _KEYS, _NAMES)
 WITH_CAPITALS = _pattern((_KEYS[0], {k: v for k, v in KEYS.items() if k != "iban"}), _NAMES)
 
 
@@ -133,7 +163,7 @@ def _by_pattern(text: Column, use) -> Column:
 
 def _kind(value: Column) -> Column:
     out = F.lit("name")
-    for name, pattern in reversed((EMAIL | NUMBERS | KEYS).items()):
+    for name, pattern in reversed((EMAIL | IP6 | NUMBERS | KEYS).items()):
         out = F.when(value.rlike(f"^(?:{pattern})$"), name).otherwise(out)
     return out
 
@@ -151,10 +181,16 @@ def _digits(value: Column) -> Column:
 def _normal(kind: Column, value: Column) -> Column:
     """The text that all mentions of an entity share."""
     digits = _digits(value)
+    groups = lambda n: F.filter(F.split(F.substring_index(value, "::", n), ":"), lambda g: g != "")
+    left, right = groups(1), F.when(F.contains(value, F.lit("::")), groups(-1)).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    ip6 = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
     return (
         F.when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "secret", value)
+        .when(kind == "iban", F.lower(F.replace(value, F.lit(" "), F.lit(""))))
+        .when(kind == "ip6", F.lower(ip6))
         .otherwise(F.lower(value))
     )
 
@@ -188,12 +224,13 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     def same_class(c: Column, i: Column, hexadecimal: bool = False) -> Column:
         if hexadecimal:
             return F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", byte(i))).otherwise(c)
-        out = F.when(c.rlike("[0-9]"), digit(i))
+        out = F.when(c.rlike(r"\p{Nd}"), digit(i))
         for script, letters in ALPHABETS.items():
             in_script = c.rlike(rf"\p{{Is{script.capitalize()}}}")
             out = out.when(in_script & (c == F.upper(c)), F.upper(_pick(letters, byte(i))))
             out = out.when(in_script, _pick(letters, byte(i)))
-        return out.otherwise(c)
+        # letters of all other scripts, marks and other numbers
+        return out.when(c.rlike(r"[\p{L}\p{M}\p{N}]"), _pick(ALPHABETS["latin"], byte(i))).otherwise(c)
 
     def mapped(f, chars: Column | str = "chars") -> Column:
         return F.array_join(F.transform(chars, f), "")
@@ -205,8 +242,10 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     local, domain = F.substring_index("normal", "@", 1), F.substring_index("normal", "@", -1)
     place = F.sha2(F.concat_ws("\0", F.lit(key), F.lit("domain"), domain).cast("binary"), 256)
     ending = _pick(["com", "net", "org"], F.conv(F.substr(place, F.lit(1), F.lit(2)), 16, 10).cast("int"))
+    # where an address has too few others of its form, digits keep it apart
+    apart = F.when(F.col("draw") < 8, "").otherwise(F.concat(*(digit(F.lit(i)) for i in range(100, 106))))
     email = F.concat(
-        mapped(lambda c, i: same_class(c, i), _chars(local)), F.lit("@m"), F.substr(place, F.lit(3), F.lit(10)), F.lit(".example."), ending
+        mapped(lambda c, i: same_class(c, i), _chars(local)), apart, F.lit("@m"), F.substr(place, F.lit(3), F.lit(10)), F.lit(".example."), ending
     )
     octets = F.concat_ws(".", *((byte(F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
     kept = F.length(F.regexp_extract("normal", r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|[a-z]{2}(?=\d{2}))", 0))
@@ -222,13 +261,13 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
         .when(F.col("kind") == "ip", octets)
         .when(F.col("kind").isin("ssn", "phone"), numbers)
         .when(F.col("kind") == "card", F.when(_luhn(F.col("normal")) % 10 == 0, check).otherwise(card))
-        .when(F.col("kind") == "hex", mapped(lambda c, i: same_class(c, i, True)))
+        .when(F.col("kind").isin("hex", "ip6"), mapped(lambda c, i: same_class(c, i, True)))
         .when(F.col("kind").isin("secret", "iban"), secret)
     )
     for script, (begin, end) in SURNAMES.items():
         surname = lambda i, b=begin.split(), e=end.split(): F.concat(_pick(b, byte(i)), _pick(e, byte(i + 1)))
         out = out.when(F.col("kind") == f"surname {script}", several(surname))
-    both = {("n", script): f"{GIVEN['f', script]} {GIVEN['m', script]}" for script in ALPHABETS}
+    both = {("n", script): f"{GIVEN['f', script]} {GIVEN['m', script]}" for script in SURNAMES}
     for (gender, script), listed in (GIVEN | both).items():
         given = lambda i, n=listed.split(): _pick(n, byte(i))
         out = out.when(F.col("kind") == f"given {gender} {script}", several(given))
@@ -303,8 +342,12 @@ def _as_mentioned(kind: Column, value: Column, surrogate: Column) -> Column:
         return F.when(c.rlike("[0-9]") & (at > 0), F.substr(surrogate, at, F.lit(1))).otherwise(c)
 
     numbers = F.array_join(F.transform(_chars(value), placed), "")
+    letter_at = lambda i: F.length(F.replace(F.substring(value, 1, i + 1), F.lit(" "), F.lit("")))
+    spaced = F.transform(_chars(value), lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, letter_at(i), F.lit(1))))
+    iban = F.upper(F.array_join(spaced, ""))
     upper = (value == F.upper(value)) & value.rlike(r"\p{L}") & (kind != "secret")
-    return F.when(kind.isin("phone", "card", "ssn"), numbers).when(upper, F.upper(surrogate)).otherwise(surrogate)
+    out = F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", iban)
+    return out.when(upper, F.upper(surrogate)).otherwise(surrogate)
 
 
 def replace_pii(

@@ -259,6 +259,31 @@ def test_surrogates_of_names_that_are_no_surrogates_and_of_surnames_alone(spark)
     assert one == two
 
 
+def test_surrogates_of_over_long_and_other_shapes(spark):
+    r = random.Random(3)
+    key = lambda n, alphabet="abcXYZ0189": "".join(r.choice(alphabet) for _ in range(n))
+    long = ["".join(r.choice("0123456789abcdef") for _ in range(300)), f"sk-proj-{key(150)}-{key(60)}", f"xoxb-{key(60)}-{key(60)}"]
+    long += [f"ghp_{key(80)}", f"{key(90, 'abcd')}.{key(40, 'efgh')}@mail.example.com"]
+    shapes = ["2001:db8::8a2e:370:7334", "2001:0DB8:0:0:0:8a2e:0370:7334", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    shapes += ["GB29 NWBK 6016 1331 9268 19", "030 1234567", "(030) 1234567", "0171/1234567", "020 7946 0958", "01 23 45 67 89", "0301234567"]
+    locals_ = ["王小明", "محمد", "דוד", "김철수", "たろう", "ნინო", "ሰላም", "अमित"]
+    emails = [f"{x}@mail.example.com" for x in locals_]
+    kept = "at 12:30:45 on 01-02-2024 12:30, 01/02/2024, std::vector, a::b, 10.5 and 007"
+    found = [*long, *shapes, *emails]
+    out = {r.doc_id: r for r in surrogates.replace_pii(docs_of(spark, [*(f"see {x} there" for x in found), kept, "a." * 30_000 + " x@y"])).collect()}
+    new = [re.match(r"see (.*) there$", out[i].text).group(1) for i in range(len(found))]
+    assert [r.n_entities for i, r in sorted(out.items())] == [1] * len(found) + [0, 0] and out[len(found)].text == kept
+    for old, now in zip(found, new):
+        assert now != old and (len(now) == len(old) or "@" in old or "::" in old or "DB8" in old)
+    for old, now in zip(long[:4], new):
+        assert not any(old[i : i + 12] in now for i in range(5, len(old) - 12))
+    for old, now in zip(locals_, new[-len(emails) :]):
+        assert len(now.split("@")[0]) == len(old) and sum(a == b for a, b in zip(old, now)) < len(old)
+    v6, full, spaced, compact, british, short, parted = new[5:12]
+    assert v6 == full.lower() and spaced.replace(" ", "") == compact and re.match(r"DE\d\d( \d{4}){4} \d\d$", spaced)
+    assert re.match(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d$", british) and re.sub(r"\D", "", parted) == re.sub(r"\D", "", short)
+
+
 def test_surrogates_stay_distinct_when_draws_meet(spark):
     # more persons than a gender's names: hyphenated ones must keep them apart
     rows = [("given f latin", n.lower()) for n in surrogates.GIVEN["f", "latin"].split()] + [("ssn", f"{i:03d}") for i in range(300)]
