@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from metricspark.llm import bpe, chat, quality, urls, warc
+from metricspark.llm.alignment import align
 from metricspark.llm.decontamination import with_leaks
 from metricspark.llm.embeddings import range_join
 from metricspark.llm.frames import hex_sha256, small_batches, table
@@ -197,3 +198,11 @@ from placed
 @query
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), VOCABULARY, PIECES).documents
