@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from metricspark.llm import bpe, chat, quality, urls, warc
+from metricspark.llm import bpe, chat, lexical, quality, urls, warc
 from metricspark.llm.alignment import align
 from metricspark.llm.decontamination import with_leaks
 from metricspark.llm.embeddings import range_join
 from metricspark.llm.frames import hex_sha256, small_batches, table
 from metricspark.llm.jaccard import jaccard_join
 from metricspark.llm.lines import dedup_lines
+from metricspark.llm.sharding import SHARDS, lay_out
 from metricspark.llm.surrogates import replace_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +207,55 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 @query
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), VOCABULARY, PIECES).documents
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+
+ORACLES["op12_ranked_lexical_search"] = f"""
+with held as (
+  select doc_id, {_TERMS} as term from documents
+), lengths as (
+  select doc_id, count(*) as n from held group by doc_id
+), total as (
+  select count(*) as docs, sum(n)::bigint as terms from lengths
+), counted as (
+  select doc_id, term, count(*) as tf from held group by doc_id, term
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from counted, total group by term, docs
+), asked as (
+  select item_id, term, count(*) as times from (select item_id, {_TERMS} as term from benchmark) group by item_id, term
+), impacts as (
+  select doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)) as impact
+  from counted join lengths using (doc_id), total where term in (select term from asked)
+), scores as (
+  select item_id, doc_id, sum(times * w * impact)::bigint as score
+  from asked join weights using (term) join impacts using (term) group by item_id, doc_id
+), ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+LAW = "rows"
+
+
+@query
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lay_out(table(spark, sf_dir, "documents")).shards(SHARDS, LAW)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
