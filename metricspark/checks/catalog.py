@@ -27,7 +27,7 @@ ORDERED = """(select c_mktsegment as segment, o_orderpriority as priority, o_ord
   from orders left join customer on c_custkey = o_custkey) o"""
 
 OF_TURNS = (0.25, 0.75, 0.95)
-OF_TIMES = (0.1, 0.5, 0.95)
+OF_MINUTES = (0.5, 0.9, 0.99, 0.999)
 SPREAD = (0.002, 0.02, 0.1, 0.5, 0.95, 0.995)
 BUCKETS = (20, 50, 100, 250, 500, 750, 1000, 1500, 2000, 2500, 3000, 3500, 4000, 4500, 4750, 4900, 4950, 4990)
 
@@ -37,6 +37,8 @@ SEGMENT = {"segment": o.text("segment")}
 ORDER = {**SEGMENT, "priority": o.text("priority")}
 # an object as label text, where quotes are escaped
 ITEM = """coalesce('{\\"no\\":' || no || '}', 'NULL')"""
+# who keeps a thing, and its number
+THING = "'user/' || user_id || '/' || no"
 
 
 def _grouped(columns: str, agg: str, source: str, where: str = "true") -> str:
@@ -51,14 +53,14 @@ def _activity(name: str, labels: dict, source: str) -> tuple[str, str, str]:
     return "activity", name, o.gauge(f"activity_{name}", labels, "a", source)
 
 
-def _per_time(name: str, agg: str, unit: str, kind: str) -> tuple[str, str, str]:
-    group = _grouped(f"date_trunc('{unit}', done) as t", agg, ACTIONS, f"kind = '{kind}'")
-    return "activity", name, o.summary(f"activity_{name}", {}, "a", group, OF_TIMES)
+def _per_minute(name: str, agg: str, kind: str) -> tuple[str, str, str]:
+    group = _grouped("date_trunc('minute', done) as t", agg, ACTIONS, f"kind = '{kind}'")
+    return "activity", name, o.summary(f"activity_{name}", {}, "a", group, OF_MINUTES)
 
 
-def _top(kind: str, order: str) -> str:
-    counts = f"select no, count(no) as a from {ACTIONS} where kind = '{kind}' group by no"
-    return f"({counts} order by a desc, {order} limit 10) g"
+def _top(kind: str, label: str) -> str:
+    counts = f"select {label} as l, count(*) as a from {ACTIONS} where kind = '{kind}' and {label} is not null group by l"
+    return f"({counts} order by a desc, l limit 10) g"
 
 
 def _sales(name: str, labels: dict, columns: str, agg: str) -> tuple[str, str, str]:
@@ -79,16 +81,16 @@ METRICS = [
     _activity("longest_by_role", ROLE, _grouped("role", "max(chars)", TURNS)),
     _activity("actions", {}, _total("count(amount)", ACTIONS)),
     _activity("actions_by_kind", {"kind": "coalesce(kind, 'not told')"}, _grouped("kind", "count(amount)", ACTIONS)),
-    _activity("most_clicked", {"item": ITEM}, _top("click", "no || '}'")),
-    _activity("most_bought", {"item": o.text("no")}, _top("purchase", "no")),
+    _activity("most_clicked", {"user": o.text("l")}, _top("click", "user_id::varchar")),
+    _activity("most_bought", {"thing": o.text("l")}, _top("purchase", THING)),
     _activity("large_signups", {}, _total("count(*)", ACTIONS, "kind = 'signup' and amount >= 10")),
     ("activity", "chars_by_role", o.summary("activity_chars_by_role", ROLE, "chars", TURNS, OF_TURNS)),
     ("activity", "turn_by_role", o.summary("activity_turn_by_role", ROLE, "turn", TURNS, OF_TURNS)),
-    _per_time("signups_an_hour", "count(*)", "hour", "signup"),
-    _per_time("errors_an_hour", "count(*)", "hour", "error"),
-    _per_time("spent_a_minute", "sum(amount)", "minute", "purchase"),
-    _per_time("clickers_an_hour", "count(distinct user_id)", "hour", "click"),
-    _per_time("views_a_minute", "count(*)", "minute", "view"),
+    _per_minute("signups_a_minute", "count(*)", "signup"),
+    _per_minute("errors_a_minute", "count(*)", "error"),
+    _per_minute("spent_a_minute", "sum(amount)", "purchase"),
+    _per_minute("clickers_a_minute", "count(distinct user_id)", "click"),
+    _per_minute("views_a_minute", "count(*)", "view"),
     (
         "deliveries",
         "net_by_supplier",

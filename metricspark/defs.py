@@ -64,11 +64,17 @@ class MetricDef:
     one; it is not a label. `quantiles` is "exact" or "sketch" for summaries. `stage`
     writes the query's rows once before an exact summary reads them several times, for
     queries that cost more to run again than to store.
+
+    Instead of `sql` a metric may name a `source` (`from` in YAML), its rows (`where`), its labels
+    (`by`, label to expression) and a `value`: an aggregate for a gauge, and an expression of the
+    row otherwise. `each` makes a summary one of groups: its values are an aggregate for each
+    group by these expressions, within the labels. `top` keeps the gauge's greatest values. Such
+    metrics over one source share their scans.
     """
 
     kind: str
     name: str
-    sql: str
+    sql: str = ""
     help: str = ""
     enabled: bool = True
     buckets: tuple[float, ...] = ()
@@ -76,6 +82,12 @@ class MetricDef:
     order_by: str | None = None
     quantiles: str = "exact"
     stage: bool = False
+    source: str | None = None
+    where: str | None = None
+    by: tuple[tuple[str, str], ...] = ()
+    each: tuple[str, ...] = ()
+    value: str | None = None
+    top: int | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -86,13 +98,40 @@ class MetricDef:
             raise ValueError(f"metric {self.name}: buckets must strictly increase")
         if any(not 0 <= q <= 1 for q in self.objectives):
             raise ValueError(f"metric {self.name}: objectives must lie in [0, 1]")
+        if self.source is None and (self.where or self.by or self.each or self.value or self.top):
+            raise ValueError(f"metric {self.name}: where, by, each, value and top need a source instead of sql")
+        if self.source is not None and self.sql:
+            raise ValueError(f"metric {self.name}: either sql or a source")
+        if self.source is not None and self.value is None and self.kind != "counter":
+            raise ValueError(f"metric {self.name}: a {self.kind} of a source needs a value")
+        if self.each and self.kind != "summary" or self.top is not None and self.kind != "gauge":
+            raise ValueError(f"metric {self.name}: each is for summaries, top for gauges")
+
+    @property
+    def query(self) -> str:
+        """The SQL of this metric's rows."""
+        if self.source is None:
+            return self.sql
+        labels = [f"{e} as `{label}`" for label, e in self.by]
+        rows = f"from {self.source}" + (f" where {self.where}" if self.where else "")
+        value = f"{self.value or 0} as value"
+        if self.each:
+            groups = [f"{e} as each_{i}" for i, e in enumerate(self.each)]
+            inner = f"select {', '.join([*labels, *groups, value])} {rows} group by all"
+            return f"select {', '.join([*(f'`{label}`' for label, _ in self.by), 'value'])} from ({inner})"
+        text = f"select {', '.join([*labels, value])} {rows}"
+        if self.kind == "gauge":
+            text += " group by all" if labels else ""
+            if self.top is not None:
+                text += f" order by {', '.join(['value desc', *(f'`{label}`' for label, _ in self.by)])} limit {self.top}"
+        return text
 
     @classmethod
     def from_dict(cls, kind: str, d: Mapping[str, Any]) -> MetricDef:
         return cls(
             kind=kind,
             name=d["name"],
-            sql=d["sql"],
+            sql=d.get("sql") or "" if "from" in d else d["sql"],
             help=d.get("help") or "",
             enabled=bool(d.get("enabled", True)),
             buckets=tuple(float(b) for b in d.get("buckets") or ()),
@@ -100,6 +139,12 @@ class MetricDef:
             order_by=d.get("orderBy"),
             quantiles=d.get("quantiles", "exact"),
             stage=bool(d.get("stage", False)),
+            source=d.get("from"),
+            where=d.get("where"),
+            by=tuple((str(k), str(v)) for k, v in (d.get("by") or {}).items()),
+            each=(d["each"],) if isinstance(d.get("each"), str) else tuple(d.get("each") or ()),
+            value=None if d.get("value") is None else str(d["value"]),
+            top=None if d.get("top") is None else int(d["top"]),
         )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from metricspark.defs import DEFAULT_BUCKETS, MetricDef
 from metricspark.functions.numbers import python_number_text
 from metricspark.operators.labels import canonical, check_label_name
-from metricspark.operators.quantiles import LIST_ROWS, RANK_ROWS, exact_quantiles
+from metricspark.operators.quantiles import ACCURACY, RANK_ROWS, exact_quantiles, frequency_quantiles
 from metricspark.operators.samples import ORDER, VALUE, Rows
 from metricspark.session import settle
 
@@ -195,16 +195,34 @@ def summary_exact(
     name: str,
     global_labels: Mapping[str, str] | None = None,
     rank_rows: int = RANK_ROWS,
-    list_rows: int = LIST_ROWS,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """A summary whose quantiles are the exact discrete quantiles of its series."""
+    """A summary whose quantiles are the exact discrete quantiles of its series.
+
+    The groups of a query are ranked from their frequencies, in the one evaluation of the query; other rows,
+    and groups that are `stage`d as there are very many, by two scans.
+    """
     check_labels(metric, [*rows.labels, *(global_labels or {})])
-    frame = settle(rows.frame) if metric.stage else rows.frame
     qs = objectives(metric)
-    series = exact_quantiles(frame, rows.keys, VALUE, qs, rank_rows, list_rows)
-    lines = quantile_lines(metric, [f"q_{i}" for i in range(len(qs))])
-    fold = Fold(metric, name, (), (*lines, Line("_sum", "total"), Line("_count", "n")))
-    return emit(series, rows, [fold], global_labels or {})
+    if rows.grouped and not metric.stage:
+        series = frequency_quantiles(rows.frame, rows.keys, VALUE, qs)
+    else:
+        frame = settle(rows.frame) if metric.stage else rows.frame
+        series = exact_quantiles(frame, rows.keys, VALUE, qs, rank_rows, accuracy)
+    return emit_summary(series, rows, metric, name, global_labels)
+
+
+def emit_summary(
+    series: DataFrame, rows: Rows, metric: MetricDef, name: str, global_labels: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Ranked series to sample rows."""
+    return emit(series, rows, [ranked_fold(metric, name, objectives(metric))], global_labels or {})
+
+
+def ranked_fold(metric: MetricDef, name: str, ranked: Sequence[float]) -> Fold:
+    """The lines of a summary from a series' `n`, `total`, and a `q_` column per ranked quantile."""
+    lines = quantile_lines(metric, [f"q_{ranked.index(q)}" for q in objectives(metric)])
+    return Fold(metric, name, (), (*lines, Line("_sum", "total"), Line("_count", "n")))
 
 
 def flat(samples: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Exact quantiles of every series, without holding a series in one task.
-
-The quantile q of n values is the value of rank ceil(q * n). Counting passes narrow the range
-that can hold that rank until few enough rows are left to be ranked one by one. Each pass is a
-scan with a map-side combined count per range, so what it shuffles depends on the number of
-series and ranges, not on the number of rows: one series may hold most of the table. Only where
-there are more ranges than may be broadcast do rows move, each large series then by many salts. Counts,
-minima and maxima do not depend on the order rows arrive in, so a task that runs again after a
-lost executor finds the same ranges.
+"""Exact quantiles of every series in two scans, without holding a series in one task.
+
+The quantile q of n values is the value of rank ceil(q * n). The first scan counts each series and sketches
+it; the sketch can be merged, and its rank error is bounded, so for every quantile it gives two values that
+have the wanted rank between them. The second scan counts rows: one group per series for all that lies between
+two such brackets, and one per value inside a bracket. Running counts over these groups find the rank exactly.
+
+Both scans combine their counts in the map tasks, so one series may hold most of the table. What the second
+one leaves of a series is a fixed small part of it. Where even that is too much for one task, it is written
+to the shared folder, and counting passes over it narrow the brackets; the table itself is not read again.
+A bracket that does not hold its rank raises an error, it never yields another value.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import ROUND_DOWN, Decimal
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricspark.session import settle
 
-# Most rows of one series whose values are held in a list: many such lists fit into one task.
-LIST_ROWS = 20_000
-# Most rows of one series that are ranked within one window group, which may spill.
+# Rank error of the sketch, as a part of the rows; brackets reach three times as far to either side.
+ACCURACY = 10_000
+MARGIN = 3
+# Most rows within brackets of one series that are ranked in one window group, which may spill.
 RANK_ROWS = 1_000_000
 # Ranges a pass divides each open range into.
 RANGES = 4096
@@ -117,6 +120,7 @@ def _within(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str)
         hits = [(v >= lo) & (v <= hi) for lo, hi in found]
         return rows.where(reduce(or_, hits, F.lit(False))).select(
             value,
+            "rows_in",
             F.coalesce(*[F.when(hit, lo) for hit, (lo, _) in zip(hits, found)], F.lit(None)).cast("double").alias("lo"),
             F.coalesce(*[F.when(hit, hi) for hit, (_, hi) in zip(hits, found)], F.lit(None)).cast("double").alias("hi"),
         )
@@ -135,15 +139,6 @@ def _at_rank(targets: DataFrame, counted: DataFrame, keys: Sequence[str]) -> Dat
     return _match(targets, counted, [*keys, "lo", "hi"], reached, not_before)
 
 
-def _rank_in_lists(rows: DataFrame, keys: list[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """All quantiles from one sorted list of values per series, with one shuffle; for small series only."""
-    found = f"sort_array(collect_list({value})) as found"
-    totals = ["count(1) as n", f"sum({value}) as total", *([found] if qs else [])]
-    series = rows.groupBy(*keys).agg(*[F.expr(t) for t in totals]).where("n > 0")
-    ranked = [f"element_at(found, cast({_rank(q)} as int)) as q_{i}" for i, q in enumerate(qs)]
-    return series.selectExpr(*keys, "n", "total", *ranked)
-
-
 def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, rank_rows: int) -> DataFrame:
     """Counting passes until no range that still holds several values holds more than rank_rows rows."""
     too_many = (F.col("lo") < F.col("hi")) & (F.col("n") > rank_rows)
@@ -157,7 +152,7 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, ra
         counted = (
             _within(rows, ranges, keys, value)
             .groupBy(*keys, "lo", "hi", number.alias("range"))
-            .agg(F.count(F.lit(1)).alias("rows_in"), F.min(value).alias("new_lo"), F.max(value).alias("new_hi"))
+            .agg(F.sum("rows_in").alias("rows_in"), F.min(value).alias("new_lo"), F.max(value).alias("new_hi"))
         )
         up_to = Window.partitionBy(*keys, "lo", "hi").orderBy("range")
         counted = counted.withColumn("rows_upto", F.sum("rows_in").over(up_to))
@@ -176,69 +171,154 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, ra
         by_root = not by_root
 
 
+def _inner(qs: Sequence[float], accuracy: int) -> list[float]:
+    reach = MARGIN / accuracy
+    return sorted({x for q in qs for x in (q - reach, q + reach) if 0 < x < 1})
+
+
+def bracket_aggregates(value: str, qs: Sequence[float], accuracy: int = ACCURACY) -> dict[str, str]:
+    """What the first scan aggregates of a series, as SQL by name."""
+    points = ", ".join(f"double('{x!r}')" for x in _inner(qs, accuracy))
+    totals = {"series_n": "count(1)", "total": f"sum({value})", "least": f"min({value})", "greatest": f"max({value})"}
+    return totals | ({"sketch": f"percentile_approx({value}, array({points}), {accuracy})"} if points else {})
+
+
+def bracket_columns(qs: Sequence[float], accuracy: int = ACCURACY, tag: str = "") -> list[str]:
+    """A series' count and total, and for each quantile two values that hold its rank between them, of the
+    aggregates, whose names begin with `tag`."""
+    inner, reach = _inner(qs, accuracy), MARGIN / accuracy
+
+    def bound(x: float, beyond: str) -> str:
+        return f"{tag}sketch[{inner.index(x)}]" if 0 < x < 1 else f"{tag}{beyond}"
+
+    pairs = [(bound(q - reach, "least"), bound(q + reach, "greatest")) for q in qs]
+    ends = [e for i, (lo, hi) in enumerate(pairs) for e in (f"{lo} as lo_{i}", f"{hi} as hi_{i}")]
+    return [f"{tag}series_n as series_n", f"{tag}total as total", *ends]
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, keys: list[str], value: str, slots: int) -> DataFrame:
+    """Rows, and the series' total, per series and `code`, which numbers in order of value the stretches that brackets
+    cut a series into; within brackets also per value, as `answer`."""
+    if keys:
+        left, right, names = _sides(rows, brackets, keys, value)
+        joined = _match(left, right, names)
+    else:
+        found = brackets.first()
+        ends = [F.lit(found[f"{end}_{i}"]).alias(f"{end}_{i}") for i in range(slots) for end in ("lo", "hi")]
+        joined = rows.select(value, F.lit(found["total"]).alias("total"), *ends)
+    from_lo = reduce(add, [(F.col(value) >= F.col(f"lo_{i}")).cast("int") for i in range(slots)])
+    past_hi = reduce(add, [(F.col(value) > F.col(f"hi_{i}")).cast("int") for i in range(slots)])
+    return (
+        joined.select(*keys, value, "total", from_lo.alias("from_lo"), past_hi.alias("past_hi"))
+        .groupBy(
+            *keys,
+            (F.col("from_lo") + F.col("past_hi")).alias("code"),
+            F.when(F.col("from_lo") > F.col("past_hi"), F.col(value)).alias("answer"),
+        )
+        .agg(F.count(F.lit(1)).alias("rows_in"), F.max("total").alias("total"))
+    )
+
+
+def _totals(keys: list[str]) -> list[Column]:
+    """The rows of each series, and its total."""
+    whole = Window.partitionBy(*keys)
+    return [F.sum("rows_in").over(whole).alias("n"), F.max("total").over(whole).alias("total")]
+
+
+def _found(columns: Sequence[Column]) -> list[Column]:
+    """Answers, or an error where a bracket did not hold its rank."""
+    missed = F.raise_error(F.lit("a sketch missed the rank of a quantile")).cast("double")
+    return [F.coalesce(c, missed).alias(f"q_{i}") for i, c in enumerate(columns)]
+
+
+def _rank_in_series(counted: DataFrame, keys: list[str], qs: Sequence[float]) -> DataFrame:
+    """All quantiles from running counts over the groups of each series."""
+    in_order = Window.partitionBy(*keys).orderBy("code", "answer")
+    ranked = counted.select(*keys, "answer", "rows_in", F.sum("rows_in").over(in_order).alias("rows_upto"), *_totals(keys))
+    holds = "{r} > rows_upto - rows_in and {r} <= rows_upto"
+    answers = [F.max(F.expr(f"if({holds.format(r=_rank(q))}, answer, null)")).alias(f"q_{i}") for i, q in enumerate(qs)]
+    series = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max("total").alias("total"), *answers).where("n > 0")
+    return series.select(*keys, "n", "total", *_found([F.col(f"q_{i}") for i in range(len(qs))]))
+
+
 def exact_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
     qs: Sequence[float],
     rank_rows: int = RANK_ROWS,
-    list_rows: int = LIST_ROWS,
+    accuracy: int = ACCURACY,
+    brackets: DataFrame | None = None,
 ) -> DataFrame:
     """One row per series: its keys, `n`, `total`, and `q_0`, `q_1`, ... for the given quantiles.
 
-    Runs jobs while it is built: totals per series, and the narrowing passes if one is large.
+    Runs the first scan while it is built, and both with the narrowing passes if a series is very large.
+    `brackets` are given if another aggregation over the rows has made them, and are kept in the shared folder.
     """
     keys = list(keys)
     rows = rows.select(*keys, value)
-    stats = (
-        rows.groupBy(*keys)
+    if not qs:
+        totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        return totals.where("n > 0")
+    if brackets is None:
+        series = rows.groupBy(*keys).agg(*[F.expr(a).alias(c) for c, a in bracket_aggregates(value, qs, accuracy).items()])
+        brackets = settle(series.where("series_n > 0").selectExpr(*keys, *bracket_columns(qs, accuracy)))
+    largest = brackets.agg(F.max("series_n")).first()[0]
+    if largest is None:
+        nothing = [F.lit(None).cast("double").alias(c) for c in ("total", *(f"q_{i}" for i in range(len(qs))))]
+        return brackets.select(*keys, F.col("series_n").alias("n"), *nothing)
+    counted = _counted(rows, brackets, keys, value, len(qs))
+    # a bracket holds the reach and the sketch's error to either side
+    if largest * len(qs) * 2 * (MARGIN + 1) / accuracy <= rank_rows:
+        return _rank_in_series(counted, keys, qs)
+    return _rank_in_ranges(settle(counted), keys, qs, rank_rows)
+
+
+def frequency_quantiles(rows: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """The same from one evaluation of `rows`, for rows that are few beside what they are made of, like the groups
+    of a query: the different values of each series with their counts, and running counts over these."""
+    keys = list(keys)
+    counted = rows.groupBy(*keys, F.col(value).alias("answer")).agg(
+        F.count(F.lit(1)).alias("rows_in"), F.sum(value).alias("some")
+    )
+    total = F.sum("some").over(Window.partitionBy(*keys))
+    return _rank_in_series(counted.select("*", F.lit(0).alias("code"), total.alias("total")), keys, qs)
+
+
+def _rank_in_ranges(counted: DataFrame, keys: list[str], qs: Sequence[float], rank_rows: int) -> DataFrame:
+    """Quantiles of series whose brackets still hold very many rows: narrow them first, then rank what is left."""
+    by_code = Window.partitionBy(*keys).orderBy("code")
+    codes = (
+        counted.groupBy(*keys, "code")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(value).alias("total"),
-            F.min(value).alias("lo"),
-            F.max(value).alias("hi"),
+            F.sum("rows_in").alias("rows_in"),
+            F.max("total").alias("total"),
+            F.min("answer").alias("lo"),
+            F.max("answer").alias("hi"),
         )
-        .where("n > 0")
+        .select(*keys, "rows_in", "lo", "hi", F.sum("rows_in").over(by_code).alias("rows_upto"), *_totals(keys))
     )
-    if not qs:
-        return stats.select(*keys, "n", "total")
-    # this pass reads the key columns only
-    smallest, largest = stats.agg(F.min("n"), F.max("n")).first()
-    if largest is None or largest <= list_rows:
-        return _rank_in_lists(rows, keys, value, qs)
-    stats = settle(stats)
-    large = stats.where(F.col("n") > list_rows)
-    out = _rank_in_ranges(rows, large, keys, value, qs, rank_rows)
-    if smallest <= list_rows:
-        left, right, names = _sides(rows, large.select(*keys, F.col("n").alias("series_n")), keys, value)
-        out = out.unionByName(_rank_in_lists(_except(left, right, names), keys, value, qs))
-    return out
-
-
-def _rank_in_ranges(
-    rows: DataFrame, stats: DataFrame, keys: list[str], value: str, qs: Sequence[float], rank_rows: int
-) -> DataFrame:
-    """Quantiles of the series in `stats`, however large: narrow first, then rank what is left."""
     wanted = ", ".join(f"named_struct('slot', {i}, 'r', {_rank(q)})" for i, q in enumerate(qs))
-    targets = stats.select(
-        *keys, F.col("n").alias("series_n"), "total", "n", "lo", "hi", F.expr(f"inline(array({wanted}))")
+    targets = (
+        codes.select("*", F.expr(f"inline(array({wanted}))"))
+        .where("r > rows_upto - rows_in and r <= rows_upto")
+        .withColumn("r", F.expr("r - rows_upto + rows_in"))
+        .select(*keys, F.col("n").alias("series_n"), "total", F.col("rows_in").alias("n"), "lo", "hi", "slot", "r")
     )
-    targets = _narrow(rows, targets, keys, value, rank_rows)
+    rows = counted.where("answer is not null").select(*keys, "answer", "rows_in")
+    targets = _narrow(rows, settle(targets), keys, "answer", rank_rows)
 
     # every open range now holds at most rank_rows rows, so ranking within it is bounded
     several = F.col("lo") < F.col("hi")
     ranges = settle(targets.where(several).select(*keys, "lo", "hi", "series_n").distinct())
-    counted = (
-        _within(rows, ranges, keys, value)
-        .groupBy(*keys, "lo", "hi", F.col(value).alias("answer"))
-        .agg(F.count(F.lit(1)).alias("rows_in"))
-    )
+    within = _within(rows, ranges, keys, "answer").groupBy(*keys, "lo", "hi", "answer").agg(F.sum("rows_in").alias("rows_in"))
     by_value = Window.partitionBy(*keys, "lo", "hi").orderBy("answer")
-    ranked = counted.withColumn("rows_upto", F.sum("rows_in").over(by_value))
+    ranked = within.withColumn("rows_upto", F.sum("rows_in").over(by_value))
     found = _at_rank(targets.where(several), ranked, keys)
     # NaN sorts last and equals itself, so a range of NaN alone has lo = hi like any single value
-    known = targets.where(~several).withColumn("answer", F.col("lo"))
+    known = targets.where(~several | F.col("lo").isNull()).withColumn("answer", F.col("lo"))
     kept = [*keys, "series_n", "total", "slot", "answer"]
     per_slot = [F.max(F.when(F.col("slot") == i, F.col("answer"))).alias(f"q_{i}") for i in range(len(qs))]
     answers = known.select(*kept).unionByName(found.select(*kept))
-    return answers.groupBy(*keys).agg(F.max("series_n").alias("n"), F.max("total").alias("total"), *per_slot)
+    series = answers.groupBy(*keys).agg(F.max("series_n").alias("n"), F.max("total").alias("total"), *per_slot)
+    return series.select(*keys, "n", "total", *_found([F.col(f"q_{i}") for i in range(len(qs))]))

@@ -98,17 +98,42 @@ class Rows:
     `frame` has one group key column per label, typed as in the query where equal values mean
     equal texts, plus the value (and the order column of a gauge). `texts` turns each key into
     its label text; it is applied after the aggregation, once per series instead of per row.
+    `grouped` says that the rows are the groups of a query, few beside the rows these are made of.
     """
 
     frame: DataFrame
     labels: tuple[str, ...]
     texts: tuple[Column, ...]
+    grouped: bool = False
 
     @property
     def keys(self) -> list[str]:
         return [f"key_{i}" for i in range(len(self.labels))]
 
 
+def group_key(c: Column, dtype: T.DataType, name: str) -> tuple[Column, Column]:
+    """What rows are grouped by for a label, as the column `name`, and the label's text of that column."""
+    key = F.col(name)
+    if isinstance(dtype, T.StringType):
+        # NULL and the text NULL are one series
+        return F.coalesce(c, F.lit(NULL_LABEL)), key
+    if _groups_as_text(dtype):
+        return F.coalesce(label_text(c, dtype), F.lit(NULL_LABEL)), key
+    return c, F.coalesce(label_text(key, dtype), F.lit(NULL_LABEL))
+
+
+# What may stand between a query's result and the grouping it comes from.
+_SAME_ROWS = {"Project", "Filter", "SubqueryAlias", "View", "Sort", "GlobalLimit", "LocalLimit"}
+
+
+def is_grouped(df: DataFrame) -> bool:
+    """Whether the rows of a query are groups."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _SAME_ROWS:
+        plan = plan.children().head()
+    return plan.nodeName() == "Aggregate"
+
+
 def to_rows(df: DataFrame, order_by: str | None = None, overridden: Mapping[str, str] | None = None) -> Rows:
     """Read a query result as samples. Labels named in `overridden` are replaced later, so they do not group."""
     labels, value = split_columns(df.columns, order_by)
@@ -121,26 +146,17 @@ def to_rows(df: DataFrame, order_by: str | None = None, overridden: Mapping[str,
     by_position = df.toDF(*cols)
 
     keys, texts = [], []
-    for k, (_, i) in enumerate(labels.items()):
-        c, dtype = F.col(cols[i]), types[i]
-        key = F.col(f"key_{k}")
-        if isinstance(dtype, T.StringType):
-            # NULL and the text NULL are one series
-            keys.append(F.coalesce(c, F.lit(NULL_LABEL)))
-            texts.append(key)
-        elif _groups_as_text(dtype):
-            keys.append(F.coalesce(label_text(c, dtype), F.lit(NULL_LABEL)))
-            texts.append(key)
-        else:
-            keys.append(c)
-            texts.append(F.coalesce(label_text(key, dtype), F.lit(NULL_LABEL)))
+    for k, i in enumerate(labels.values()):
+        key, text = group_key(F.col(cols[i]), types[i], f"key_{k}")
+        keys.append(key)
+        texts.append(text)
     out = [c.alias(f"key_{k}") for k, c in enumerate(keys)]
     out.append((F.lit(0.0) if value is None else to_value(F.col(cols[value]), types[value])).alias(VALUE))
     if order_by is not None:
         if order_by not in df.columns:
             raise ValueError(f"order column {order_by!r} is not a column of the query")
         out.append(F.col(cols[df.columns.index(order_by)]).alias(ORDER))
-    return Rows(by_position.select(*out), tuple(labels), tuple(texts))
+    return Rows(by_position.select(*out), tuple(labels), tuple(texts), is_grouped(df))
 
 
 def extract(df: DataFrame) -> DataFrame:

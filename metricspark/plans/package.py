@@ -1,12 +1,13 @@
 """Packages to samples: macros, then sources, then every metric, as one samples table.
 
-The table is lazy but for exact quantiles, which run their counting passes while a run is built.
+Metrics over the same query text, and metrics that name the same source, share an aggregation. The table is lazy but for
+what reads rows in several passes: exact quantiles, and the shared groups of a source, which are made while a run is built.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from metricspark.functions.macros import register_macros
 from metricspark.operators.folds import SAMPLES_SCHEMA, check_labels, flat, fold_rows, summary_exact
 from metricspark.operators.labels import full_name
 from metricspark.operators.samples import Rows, to_rows
+from metricspark.plans.fused import FusedMetrics
 from metricspark.session import noting_checkpoints, prepare_session, remove_folders, replace_folder
 from metricspark.sources.read import sql
 from metricspark.sources.register import register_sources
@@ -27,13 +29,21 @@ from metricspark.sources.register import register_sources
 # what a metric may fail with: a query that cannot be planned, labels that cannot be used, or data
 FAILURES = (PySparkException, Py4JError, ValueError)
 
-# an exact summary that is still to be built: the rows of its query, its definition and full name
-Ranked = tuple[Rows, MetricDef, str]
+# a metric whose query could be planned: its rows, its definition and full name
+Planned = tuple[Rows, MetricDef, str]
 
-# Summaries whose passes run at the same time.
+# Summaries and sources whose passes run at the same time.
 PASSES_AT_ONCE = 8
 
 
+@dataclass(frozen=True)
+class Pending:
+    """Metrics whose samples need jobs of their own to be planned. Should `build` fail, they are tried one by one."""
+
+    metrics: tuple[Planned, ...]
+    build: Callable[[], dict[str, DataFrame]]
+
+
 @dataclass
 class PackageRun:
     """What a run yields: one samples frame per query, and the errors of what had to be left out.
@@ -119,7 +129,7 @@ def named_metrics(
 
 
 def _query_key(m: MetricDef) -> tuple[str, str | None]:
-    return m.sql.strip().rstrip(";").strip(), m.order_by
+    return m.query.strip().rstrip(";").strip(), m.order_by
 
 
 def run_package(
@@ -133,8 +143,8 @@ def run_package(
 
     Every run starts from nothing: samples are a function of the sources as they are.
     """
-    run, ranked = _plan_package(spark, package, global_labels, now, taken)
-    _rank(run, ranked, global_labels)
+    run, pending = _plan_package(spark, package, global_labels, now, taken)
+    _finish(run, pending, global_labels)
     return run
 
 
@@ -144,63 +154,109 @@ def _plan_package(
     global_labels: Mapping[str, str] | None,
     now: float | None,
     taken: Mapping[str, str] | None,
-) -> tuple[PackageRun, list[Ranked]]:
-    """A run with all but its exact summaries, and these."""
+) -> tuple[PackageRun, list[Pending]]:
+    """A run with all that is lazy, and what is not."""
     prepare_session(spark)
     run = PackageRun(spark)
     register_macros(spark, package.macros)
     for source, error in register_sources(spark, package.sources, package.variables, now).items():
         run.errors[f"source {source}"] = error
 
-    # metrics over the same query are folded together, so it is scanned and shuffled once
-    queries: dict[tuple[str, str | None], list[tuple[MetricDef, str]]] = {}
     metrics, clashes = named_metrics(package, taken)
     run.errors.update(clashes)
     run.names = {name: f"a {m.kind} of {package.name}" for m, name in metrics}
+    queries: dict[tuple[str, str | None], list[tuple[MetricDef, str]]] = {}
     for m, name in metrics:
         queries.setdefault(_query_key(m), []).append((m, name))
-    ranked: list[Ranked] = []
-    for (_, order_by), metrics in queries.items():
+    planned: list[list[Planned]] = []
+    for (_, order_by), same in queries.items():
         try:
-            rows = to_rows(sql(spark, metrics[0][0].sql, package.variables), order_by, global_labels)
+            rows = to_rows(sql(spark, same[0][0].query, package.variables), order_by, global_labels)
         except FAILURES as e:
-            run.errors.update({name: str(e) for _, name in metrics})
+            run.errors.update({name: str(e) for _, name in same})
             continue
-        folded = []
-        for m, name in metrics:
+        good: list[Planned] = []
+        for m, name in same:
             try:
                 check_labels(m, [*rows.labels, *(global_labels or {})])
+                good.append((rows, m, name))
             except ValueError as e:
                 run.errors[name] = str(e)
-                continue
-            if m.kind == "summary" and m.quantiles == "exact":
-                ranked.append((rows, m, name))
-            else:
-                folded.append((m, name))
+        planned.append(good)
+
+    pending, fused = _fuse(spark, [x for some in planned for x in some], package.variables, global_labels)
+    for some in planned:
+        # metrics over the same query are folded together, so it is scanned and shuffled once
+        rest = [x for x in some if x[2] not in fused]
+        folded = [(m, name) for _, m, name in rest if not _is_ranked(m)]
         if folded:
-            run.parts[" ".join(name for _, name in folded)] = fold_rows(rows, folded, global_labels)
-    return run, ranked
+            run.parts[" ".join(name for _, name in folded)] = fold_rows(rest[0][0], folded, global_labels)
+        for x in rest:
+            if _is_ranked(x[1]):
+                pending.append(Pending((x,), lambda x=x: {x[2]: _apart(x, global_labels)}))
+    return run, pending
 
 
-def _rank(run: PackageRun, ranked: Sequence[Ranked], global_labels: Mapping[str, str] | None) -> None:
-    """Add exact summaries to a run. They run passes over their rows while they are built; side by
-    side, the last tasks of one pass share the cluster with the next."""
+def _is_ranked(m: MetricDef) -> bool:
+    return m.kind == "summary" and m.quantiles == "exact"
 
-    def rank(item: Ranked) -> DataFrame | Exception:
-        rows, m, name = item
-        try:
-            with noting_checkpoints(run.checkpoints):
-                return summary_exact(rows, m, name, global_labels)
-        except FAILURES as e:
-            return e
 
-    if ranked:
-        with ThreadPoolExecutor(min(len(ranked), PASSES_AT_ONCE)) as pool:
-            for (_, _, name), part in zip(ranked, pool.map(inheritable_thread_target(run.spark)(rank), ranked)):
-                if isinstance(part, Exception):
-                    run.errors[name] = str(part)
-                else:
-                    run.parts[name] = part
+def _fuse(
+    spark: SparkSession,
+    planned: Sequence[Planned],
+    variables: Mapping[str, object],
+    global_labels: Mapping[str, str] | None,
+) -> tuple[list[Pending], set[str]]:
+    """Metrics that share a source, each source as one, and their names. Those with a label that a global one
+    replaces are left apart, as their groups are of that label all the same."""
+    sources: dict[str, list[Planned]] = {}
+    for x in planned:
+        if x[1].source is not None and not any(label in (global_labels or {}) for label, _ in x[1].by):
+            sources.setdefault(x[1].source, []).append(x)
+    pending, names = [], set()
+    for source, some in sources.items():
+        if len(some) > 1:
+            try:
+                fused = FusedMetrics(spark, source, [(m, name) for _, m, name in some], variables, global_labels)
+            except FAILURES:
+                continue  # each has been planned, so they go on apart
+            pending.append(Pending(tuple(some), fused.build))
+            names.update(name for _, _, name in some)
+    return pending, names
+
+
+def _apart(x: Planned, global_labels: Mapping[str, str] | None) -> DataFrame:
+    """One metric by itself."""
+    rows, m, name = x
+    if _is_ranked(m):
+        return summary_exact(rows, m, name, global_labels)
+    return fold_rows(rows, [(m, name)], global_labels)
+
+
+def _finish(run: PackageRun, pending: Sequence[Pending], global_labels: Mapping[str, str] | None) -> None:
+    """Add what is pending to a run. It runs passes over its rows while it is built; side by side,
+    the last tasks of one pass share the cluster with the next."""
+
+    def build(item: Pending) -> tuple[dict[str, DataFrame], dict[str, str]]:
+        parts, errors = {}, {}
+        with noting_checkpoints(run.checkpoints):
+            try:
+                return item.build(), errors
+            except FAILURES as e:
+                if len(item.metrics) == 1:
+                    return parts, {item.metrics[0][2]: str(e)}
+            for x in item.metrics:
+                try:
+                    parts[x[2]] = _apart(x, global_labels)
+                except FAILURES as e:
+                    errors[x[2]] = str(e)
+        return parts, errors
+
+    if pending:
+        with ThreadPoolExecutor(min(len(pending), PASSES_AT_ONCE)) as pool:
+            for parts, errors in pool.map(inheritable_thread_target(run.spark)(build), pending):
+                run.parts.update(parts)
+                run.errors.update(errors)
 
 
 def run_packages(
@@ -211,9 +267,9 @@ def run_packages(
 ) -> PackageRun:
     """Run packages in order into one result. A package that cannot be set up is noted and left out.
 
-    Exact summaries of all packages are ranked together at the end.
+    What needs jobs of its own is built at the end, of all packages together.
     """
-    total, ranked = PackageRun(spark), []
+    total, pending = PackageRun(spark), []
     for package in packages:
         try:
             run, more = _plan_package(spark, package, global_labels, now, total.names)
@@ -223,8 +279,8 @@ def run_packages(
         total.names.update(run.names)
         total.parts.update(run.parts)
         total.errors.update(run.errors)
-        ranked += more
-    _rank(total, ranked, global_labels)
+        pending += more
+    _finish(total, pending, global_labels)
     return total
 
 

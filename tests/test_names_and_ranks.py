@@ -18,8 +18,8 @@ def test_long_objectives_on_both_paths(spark, n):
     qs = [2 / 3, 1 / 3, 1 / 7, 0.07, 0.50000000001, 1.0]
     rows = spark.range(1, n + 1).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
     want = [max(1, ceil(Fraction(repr(q)) * n)) for q in qs]
-    for limit in (10, 100_000):
-        found = exact_quantiles(rows, ["k"], "v", qs, list_rows=limit).first()
+    for accuracy in (10, 100_000):
+        found = exact_quantiles(rows, ["k"], "v", qs, accuracy=accuracy).first()
         assert [found[f"q_{i}"] for i in range(len(qs))] == want
 
 

@@ -9,7 +9,7 @@ from metricspark.defs import MetricDef
 from metricspark.functions.text import bm25
 from metricspark.operators.enrich import add_labels
 from metricspark.operators.folds import fold_rows
-from metricspark.operators.quantiles import _rank_in_lists
+from metricspark.operators.quantiles import exact_quantiles, frequency_quantiles
 from metricspark.operators.samples import to_rows
 from metricspark.plans.exposition import render
 
@@ -78,9 +78,31 @@ def test_a_query_grouped_by_its_label_is_not_shuffled_again(spark, lines):
     assert count(plan(fold_rows(rows, [(MetricDef("gauge", "g", ""), "g")])), "Exchange") == 1
 
 
-def test_small_series_are_ranked_with_one_shuffle(spark, lines):
-    text = plan(_rank_in_lists(spark.table("plan_lines").select("flag", "price"), ["flag"], "price", (0.5, 0.9)))
-    assert count(text, "FileScan") == 1 and count(text, "Exchange") == 1
+def test_exact_quantiles_scan_a_second_time_with_one_shuffle(spark, lines):
+    text = plan(exact_quantiles(spark.table("plan_lines").select("flag", "price"), ["flag"], "price", (0.5, 0.9)))
+    assert count(text, "FileScan") == 1 and count(text, "Exchange hashpartitioning") == 1
+    assert "partial_count" in text and "BroadcastHashJoin" in text
+
+
+@pytest.mark.parametrize("limits", [{}, {"accuracy": 20}, {"accuracy": 20, "rank_rows": 3}])
+def test_exact_quantiles_read_every_row_twice(spark, limits):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(v):
+        read.add(1)
+        return v
+
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), noted(F.col("id").cast("double")).alias("v"))
+    exact_quantiles(rows, ["k"], "v", (0.01, 0.5, 0.99), **limits).collect()
+    assert read.value == 6000
+
+
+def test_groups_are_ranked_in_one_evaluation_without_a_checkpoint(spark, lines):
+    rows = to_rows(spark.sql("select flag, line, count(1) as n from plan_lines group by all").select("flag", F.col("n").alias("v")))
+    assert rows.grouped and not to_rows(spark.sql("select flag, price as v from plan_lines")).grouped
+    text = plan(frequency_quantiles(rows.frame, rows.keys, "sample_value", (0.5, 0.9)))
+    assert count(text, "FileScan") == 1 and "ExistingRDD" not in text
 
 
 def test_rendering_computes_the_samples_once(spark, lines):

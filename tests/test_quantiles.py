@@ -33,8 +33,8 @@ def check(spark, rows, **limits):
             assert have == want or (math.isnan(have) and math.isnan(want)), (k, q, have, want)
 
 
-# one map per series, one window per series, narrowing passes, and small beside large series
-PATHS = [{}, {"list_rows": 0}, {"list_rows": 0, "rank_rows": 3}, {"list_rows": 20, "rank_rows": 40}]
+# brackets from an exact sketch and from coarse ones, and narrowing passes within brackets
+PATHS = [{}, {"accuracy": 20}, {"accuracy": 20, "rank_rows": 3}, {"accuracy": 500, "rank_rows": 40}]
 
 
 @pytest.mark.parametrize("limits", PATHS)
@@ -67,7 +67,7 @@ def test_difficult_values(spark, limits, values):
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.floats(allow_nan=False)), min_size=1, max_size=40))
 def test_any_values(spark, rows):
-    check(spark, rows, list_rows=0, rank_rows=2)
+    check(spark, rows, accuracy=5, rank_rows=2)
 
 
 def test_no_keys_and_two_keys(spark):
@@ -82,7 +82,7 @@ def test_no_keys_and_two_keys(spark):
 @pytest.mark.parametrize("values", [[math.nan, 1.0, -math.inf, 3.0, 3.0, 1e300, 2.0], [float(i % 97) for i in range(400)]])
 def test_one_series_without_keys(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    r = exact_quantiles(df, [], "v", QS, list_rows=0, rank_rows=2).first()
+    r = exact_quantiles(df, [], "v", QS, accuracy=5, rank_rows=2).first()
     for i, q in enumerate(QS):
         want = brute(values, q)
         assert r[f"q_{i}"] == want or (math.isnan(want) and math.isnan(r[f"q_{i}"]))
@@ -91,14 +91,14 @@ def test_one_series_without_keys(spark, values):
 def test_narrowing_never_joins_without_a_key(spark):
     df = spark.range(500).selectExpr("cast(id as double) as v", "id % 2 as k")
     for keys in ([], ["k"]):
-        text = exact_quantiles(df, keys, "v", (0.5,), list_rows=0, rank_rows=2)._jdf.queryExecution().toString()
+        text = exact_quantiles(df, keys, "v", (0.5,), accuracy=5, rank_rows=2)._jdf.queryExecution().toString()
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
 def test_many_ranges_are_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BROADCAST_RANGES", 0)
     rnd = random.Random(5)
-    check(spark, [(f"k{i % 7}", rnd.gauss(0, 100)) for i in range(700)], list_rows=0, rank_rows=5)
+    check(spark, [(f"k{i % 7}", rnd.gauss(0, 100)) for i in range(700)], accuracy=10, rank_rows=5)
 
 
 @pytest.mark.parametrize("limits", PATHS[1:])
