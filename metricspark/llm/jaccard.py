@@ -1,15 +1,16 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets verify them.
 
-Texts with the same words in the same order are one class from the start and travel as one row.
+Texts with the same words in the same order, and equal texts without words, are one class from the start and travel as
+one row.
 Each class has one hash per band, equal for two classes with the probability similarity ** rows;
 classes that share a band hash meet in that hash's cell. Cells with the same members are one cell.
 A large cell is cut into blocks, and each pair of blocks is a task of bounded size that compares its
 classes on their whole n-gram sets. Tasks give each class its number of links and one edge to the
 smallest class it hangs together with there, so no pairs leave a task, whatever the size of a group.
 
-Defined results: null and empty texts, and texts without words, are one class of equal texts without
-other links; a text of fewer than `k` words has one n-gram of all its words; repeated rows and rows
-with the same id are rows of their own; null ids sort last in a group; other columns are ignored.
+Defined results: null is an empty text; texts without words are linked only if they are equal, code point by code point;
+a text of fewer than `k` words has one n-gram of all its words; repeated rows and rows with the same id are rows of their
+own; null ids sort last in a group; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,9 +70,10 @@ def band_hashes(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
 def _sketch(bands: int, rows: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames.slices(batches, 1):
-            words, begin = word_hashes(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            words, begin = word_hashes(texts)
             grams, at = shingle_hashes(words, begin, k)
-            digests = [_digest(words[a:b]) for a, b in zip(begin, begin[1:])]
+            digests = _digests(texts, words, begin)
             hashes = band_hashes(grams, at, bands, rows).view(np.int64)
             offsets = np.where(np.diff(at) > 0, bands, 0)
             flat = hashes[np.diff(at) > 0].ravel()
@@ -79,14 +81,20 @@ def _sketch(bands: int, rows: int, k: int):
                 pa.array(np.concatenate([[0], np.cumsum(offsets)]).astype(np.int32)), pa.array(flat)
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), lists], names=["id", "text_class", "bands"]
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), lists],
+                names=["id", "text_hash", "text_class", "bands"],
             )
 
     return run
 
 
-def _digest(words: np.ndarray) -> bytes:
-    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+def _digests(texts: list[str | None], words: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """What tells a text's class: its words, or all of the text if it has none."""
+    hashed = [
+        (words[a:b].tobytes(), b"words") if b > a else ((text or "").encode(), b"text")
+        for text, a, b in zip(texts, begin.tolist(), begin[1:].tolist())
+    ]
+    return [hashlib.blake2b(data, digest_size=16, person=person).digest() for data, person in hashed]
 
 
 def _gram_sets(k: int):
@@ -94,11 +102,12 @@ def _gram_sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames.slices(batches, 1):
-            words, begin = word_hashes(batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            words, begin = word_hashes(texts)
             grams, at = shingle_hashes(words, begin, k)
             classes, sets = [], []
-            for i, text_class in enumerate(batch.column(0).to_pylist()):
-                if _digest(words[begin[i] : begin[i + 1]]) == text_class:
+            for i, (text_class, digest) in enumerate(zip(batch.column(0).to_pylist(), _digests(texts, words, begin))):
+                if digest == text_class:
                     classes.append(text_class)
                     sets.append(np.unique(grams[at[i] : at[i + 1]]))
             yield pa.RecordBatch.from_arrays(
@@ -220,14 +229,20 @@ def jaccard_join(
     `similarity` (found with probability `recall` or more; equal texts always)."""
     bands, rows = choose_bands(similarity, recall)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     sketches = frames.stage(
-        texts.mapInArrow(_sketch(bands, rows, k), f"id {id_type}, text_class binary, bands array<bigint>"), "sketches"
+        texts.mapInArrow(
+            _sketch(bands, rows, k), f"id {id_type}, text_hash bigint, text_class binary, bands array<bigint>"
+        ),
+        "sketches",
     )
+    # of each class the first row, which its id and text tell: ids may be null or shared by many rows
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     classes = frames.stage(
-        sketches.groupBy("text_class").agg(
-            F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")
-        ),
+        sketches.groupBy("text_class")
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+        .select("text_class", F.col("first.id").alias("first_id"), "first.text_hash", "copies", "bands"),
         "text_classes",
     )
     placed = classes.select("text_class", F.explode("bands").alias("cell"))
@@ -249,11 +264,11 @@ def jaccard_join(
     members = frames.stage(placed.join(cells, "cell"), "members")
     of_class = members.groupBy("text_class").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     wanted = classes.join(of_class.select("text_class"), "text_class", "left_semi")
-    # texts come from the first row of each class; ids that are not unique may bring others, which have
-    # another class and drop out
-    chosen = wanted.select(F.col("first_id").alias("id"), "text_class")
+    # texts come from the first row of each class; another text with the same hash has another class and drops out
+    chosen = wanted.select(F.col("first_id").alias("id"), F.col("text_hash").alias("chosen_hash"), "text_class")
+    same_row = texts["id"].eqNullSafe(chosen["id"]) & (texts["text_hash"] == chosen["chosen_hash"])
     some = (
-        texts.join(chosen, texts["id"].eqNullSafe(chosen["id"]))
+        texts.join(chosen, same_row)
         .select("text_class", "text")
         .mapInArrow(_gram_sets(k), "text_class binary, grams binary, n_grams bigint")
         .groupBy("text_class")

@@ -10,10 +10,10 @@ next level. All runs share one bucketing, so the joins read them without moving
 Afterwards a line with keys in `min_docs` documents or more is dropped everywhere but in the document
 of the largest id that holds it.
 
-Defined results: a null or empty text is one empty line; a row is a document, also if its id repeats,
-and rows of the same id keep or lose a line together; a null id is smaller than any other and keeps a
-line only where all its holders have none; a text whose lines all go becomes empty; texts are split
-only at \\n; other columns pass through unless they are named like the added ones, which replace them.
+Defined results: a null or empty text is one empty line; rows of the same id are one document, and keep or lose a line
+together; rows without an id are no documents that count, and lose a line that enough documents hold; a text whose lines
+all go becomes empty; texts are split only at \\n; other columns pass through unless they are named like the added ones,
+which replace them.
 """
 
 from __future__ import annotations
@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.llm import frames
-from metricspark.session import new_work_path
+from metricspark.session import new_work_path, remove_folders
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 5
 FAN = 4
+# Bytes of a key with its count and id, and of what a bucket holds of them at most on average.
+KEY_BYTES = 64
+BUCKET = 64 << 20
+LEAST_BUCKETS = 12
 
 # fixed values: the white space that is stripped from lines, [\x20\x09-\x0D]
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -66,9 +70,10 @@ def _keys_of(min_chars: int):
 class LineRuns:
     """The store: runs by level, bucketed and sorted by key in the shared folder."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan: int = FAN):
+    def __init__(self, spark: SparkSession, keys: int, min_docs: int = MIN_DOCS, fan: int = FAN):
+        """`keys` is the number of rows to come, of which the number of buckets is made."""
         self.spark, self.min_docs, self.fan = spark, min_docs, fan
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(LEAST_BUCKETS, -(-keys * KEY_BYTES // BUCKET))
         self.levels: list[list[tuple[str, str]]] = []  # of each run, its table and its folder
 
     def _runs(self) -> list[tuple[str, str]]:
@@ -89,8 +94,17 @@ class LineRuns:
         if len(self.levels[level]) >= self.fan:
             merged, self.levels[level] = self.levels[level], []
             self._write(self._total(merged), level + 1)
-            for old, _ in merged:
-                self.spark.sql(f"drop table {old}")
+            self._drop(merged)
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, _ in runs:
+            self.spark.sql(f"drop table {name}")
+        remove_folders(self.spark, [path for _, path in runs])
+
+    def close(self) -> None:
+        """Remove all runs."""
+        self._drop(self._runs())
+        self.levels = []
 
     def _total(self, runs: list[tuple[str, str]]) -> DataFrame:
         # read as plain files: a union of bucketed tables counts as partitioned by key, but its columnar
@@ -100,8 +114,8 @@ class LineRuns:
         return rows.groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (id, key), each key once per document."""
-        batch = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+        """Add a batch of (id, key). All rows of an id are in one batch, so each document counts once."""
+        batch = keys.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
         for name, _ in self._runs():
             run = self.spark.table(name).where(F.col("n") >= self.min_docs).select("key", F.col("last").alias("seen"))
             settled = (batch["key"] == run["key"]) & (run["seen"] >= F.coalesce(batch["last"], run["seen"]))
@@ -151,11 +165,12 @@ def dedup_lines(
         "line_keys",
         "batch",
     )
-    runs = LineRuns(spark, min_docs, fan)
+    runs = LineRuns(spark, keys.count(), min_docs, fan)
     for i in range(batches):
         runs.add(keys.where(F.col("batch") == i).select("id", "key"))
     # a table of its own, so that the join can split a key that very many documents hold
     repeated = frames.stage(runs.repeated(), "repeated_lines")
+    runs.close()
     gone = (
         keys.join(repeated, "key")
         .where(~F.col("id").eqNullSafe(F.col("last")))

@@ -64,7 +64,7 @@ with lines as (
 ), repeated as (
   select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
 ), marked as (
-  select k.doc_id, k.line, k.pos, r.key is not null and k.doc_id <> r.last as gone
+  select k.doc_id, k.line, k.pos, r.key is not null and k.doc_id is distinct from r.last as gone
   from keyed k left join repeated r on k.key = r.key
 )
 select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
