@@ -31,10 +31,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
+    """One row of each group of near duplicates: that with the smallest id, a null id last, of these any.
+
+    Rows are told apart by a number of their own, so that rows without an id, or with the same one, are judged apart.
+    """
     frames.small_batches(spark)
-    others = jaccard_join(docs).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    rows = frames.stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    classes = jaccard_join(rows, "row").select("row", "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.select("row", "doc_id").join(classes, "row").groupBy("class_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
