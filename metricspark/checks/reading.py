@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.checks import oracle as o
-from metricspark.checks.harness import check, samples, table, tables
-from metricspark.defs import Package, SourceDef
+from metricspark.checks.harness import check, rounded, samples, table, tables
+from metricspark.defs import MetricDef, Package, SourceDef
+from metricspark.operators.folds import flat
 from metricspark.plans.exposition import render
 from metricspark.plans.package import run_package
+from metricspark.publish import read_published
 from metricspark.session import new_work_path, work_path
 from metricspark.sources import read_source, refresh_source, register_sources
+from metricspark.sources.incremental import IncrementalMetrics
 from metricspark.sources.register import forget_snapshots
 
 EVENT_SCHEMA = "event_id bigint, user_id bigint, event_type string, value double, props string"
@@ -134,6 +137,35 @@ def refresh_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+WHOLE_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+EVENT_BOUNDS = (1.0, 10.0, 100.0)
+
+
+@check(
+    "a07_incremental_refresh",
+    o.union(
+        o.counter("seen", {"kind": o.text("event_type")}, "events"),
+        o.gauge("greatest", {"kind": o.text("event_type")}, "a", "(select event_type, max(value) as a from events group by all) g"),
+        o.histogram("spent", {"kind": o.text("event_type")}, "value", "events", EVENT_BOUNDS),
+    ),
+)
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events come in three parts, with a refresh after each that reads the new files and merges their states."""
+    path, events = new_work_path(spark, "growing"), table(spark, sf_dir, "events")
+    metrics = [
+        (MetricDef("counter", "seen"), "seen"),
+        (MetricDef("gauge", "greatest"), "greatest"),
+        (MetricDef("histogram", "spent", buckets=EVENT_BOUNDS), "spent"),
+    ]
+    source = SourceDef("arriving", "parquet", path, schema=WHOLE_EVENTS)
+    query = "select event_type as kind, value as v from arriving"
+    growing = IncrementalMetrics(spark, source, query, metrics, new_work_path(spark, "growing-states"))
+    for i in range(3):
+        events.where(f"event_id % 3 = {i}").write.mode("append").parquet(path)
+        growing.refresh()
+    return rounded(flat(growing.samples()))
+
+
 @check(
     "a08_source_list",
     "select count(*) as flags, cast(sum(n) as bigint) as n from (select l_returnflag, count(*) as n from lineitem group by all)",
@@ -221,7 +253,7 @@ def written_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = run_package(spark, Package.from_dict({"name": "shop", "metrics": {"gauge": [{"name": "lines", "sql": sql}]}}))
     path = work_path(spark, "samples")
     run.write(path)
-    run.parts = {"written": spark.read.parquet(path)}
+    run.parts = {"written": read_published(spark, path)}
     return samples(run)
 
 

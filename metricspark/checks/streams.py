@@ -9,6 +9,8 @@ from metricspark.checks import oracle as o
 from metricspark.checks.harness import check, rounded, table
 from metricspark.defs import MetricDef, SourceDef
 from metricspark.operators.folds import SKETCH_ACCURACY, flat
+from metricspark.operators.samples import to_rows
+from metricspark.operators.states import make_states, merge_states, rank_error, sketch_size
 from metricspark.session import new_work_path
 from metricspark.streaming import (
     SnapshotSink,
@@ -104,6 +106,42 @@ def stream_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select("event_type", "quantile", "n", within.alias("within_error"))
 
 
+@check(
+    "d05_stored_sketches",
+    "select event_type, cast(q as double) as quantile, count(*) as n, true as within_error "
+    "from events, (values (0.5), (0.9), (0.99)) o(q) group by all",
+)
+def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of all events from states stored per hour, those of even days by a batch and of odd days by a stream,
+    and whether each lies within the sketch's rank error."""
+    events, metrics = table(spark, sf_dir, "events"), [(SPENT, "spent")]
+    query = "select event_type, value as v, date_trunc('hour', ts) as hour from {rows} where day(ts) % 2 = {odd}"
+
+    def states(rows: DataFrame, odd: int) -> DataFrame:
+        chosen = to_rows(rows.sparkSession.sql(query.format(rows="{rows}", odd=odd), rows=rows))
+        return make_states(chosen, metrics)
+
+    path = new_work_path(spark, "hours")
+    states(events, 0).write.mode("append").parquet(path)
+    write = lambda batch, _: states(batch, 1).write.mode("append").parquet(path)
+    streamed = events_stream(spark, sf_dir).writeStream.foreachBatch(write)
+    checkpoint = new_work_path(spark, "hours-checkpoint")
+    streamed.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    # the hour is the second of the keys; a day's, or all, come from merging without it
+    merged = merge_states(spark.read.parquet(path), ["key_0"], metrics)
+    quantiles = [F.struct(F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_double("m0_sketch", F.lit(q)).alias("found")) for q in SPENT.objectives]
+    found = merged.select(F.col("key_0").alias("event_type"), F.inline(F.array(*quantiles)))
+    ranks = events.select("event_type", "value").join(found, "event_type").groupBy("event_type", "quantile").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("value") < F.col("found")).alias("below"),
+        F.count_if(F.col("value") <= F.col("found")).alias("upto"),
+    )
+    allowed = F.col("n") * 2 * rank_error(sketch_size(SPENT.objectives)) + 1
+    target = F.col("quantile") * F.col("n")
+    within = (target >= F.col("below") - allowed) & (target <= F.col("upto") + allowed)
+    return ranks.select("event_type", "quantile", "n", within.alias("within_error"))
+
+
 def _closed(late: str) -> str:
     return f"""select strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as minute, event_type, count(*) as n
     from events

@@ -6,7 +6,6 @@ what reads rows in several passes: exact quantiles, and the shared groups of a s
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -22,7 +21,8 @@ from metricspark.operators.folds import SAMPLES_SCHEMA, check_labels, flat, fold
 from metricspark.operators.labels import full_name
 from metricspark.operators.samples import Rows, to_rows
 from metricspark.plans.fused import FusedMetrics
-from metricspark.session import noting_checkpoints, prepare_session, remove_folders, replace_folder
+from metricspark.publish import PublishedTable
+from metricspark.session import noting_checkpoints, prepare_session, remove_folders
 from metricspark.sources.read import sql
 from metricspark.sources.register import register_sources
 
@@ -78,23 +78,25 @@ class PackageRun:
         return flat(self.samples)
 
     def write(self, path: str) -> None:
-        """Write the samples as parquet, beside the table first; readers see the old one or the new one whole.
+        """Publish the samples at a path: readers (`read_published`) see the version before or this one, each whole.
 
         First as one job. If a metric fails on its data, the metrics are written one by one
         and only those that fail are left out, with their error noted.
         """
-        new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+        table = PublishedTable(self.spark, path)
         try:
-            self.samples.write.parquet(new)
+            table.write(self.samples)
         except FAILURES:
-            self.spark.createDataFrame([], SAMPLES_SCHEMA).write.mode("overwrite").parquet(new)
-            for name, part in list(self.parts.items()):
-                try:
-                    part.write.mode("append").parquet(new)
-                except FAILURES as e:
-                    self.errors[name] = str(e)
-                    del self.parts[name]
-        replace_folder(self.spark, new, path)
+            table.publish(self._write_parts)
+
+    def _write_parts(self, folder: str) -> None:
+        self.spark.createDataFrame([], SAMPLES_SCHEMA).write.parquet(folder)
+        for name, part in list(self.parts.items()):
+            try:
+                part.write.mode("append").parquet(folder)
+            except FAILURES as e:
+                self.errors[name] = str(e)
+                del self.parts[name]
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame | None:

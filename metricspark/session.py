@@ -76,17 +76,12 @@ def remove_folders(spark: SparkSession, paths: Iterable[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def replace_folder(spark: SparkSession, new: str, path: str) -> None:
-    """Put a written folder in the place of another by renaming, so a reader never lists a part of it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-    had_one = files.exists(target)
-    if had_one and not files.rename(target, old):
-        raise OSError(f"cannot move {path} away")
-    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(new), target):
-        if had_one:
-            files.rename(old, target)
-        raise OSError(f"cannot move {new} to {path}")
-    if had_one:
-        files.delete(old, True)
+def remove_work(spark: SparkSession) -> None:
+    """Remove all that this application keeps in the shared folder - snapshots, stages, checkpoints, streams - when it
+    is about to end. What it has published elsewhere stays."""
+    paths = [work_path(spark)]
+    own = spark.sparkContext.getCheckpointDir()
+    if own is not None:
+        # the context's own folder of checkpoints, below the one that was set
+        paths.append(own)
+    remove_folders(spark, paths)

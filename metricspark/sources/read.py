@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from metricspark.defs import SourceDef
 from metricspark.sources.jdbc import read_jdbc
 
+FILES = ("parquet", "csv", "json")
+
 
 def read_source(spark: SparkSession, d: SourceDef, variables: Mapping[str, Any] | None = None) -> DataFrame:
     """Read by type; any other type is SQL, which sees the sources registered before it.
@@ -20,20 +22,8 @@ def read_source(spark: SparkSession, d: SourceDef, variables: Mapping[str, Any]
     `schema` where the data is large: inferring one reads the files once more.
     """
     kind = d.type.lower()
-    if kind in ("parquet", "csv", "json"):
-        reader = spark.read.options(**d.options)
-        if d.schema:
-            reader = reader.schema(d.schema)
-        if kind == "parquet":
-            return reader.parquet(d.source)
-        reader = reader.option("mode", d.options.get("mode", "FAILFAST"))
-        if kind == "csv":
-            reader = reader.option("header", d.options.get("header", True))
-            reader = reader.option("enforceSchema", d.options.get("enforceSchema", False))
-            if not d.schema:
-                reader = reader.option("inferSchema", d.options.get("inferSchema", True))
-            return reader.csv(d.source)
-        return reader.json(d.source)
+    if kind in FILES:
+        return read_files(spark, d, d.source)
     if kind == "jdbc":
         return read_jdbc(spark, d)
     if kind == "arrow":
@@ -43,6 +33,22 @@ def read_source(spark: SparkSession, d: SourceDef, variables: Mapping[str, Any]
     return sql(spark, d.source, variables)
 
 
+def read_files(spark: SparkSession, d: SourceDef, paths: str | Sequence[str]) -> DataFrame:
+    """The files of a source, or some of them."""
+    kind = d.type.lower()
+    reader = spark.read.format(kind).options(**d.options)
+    if d.schema:
+        reader = reader.schema(d.schema)
+    if kind != "parquet":
+        reader = reader.option("mode", d.options.get("mode", "FAILFAST"))
+    if kind == "csv":
+        reader = reader.option("header", d.options.get("header", True))
+        reader = reader.option("enforceSchema", d.options.get("enforceSchema", False))
+        if not d.schema:
+            reader = reader.option("inferSchema", d.options.get("inferSchema", True))
+    return reader.load(paths if isinstance(paths, str) else list(paths))
+
+
 def sql(spark: SparkSession, text: str, variables: Mapping[str, Any] | None = None) -> DataFrame:
     """SQL text with `:name` markers bound to the package's variables."""
     used = {k: v for k, v in (variables or {}).items() if f":{k}" in text}

@@ -2,58 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from metricspark.publish import KEEP, PublishedTable
 from metricspark.session import new_work_path
 
 
 class SnapshotSink:
     """Takes each batch of a complete-mode query as the new snapshot.
 
-    A batch goes to one of two folders by its number: written again after a failure it replaces
-    the same folder, and a reader of the previous snapshot is not disturbed. A third folder is a
-    small table of the batches that are whole; the last row of it tells where the newest snapshot
-    lies, to this driver after a restart and to any other session.
+    A batch is published as a version of a table, under its own number, and the newest version is the snapshot: to this
+    driver after a restart, and to any other session. A batch that runs again after a failure is another version of the
+    same number, so no reader is disturbed. However many batches there were, only the newest versions are kept.
     """
 
-    def __init__(self, spark: SparkSession, path: str, view: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, view: str | None = None, keep: int = KEEP) -> None:
         # batches arrive in a session of their own; the view belongs to the caller's
         self.spark = spark
-        self.path = path
         self.view = view
+        self.published = PublishedTable(spark, path, keep)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(self._folder(batch_id))
-        # after the data: a batch that is named here has been written whole
-        done = batch.sparkSession.range(batch_id, batch_id + 1, numPartitions=1).select(F.col("id").alias("batch"))
-        done.write.mode("append").parquet(self._pointer)
+        self.published.write(batch, batch_id)
         if self.view is not None:
             self.read().createOrReplaceTempView(self.view)
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/{batch_id % 2}"
-
-    @property
-    def _pointer(self) -> str:
-        return f"{self.path}/whole"
-
     @property
     def last_batch(self) -> int | None:
-        try:
-            return self.spark.read.schema("batch bigint").parquet(self._pointer).agg(F.max("batch")).first()[0]
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        return self.published.last_number
 
     def read(self) -> DataFrame:
-        last = self.last_batch
-        if last is None:
-            raise ValueError("no snapshot has been written yet")
-        return self.spark.read.parquet(self._folder(last))
+        return self.published.read()
 
 
 def start_snapshots(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metricspark.defs import MetricDef, Package
 from metricspark.operators.folds import flat
 from metricspark.plans.package import run_package
+from metricspark.publish import read_published
 
 BY = {"k": "k", "half": "n % 2"}
 METRICS = {
@@ -101,7 +102,7 @@ def test_a_metric_that_fails_on_its_rows_costs_no_other(spark, tmp_path):
     metrics[-1]["value"] = "sum(if(n > 3, raise_error('too large'), 1))"
     run = run_package(spark, Package.from_dict({"name": "p", "metrics": {"gauge": metrics}}))
     run.write(str(tmp_path / "out"))
-    kept = {r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    kept = {r.name for r in read_published(spark, str(tmp_path / "out")).collect()}
     assert kept == {"p_all", "p_none", "p_sums"} and list(run.errors) == ["p_bad"]
 
 

@@ -6,6 +6,7 @@ import yaml
 from metricspark import Config, Package, render, run_config, run_package, run_packages, write_text
 from metricspark.operators.folds import flat
 from metricspark.session import shared_dir
+from metricspark.publish import read_published
 
 
 def package(name="shop", **metrics):
@@ -41,7 +42,7 @@ def test_a_metric_that_fails_on_its_data_leaves_the_rest(spark, tmp_path):
     path = str(tmp_path / "samples")
     run.write(path)
     assert set(run.errors) == {"shop_bad", "shop_worse"}
-    assert [(r.name, r.value) for r in flat(spark.read.parquet(path)).collect()] == [("shop_good", 1.0)]
+    assert [(r.name, r.value) for r in flat(read_published(spark, path)).collect()] == [("shop_good", 1.0)]
 
 
 def test_no_metrics_at_all(spark):
@@ -148,5 +149,5 @@ def test_written_samples_replace_the_table_whole(spark, tmp_path):
     counter = {"counter": [{"name": "seen", "sql": "select id % 2 as odd from two_rows"}]}
     for _ in range(2):
         run_package(spark, Package.from_dict({"name": "p", "metrics": counter})).write(path)
-        assert spark.read.parquet(path).count() == 2
-    assert [f.name for f in tmp_path.iterdir()] == ["samples"]
+        assert read_published(spark, path).count() == 2
+    assert sorted(f.name for f in (tmp_path / "samples").iterdir()) == ["data", "versions"]

@@ -95,7 +95,7 @@ def test_late_rows_and_open_windows(spark, tmp_path):
 
 def test_live_view_moves_from_snapshot_to_snapshot(spark, folder, tmp_path):
     sink = SnapshotSink(spark, str(tmp_path / "live"), view="live_rows")
-    with pytest.raises(ValueError, match="no snapshot"):
+    with pytest.raises(ValueError, match="nothing has been published"):
         sink.read()
     seen = []
 
