@@ -14,6 +14,7 @@ from metricspark.operators.states import make_states, merge_states, rank_error,
 from metricspark.session import new_work_path
 from metricspark.streaming import (
     SnapshotSink,
+    WindowCounts,
     per_window_counts,
     read_stream,
     run_available,
@@ -183,6 +184,35 @@ def rate_drops_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minutes(read_stream(spark, source, max_files_per_trigger=1))
 
 
+MARK = "(select date_trunc('millisecond', max(ts)) - interval 10 minute from events where {})"
+
+
+def _parts_oracle() -> str:
+    end = "date_trunc('minute', ts) + interval 1 minute"
+    first, second = MARK.format(ARRIVALS[0]), MARK.format(f"({ARRIVALS[0]}) or ({ARRIVALS[1]})")
+    late = f"(({ARRIVALS[1]}) and {end} <= {first} or ({ARRIVALS[2]}) and {end} <= {second})"
+    part = f"case when {late} then 'late' when {end} <= {MARK.format('true')} then 'closed' else 'open' end"
+    return f"""select {part} as part, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as minute, event_type,
+    count(*) as n from events group by all"""
+
+
+@check("d06_late_rows_apart", _parts_oracle())
+def late_rows_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events come in three batches; those behind what the batches before have closed are counted as late, and all parts
+    together hold every row."""
+    path, events = new_work_path(spark, "arrivals"), table(spark, sf_dir, "events").select("ts", "event_type", "event_id")
+    sink = WindowCounts(spark, new_work_path(spark, "windows"), "event_type string", "ts", by=["event_type"])
+    checkpoint = new_work_path(spark, "windows-checkpoint")
+    for some in ARRIVALS:
+        # the files that are there by then are one batch
+        events.where(some).select("ts", "event_type").write.mode("append").parquet(path)
+        rows = read_stream(spark, SourceDef("arrivals", "parquet", path, schema="ts timestamp_ntz, event_type string"))
+        writer = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    minute = F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("minute")
+    return sink.read().select("part", minute, "event_type", "n")
+
+
 @check("d07_live_snapshot", o.counter("seen", KIND, "events"))
 def live_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view that always shows the newest whole snapshot of a running query."""
