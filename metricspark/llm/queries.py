@@ -173,6 +173,31 @@ def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+# without links between hosts, trust and distrust of a host are its own pages' shares
+ORACLES["op5_url_link_graph"] = f"""
+with rests as (
+  select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, coalesce(rest, '') as rest from rests)
+), rules(suffix, start, verdict) as (
+  values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}
+), fits as (
+  select p.page_id, r.suffix || r.start as rule, r.verdict,
+    row_number() over (partition by p.page_id order by length(r.suffix || r.start) desc) as place
+  from parts p join rules r on (p.host = r.suffix or ends_with(p.host, '.' || r.suffix)) and starts_with(p.path, r.start)
+), ruled as (
+  select p.page_id, p.host, p.path, f.rule, f.verdict from parts p left join fits f on p.page_id = f.page_id and f.place = 1
+), shares as (
+  select host, avg(case when verdict = 'block' then 1.0 else 0.0 end) as blocked from ruled where host <> '' group by host
+)
+select r.page_id, r.host, r.path, r.rule,
+  coalesce(r.verdict, case when s.blocked > {urls.THRESHOLD} then 'block' else 'allow' end) as verdict
+from ruled r left join shares s on r.host = s.host
+"""
+
+
 @query
 def op6_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

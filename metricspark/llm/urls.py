@@ -22,6 +22,11 @@ they are named like the added ones, which replace them.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +39,15 @@ STEPS = 60
 THRESHOLD = 0.45
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)<a\b[^>]{0,2000}?\bhref\s{0,8}=\s{0,8}[\"']?([^\"'\s>]+)"
+
+# Where an anchor's attributes begin, and one attribute: its name, and its value in quotes of either kind or without.
+# All repetitions are possessive, so each character of a page is looked at a few times at most.
+_ANCHOR = re.compile(r"<a(?=[\s/])", re.IGNORECASE)
+_ATTRIBUTE = re.compile(
+    r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(?=>)))?+"""
+)
+_HOST_END = re.compile(r"[/?#]")
+_LOWERED = str.maketrans(UPPER, LOWER)
 
 
 def _rest(url: Column) -> Column:
@@ -60,19 +73,50 @@ def _rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rows = [(h, p, h + p, v) for (h, p), v in first.items()]
     table = pages.sparkSession.createDataFrame(rows, "suffix string, path string, rule string, verdict string")
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 999), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = pages.select("host").distinct().where("host <> ''")
     fits = hosts.withColumn("suffix", F.explode(suffixes)).join(table, "suffix")
     rule = F.struct(F.length("rule").alias("n"), "rule", "path", "verdict")
     return fits.groupBy("host").agg(F.sort_array(F.collect_list(rule), asc=False).alias("fitting"))
 
 
+def links(html: str) -> Iterator[str]:
+    """The href of every anchor of a page, however long its attributes are and whatever they hold in quotes."""
+    for anchor in _ANCHOR.finditer(html):
+        at = anchor.end()
+        while (attribute := _ATTRIBUTE.match(html, at)) is not None:
+            at = attribute.end()
+            if attribute[1].lower() == "href":
+                # the first of a name counts
+                yield (attribute[2] or attribute[3] or attribute[4] or "").strip()
+                break
+
+
+def linked_host(link: str) -> str:
+    """The host that a link names, by the rule of `host_of`; empty if it stays on its own."""
+    at = link.find("://")
+    rest = link[2:] if link.startswith("//") else link[at + 3 :] if at >= 0 else ""
+    return _HOST_END.split(rest, maxsplit=1)[0].translate(_LOWERED)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host pairs of the links of pages, counted per slice."""
+    for batch in frames.slices(batches, 1):
+        counts: Counter[tuple[str, str]] = Counter()
+        for src, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for link in links(html or ""):
+                dst = linked_host(link)
+                if dst and dst != src:
+                    counts[src, dst] += 1
+        columns = [[s for s, _ in counts], [d for _, d in counts], list(counts.values())]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["src", "dst", "n"])
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): how many links lead from one host to another."""
-    link = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("link"))
-    to = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))
-    edges = link.select(F.col("host").alias("src"), host_of(to).alias("dst"))
-    return edges.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    found = pages.where("host <> ''").select("host", "html").mapInArrow(_edges, "src string, dst string, n bigint")
+    return found.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def personalised_rank(
