@@ -81,15 +81,20 @@ def _rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def links(html: str) -> Iterator[str]:
-    """The href of every anchor of a page, however long its attributes are and whatever they hold in quotes."""
-    for anchor in _ANCHOR.finditer(html):
-        at = anchor.end()
+    """The href of every anchor of a page, however long its attributes are and whatever they hold in quotes.
+
+    An anchor is looked for where the attributes of the one before end, so a page is read through once.
+    """
+    at = 0
+    while (anchor := _ANCHOR.search(html, at)) is not None:
+        at, found = anchor.end(), None
         while (attribute := _ATTRIBUTE.match(html, at)) is not None:
             at = attribute.end()
-            if attribute[1].lower() == "href":
+            if found is None and attribute[1].lower() == "href":
                 # the first of a name counts
-                yield (attribute[2] or attribute[3] or attribute[4] or "").strip()
-                break
+                found = (attribute[2] or attribute[3] or attribute[4] or "").strip()
+        if found is not None:
+            yield found
 
 
 def linked_host(link: str) -> str:
