@@ -12,6 +12,7 @@ from metricspark.functions.geo import EARTH_RADIUS_KM, distance_km, grid_cell, n
 from metricspark.functions.macros import register_python_macro
 from metricspark.functions.text import bm25, parse_lines, token_counts
 from metricspark.operators.enrich import add_labels, classify, schematize
+from metricspark.operators.rules import classify_many
 from metricspark.operators.text_index import TextIndex
 from metricspark.session import new_work_path
 
@@ -126,6 +127,24 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_metrics(spark, {"counter": [{"name": "pages", "sql": "select class from classified_pages"}]})
 
 
+MANY_RULES = [(rf"/{lang}/{n}\b", f"{lang} {n % 7}") for n in range(0, 1000, 2) for lang in ("en", "fr", "es", "de")]
+MANY_RULES[100:100] = RULES
+
+
+@check(
+    "c07_many_rules",
+    "with rules(rank, pattern, class) as (values "
+    + ", ".join(f"({i}, '{p}', '{c}')" for i, (p, c) in enumerate(MANY_RULES))
+    + """), firsts as (select page_id, min(rank) as rank from pages, rules where regexp_matches(url, pattern) group by 1)
+    select p.page_id, coalesce(r.class, 'other') as class from pages p left join firsts f on p.page_id = f.page_id
+    left join rules r on r.rank = f.rank""",
+)
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousand rules, each tried on the pages that hold what it needs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return classify_many(pages, "page_id", "url", MANY_RULES).select("page_id", "class")
+
+
 TERMS = ("the", "and", "les")
 
 
