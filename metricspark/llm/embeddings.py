@@ -228,8 +228,14 @@ def range_join(
     )
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("vec")).alias("bytes")).first()
     k = min(-(-size.n // cell), MOST_PIVOTS, max(1, PIVOT_BYTES // (size.bytes or 8)))
-    # keys are hashes, so the smallest are a sample that does not depend on the order of rows
-    chosen = [bytes(r.vec) for r in classes.select("key", "vec").orderBy("key").limit(k).collect()]
+    # keys are hashes, so the smallest are a sample that does not depend on the order of rows; about as many as are
+    # wanted come to the driver, by a limit on the keys' first bytes
+    limit = (2 * k << 32) // max(size.n, 1)
+    few = classes if limit >= 1 << 32 else classes.where(F.substring("key", 1, 4) < F.lit(limit.to_bytes(4, "big")))
+    found = sorted((bytes(r.key), bytes(r.vec)) for r in few.select("key", "vec").collect()) or [
+        (bytes(r.key), bytes(r.vec)) for r in classes.select("key", "vec").limit(1).collect()
+    ]
+    chosen = [vec for _, vec in found[:k]]
     held = spark.sparkContext.broadcast({n: _unit([chosen[i] for i in at]) for n, at in _by_length(chosen).items()})
     home = frames.stage(
         classes.select("key", "copies", "vec").mapInArrow(

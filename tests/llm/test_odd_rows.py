@@ -87,3 +87,16 @@ def test_line_runs_are_removed(spark):
 def test_empty_tables(spark):
     none = rows_of(spark, ROWS).where(F.lit(False))
     assert dedup_lines(none).collect() == [] and jaccard_join(none).collect() == []
+
+
+def test_frequent_words_are_few_and_the_most_frequent(spark):
+    from metricspark.llm.bpe import frequent_words
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    text = " ".join(w for i, w in enumerate(words) for _ in range(2 + 2000 // (i + 1)))
+    docs = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    some = {w.decode().strip() for w in frequent_words(docs, "text", 20)}
+    assert {"waa", "wba", "wca"} <= some and 10 <= len(some) <= 25
+    same = spark.createDataFrame([(" ".join(words * 3),)], "text string")
+    assert 20 <= len(frequent_words(same, "text", 60)) <= 110
+    assert len(frequent_words(same, "text", 1000)) >= 200 and frequent_words(docs.where("false"), "text") == []
