@@ -93,3 +93,14 @@ def test_nothing(spark):
     done = align(empty, BYTES, PIECES)
     assert done.documents.collect() == [] and done.pairs.collect() == []
     assert done.documents.columns == list(COLUMNS)
+
+
+def test_the_encoder_equals_the_tokenizers_library_on_every_kind_of_code_point():
+    whole = Tokenizer.from_file(BYTES)
+    whole.encode_special_tokens = True
+    with open(BYTES, "rb") as f:
+        encoder = byte_level(f.read())[0]
+    points = [c for c in [*range(0, 0x3000), *range(0x3000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts = [f" a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} .{chr(c)}.  {chr(c)}\n{chr(c)}" for c in points]
+    ids = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [encoder.encode_ordinary(t) for t in texts] == ids
