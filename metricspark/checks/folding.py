@@ -83,7 +83,7 @@ def summary_large_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brackets are wide and count as too large for one task, so counting passes narrow them first."""
     tables(spark, sf_dir, "lineitem")
     metric = MetricDef("summary", "price", PRICES, objectives=(0.001, 0.5, 0.99, 1))
-    return rounded(flat(summary_exact(to_rows(spark.sql(PRICES)), metric, "price", rank_rows=500, accuracy=100)))
+    return rounded(flat(summary_exact(to_rows(spark.sql(PRICES)), metric, "price", rank_rows=500, accuracy=1000)))
 
 
 THIRDS = (1 / 7, 1 / 3, 2 / 3)

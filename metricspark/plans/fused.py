@@ -27,6 +27,7 @@ from metricspark.operators.folds import (
     ranked_fold,
     summary_sketch,
 )
+from metricspark.operators.labels import check_label_name
 from metricspark.operators.quantiles import bracket_aggregates, bracket_columns, exact_quantiles, frequency_quantiles
 from metricspark.operators.samples import VALUE, Rows, group_key, to_value
 from metricspark.session import settle
@@ -50,6 +51,9 @@ class FusedMetrics:
         global_labels: Mapping[str, str] | None = None,
     ):
         self.metrics, self.global_labels = list(metrics), dict(global_labels or {})
+        for m, _ in metrics:
+            for label, _ in m.by:
+                check_label_name(label)
         self.names: dict[str, str] = {}  # columns of the source's rows, by expression
         self.by = [[(n, self._column("key", e)) for n, e in m.by] for m, _ in metrics]
         self.each = [[self._column("key", e) for e in m.each] for m, _ in metrics]

@@ -40,8 +40,9 @@ PASSES_AT_ONCE = 8
 class Pending:
     """Metrics whose samples need jobs of their own to be planned. Should `build` fail, they are tried one by one."""
 
-    metrics: tuple[Planned, ...]
+    names: tuple[str, ...]
     build: Callable[[], dict[str, DataFrame]]
+    apart: Mapping[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
 
 @dataclass
@@ -167,35 +168,32 @@ def _plan_package(
     metrics, clashes = named_metrics(package, taken)
     run.errors.update(clashes)
     run.names = {name: f"a {m.kind} of {package.name}" for m, name in metrics}
+    pending, fused = _fuse(spark, metrics, package.variables, global_labels)
     queries: dict[tuple[str, str | None], list[tuple[MetricDef, str]]] = {}
     for m, name in metrics:
-        queries.setdefault(_query_key(m), []).append((m, name))
-    planned: list[list[Planned]] = []
+        if name not in fused:
+            queries.setdefault(_query_key(m), []).append((m, name))
     for (_, order_by), same in queries.items():
         try:
             rows = to_rows(sql(spark, same[0][0].query, package.variables), order_by, global_labels)
         except FAILURES as e:
             run.errors.update({name: str(e) for _, name in same})
             continue
-        good: list[Planned] = []
+        # metrics over the same query are folded together, so it is scanned and shuffled once
+        folded = []
         for m, name in same:
             try:
                 check_labels(m, [*rows.labels, *(global_labels or {})])
-                good.append((rows, m, name))
             except ValueError as e:
                 run.errors[name] = str(e)
-        planned.append(good)
-
-    pending, fused = _fuse(spark, [x for some in planned for x in some], package.variables, global_labels)
-    for some in planned:
-        # metrics over the same query are folded together, so it is scanned and shuffled once
-        rest = [x for x in some if x[2] not in fused]
-        folded = [(m, name) for _, m, name in rest if not _is_ranked(m)]
+                continue
+            if _is_ranked(m):
+                x = (rows, m, name)
+                pending.append(Pending((name,), lambda x=x: {x[2]: _apart(x, global_labels)}))
+            else:
+                folded.append((m, name))
         if folded:
-            run.parts[" ".join(name for _, name in folded)] = fold_rows(rest[0][0], folded, global_labels)
-        for x in rest:
-            if _is_ranked(x[1]):
-                pending.append(Pending((x,), lambda x=x: {x[2]: _apart(x, global_labels)}))
+            run.parts[" ".join(name for _, name in folded)] = fold_rows(rows, folded, global_labels)
     return run, pending
 
 
@@ -205,25 +203,38 @@ def _is_ranked(m: MetricDef) -> bool:
 
 def _fuse(
     spark: SparkSession,
-    planned: Sequence[Planned],
+    metrics: Sequence[tuple[MetricDef, str]],
     variables: Mapping[str, object],
     global_labels: Mapping[str, str] | None,
 ) -> tuple[list[Pending], set[str]]:
     """Metrics that share a source, each source as one, and their names. Those with a label that a global one
-    replaces are left apart, as their groups are of that label all the same."""
-    sources: dict[str, list[Planned]] = {}
-    for x in planned:
-        if x[1].source is not None and not any(label in (global_labels or {}) for label, _ in x[1].by):
-            sources.setdefault(x[1].source, []).append(x)
+    replaces are left apart, as their groups are of that label all the same; so are all of a source if they
+    cannot be planned together."""
+    sources: dict[str, list[tuple[MetricDef, str]]] = {}
+    for m, name in metrics:
+        if m.source is not None and not any(label in (global_labels or {}) for label, _ in m.by):
+            sources.setdefault(m.source, []).append((m, name))
     pending, names = [], set()
     for source, some in sources.items():
-        if len(some) > 1:
-            try:
-                fused = FusedMetrics(spark, source, [(m, name) for _, m, name in some], variables, global_labels)
-            except FAILURES:
-                continue  # each has been planned, so they go on apart
-            pending.append(Pending(tuple(some), fused.build))
-            names.update(name for _, _, name in some)
+        if len(some) < 2:
+            continue
+        try:
+            for m, _ in some:
+                check_labels(m, [*(label for label, _ in m.by), *(global_labels or {})])
+            fused = FusedMetrics(spark, source, some, variables, global_labels)
+            rows = spark.table(source)
+        except FAILURES:
+            continue
+
+        def apart(named: tuple[MetricDef, str], source: str = source, rows: DataFrame = rows) -> DataFrame:
+            # a later package may have another source of that name
+            rows.createOrReplaceTempView(source)
+            m, name = named
+            return _apart((to_rows(sql(spark, m.query, variables), m.order_by, global_labels), m, name), global_labels)
+
+        one_by_one = {name: lambda named=(m, name), apart=apart: apart(named) for m, name in some}
+        pending.append(Pending(tuple(name for _, name in some), fused.build, one_by_one))
+        names.update(name for _, name in some)
     return pending, names
 
 
@@ -240,18 +251,18 @@ def _finish(run: PackageRun, pending: Sequence[Pending], global_labels: Mapping[
     the last tasks of one pass share the cluster with the next."""
 
     def build(item: Pending) -> tuple[dict[str, DataFrame], dict[str, str]]:
-        parts, errors = {}, {}
+        parts: dict[str, DataFrame] = {}
+        errors: dict[str, str] = {}
         with noting_checkpoints(run.checkpoints):
             try:
                 return item.build(), errors
             except FAILURES as e:
-                if len(item.metrics) == 1:
-                    return parts, {item.metrics[0][2]: str(e)}
-            for x in item.metrics:
+                errors = {name: str(e) for name in item.names if name not in item.apart}
+            for name, one in item.apart.items():
                 try:
-                    parts[x[2]] = _apart(x, global_labels)
+                    parts[name] = one()
                 except FAILURES as e:
-                    errors[x[2]] = str(e)
+                    errors[name] = str(e)
         return parts, errors
 
     if pending:
