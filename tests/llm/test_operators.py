@@ -65,7 +65,8 @@ def test_jaccard_join_against_all_pairs(spark):
         (i, j)
         for i in range(len(texts))
         for j in range(i)
-        if tokens[i] == tokens[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        if (tokens[i] == tokens[j] if tokens[i] else (texts[i] or "") == (texts[j] or ""))
+        or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     ]
     least = components(len(texts), linked)
     assert got == {i: (least[i], sum(i in p for p in linked)) for i in range(len(texts))}
