@@ -51,10 +51,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and whether they decode to its text."""
+    """Each document's token ids, and whether they decode to its text.
+
+    The ids are written first and decoded as they are read: a task needs one Python worker at a time, not two.
+    """
     frames.small_batches(spark)
     tokenizer = bpe.with_lexicon(docs, "text", VOCABULARY)
-    encoded = docs.select("doc_id", "text").withColumn("ids", tokenizer.encode(F.col("text")))
+    encoded = frames.stage(docs.select("doc_id", "text", tokenizer.encode(F.col("text")).alias("ids")), "encoded")
     return encoded.select(
         "doc_id",
         "ids",

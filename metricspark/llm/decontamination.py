@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from metricspark.llm.texts import (
     NUMBER,
+    TOGETHER,
     U64,
     codes,
     kinds,
@@ -111,7 +112,7 @@ def template(texts: list[str | None]) -> list[Reading]:
     own = np.zeros((3, len(texts)), bool)
     own[PLAIN] = True
     seen = -1
-    for group in pieces(texts):
+    for group in pieces(texts, together=TOGETHER):
         cps = codes("\n".join(p for _, p in group))
         if not len(cps):
             continue
@@ -368,7 +369,7 @@ def _search(held, coverage: float, id_type: pa.DataType):
         for n, text in enumerate(texts, 1):
             group.append(text.as_py())
             size += len(group[-1] or "")
-            if size >= 1 << 20 or n == len(texts):
+            if size >= TOGETHER or n == len(texts):
                 for found in items.search(group, coverage):
                     out.append([dict(zip((f[0] for f in fields), (ids[i], *rest))) for i, *rest in found])
                 group, size = [], 0

@@ -36,6 +36,8 @@ BLOCK = 256
 BLOCK_GRAMS = 1 << 20
 # Columns of the matrices in which shared n-grams are counted.
 COLUMNS = 4096
+# Bytes of text whose n-grams are hashed at once.
+SLICE = 1 << 20
 
 
 def choose_bands(similarity: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
@@ -69,7 +71,7 @@ def band_hashes(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
 
 def _sketch(bands: int, rows: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames.slices(batches, 1):
+        for batch in frames.slices(batches, 1, SLICE):
             texts = batch.column(1).to_pylist()
             words, begin = word_hashes(texts)
             grams, at = shingle_hashes(words, begin, k)
@@ -101,7 +103,7 @@ def _gram_sets(k: int):
     """The n-gram set of each text that has the class asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames.slices(batches, 1):
+        for batch in frames.slices(batches, 1, SLICE):
             texts = batch.column(1).to_pylist()
             words, begin = word_hashes(texts)
             grams, at = shingle_hashes(words, begin, k)

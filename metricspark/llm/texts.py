@@ -16,8 +16,10 @@ import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, MARK, END = range(6)
 
-# Code points handled at once; longer texts are cut where white space begins.
+# Longer texts, in code points, are cut where white space begins.
 CHUNK = 1 << 20
+# Code points handled at once: as many texts as fill it, or one piece of a text.
+TOGETHER = 1 << 17
 
 _WORD_END = re.compile(r"\S\s")
 
@@ -56,7 +58,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, at least n of each."""
-    return _powers(max(CHUNK + 4096, 1 << max(0, n - 1).bit_length() if n > CHUNK + 4096 else 0))
+    return _powers(max(2 * TOGETHER, 1 << max(0, n - 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +80,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def pieces(texts: Sequence[str | None], chunk: int = CHUNK) -> Iterator[list[tuple[int, str]]]:
-    """Groups of (text number, piece) of about `chunk` code points, in order; None is an empty text."""
+def pieces(texts: Sequence[str | None], chunk: int = CHUNK, together: int | None = None) -> Iterator[list[tuple[int, str]]]:
+    """Groups of (text number, piece) of about `together` code points, in order, no piece much longer than `chunk`, which
+    is also what `together` is unless given; None is an empty text."""
+    together = chunk if together is None else together
     group, size = [], 0
     for i, text in enumerate(texts):
         text = text or ""
@@ -97,7 +101,7 @@ def pieces(texts: Sequence[str | None], chunk: int = CHUNK) -> Iterator[list[tup
             group.append((i, text[at:end]))
             size += end - at + 1
             at = end
-            if size >= chunk:
+            if size >= together:
                 yield group
                 group, size = [], 0
             if at >= len(text):
@@ -117,7 +121,7 @@ def word_spans(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and where each text's words begin (one more than texts)."""
     hashes, numbers = [], []
-    for group in pieces(texts):
+    for group in pieces(texts, together=TOGETHER):
         cps = codes("\n".join(p for _, p in group))
         begin = np.cumsum([0, *(len(p) + 1 for _, p in group)])
         starts, ends = word_spans(cps)
