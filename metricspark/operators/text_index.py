@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.functions.text import WORD, tokens
@@ -26,6 +26,18 @@ PARTS = 64
 FIRST_BLOCKS = 4
 
 
+def _run_starts(words: Column) -> Column:
+    """Where each different word of sorted ones begins."""
+    places = F.slice(F.sequence(F.lit(0), F.size(words)), F.lit(1), F.size(words))
+    return F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+
+def _runs(words: Column, starts: Column) -> Column:
+    """(term, count) of each different word of sorted ones."""
+    end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(words))
+    return F.transform(starts, lambda s, i: F.struct(F.get(words, s).alias("term"), (end(i) - s).alias("count")))
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """An index below a path; `texts` and `mean_words` are of all texts, `key` is the type of their keys."""
@@ -44,24 +56,39 @@ class TextIndex:
         spark = df.sparkSession
         words = df.select(F.col(key).alias("key"), tokens(F.col(text), pattern).alias("words"))
         lengths = words.select("key", F.greatest(F.size("words"), F.lit(0)).alias("length"), "words")
-        total = lengths.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
+        per_key = lengths.groupBy("key", "length").agg(F.count(F.lit(1)).alias("rows"))
+        words_in_all = F.sum(F.col("length") * F.col("rows")).cast("double")
+        total = per_key.agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("texts"),
+            F.coalesce(words_in_all / F.sum("rows"), F.lit(0.0)).alias("mean"),
+            F.max("rows").alias("most"),
+        ).first()
         blocks = max(1, math.ceil(total.texts / block_texts))
-        # the words of a text are in one task, so what is shuffled is a row per text and different word
-        held = lengths.select("key", "length", F.explode("words").alias("term")).groupBy("key", "length", "term").count()
+        # a text's words are counted within its row, and one shuffle, by place in the index, is all that follows:
+        # rows of a key that is repeated meet there too, as a key has one block
+        held = (
+            lengths.select("key", "length", F.sort_array("words").alias("words"))
+            .withColumn("starts", _run_starts(F.col("words")))
+            .select("key", "length", F.inline(_runs(F.col("words"), F.col("starts"))))
+            .withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+            .withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        )
+        order = ("part", "term", "block")
+        placed = held.repartitionByRange(*order)
+        if (total.most or 0) > 1:
+            placed = placed.groupBy(*order, "key", "length").agg(F.sum("count").alias("count"))
         weight = F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("length") / max(total["mean"], 1e-9)))
         postings = (
-            held.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-            .withColumn("weight", weight)
-            .groupBy("term", "block")
+            placed.withColumn("weight", weight)
+            .groupBy(*order)
             .agg(
                 F.count(F.lit(1)).alias("n"),
                 F.max("weight").alias("bound"),
                 F.collect_list(F.struct("key", F.col("count").cast("int").alias("tf"), "weight")).alias("postings"),
             )
-            .withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+            .select("term", "block", "n", "bound", "postings", "part")
         )
-        order = ("part", "term", "block")
-        postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/postings")
+        postings.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/postings")
         kind = words.schema["key"].dataType.simpleString()
         about = [(total.texts, total["mean"], parts, kind)]
         rows = spark.createDataFrame(about, "texts bigint, mean_words double, parts int, key string")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from metricspark.operators.text_index import TextIndex
@@ -65,3 +66,21 @@ def test_few_blocks_are_scored_for_the_best(spark, tmp_path):
 def test_an_index_of_nothing(spark, tmp_path):
     index = index_of(spark, [], str(tmp_path / "index"))
     assert index.search(["a"]).collect() == [] and index.search(["a"], 3).collect() == []
+
+
+def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(
+        DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[1]
+    )
+    index_of(spark, texts(50), str(tmp_path / "index"), block_texts=20, parts=5)
+    assert [len(re.findall("(?:range|hash)partitioning", p)) for p in plans if "postings" in p] == [1]
+
+
+def test_rows_of_one_key_are_one_text_of_their_common_length(spark, tmp_path):
+    rows = [(1, "a b a"), (1, "b b a"), (1, "a"), (2, "c"), (None, "a c"), (None, "c a"), (None, "b")]
+    index = index_of(spark, rows, str(tmp_path / "index"), block_texts=2)
+    held = index.postings(["a", "b", "c"]).select("term", F.inline("postings")).collect()
+    assert Counter((r.term, r.key, r.tf) for r in held) == Counter(
+        [("a", 1, 3), ("b", 1, 3), ("a", 1, 1), ("c", 2, 1), ("a", None, 2), ("c", None, 2), ("b", None, 1)]
+    )
