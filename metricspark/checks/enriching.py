@@ -256,13 +256,19 @@ SUPPLIER_LAT, SUPPLIER_LON = "(s_suppkey * 53 % 17900) / 100.0 - 89", "(s_suppke
       select s_suppkey, count(*) as n, count(distinct user_id) as users, round(min(km), 3) as nearest from pairs where km <= 700 group by 1""",
 )
 def near_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events within 700 kilometres of each supplier, joined through grid cells."""
+    """Events within 700 kilometres of each supplier, joined through grid cells.
+
+    A place is that of a user or supplier key, so each key is one row with the number of its events or rows: a pair of
+    keys meets once, and no task remembers users to count different ones.
+    """
     points = table(spark, sf_dir, "events").selectExpr(
         "user_id", f"cast({LAT} as double) as lat", f"cast({LON} as double) as lon"
     )
+    users = points.groupBy("user_id", "lat", "lon").agg(F.count(F.lit(1)).alias("events"))
     places = table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey", f"cast({SUPPLIER_LAT} as double) as place_lat", f"cast({SUPPLIER_LON} as double) as place_lon"
     )
-    return near(points, places, 700).groupBy("s_suppkey").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.min("km"), 3).alias("nearest")
+    suppliers = places.groupBy("s_suppkey", "place_lat", "place_lon").agg(F.count(F.lit(1)).alias("rows"))
+    return near(users, suppliers, 700).groupBy("s_suppkey").agg(
+        F.sum(F.col("events") * F.col("rows")).alias("n"), F.count("user_id").alias("users"), F.round(F.min("km"), 3).alias("nearest")
     )

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from metricspark.checks.enriching import near_places
 from metricspark.functions.geo import EARTH_RADIUS_KM, near
 
 
@@ -51,3 +52,21 @@ def test_one_crowded_place(spark):
 def test_a_radius_below_zero(spark):
     with pytest.raises(ValueError):
         near(spark.range(1).selectExpr("1D as lat", "1D as lon"), spark.range(1).selectExpr("1D as place_lat", "1D as place_lon"), -1)
+
+
+def test_pairs_of_events_and_suppliers_without_a_set_of_users(spark, tmp_path):
+    users, suppliers = [0, 0, 0, 5, 5, 1499, None, 300], [1, 2, 2, 40, 41, 77, None, *range(100, 200)]
+    spark.createDataFrame([(u,) for u in users], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(s,) for s in suppliers], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = near_places(spark, str(tmp_path))
+    assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+    at = lambda u: ((u * 37 % 17900) / 100 - 89, (u * 91 % 35900) / 100 - 179)
+    of = lambda s: ((s * 53 % 17900) / 100 - 89, (s * 131 % 35900) / 100 - 179)
+    want = {}
+    for s in suppliers:
+        for u in users:
+            if s is not None and u is not None and (d := km(at(u), of(s))) <= 700:
+                n, who, least = want.get(s, (0, set(), d))
+                want[s] = (n + 1, who | {u}, min(least, d))
+    assert 2 in want and want[2][0] > len(want[2][1])
+    assert {r.s_suppkey: (r.n, r.users, r.nearest) for r in found.collect()} == {s: (n, len(who), round(d, 3)) for s, (n, who, d) in want.items()}
